@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, packing, token_codec
+from .common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,23 @@ FROM d WINDOW w AS (PARTITION BY sha ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUN
 """
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "op8-tokens")
+    token_codec.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=0)
+    return token_codec.read_tokens(spark, path, with_ids=False)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
+    return packing.pack(pieces)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -63,6 +81,8 @@ FROM words_of d LEFT JOIN hit_words h ON d.id = h.doc_id LEFT JOIN hit_items t O
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op8_token_codec": op8_token_codec,
+        "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
     }
 
