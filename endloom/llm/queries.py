@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, token_codec
+from . import decontaminate, exact_dedup, packing, pii, token_codec
 from .common import shared_path
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="endloom-op2")
+    return out.select("doc_id", F.size("pii_entities").cast("long").alias("n_entities"), F.array_join("pii_entities.kind", ",").alias("kinds"), "text")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ FROM words_of d LEFT JOIN hit_words h ON d.id = h.doc_id LEFT JOIN hit_items t O
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii_surrogates": op2_pii_surrogates,
         "op3_exact_dedup": op3_exact_dedup,
         "op8_token_codec": op8_token_codec,
         "op9_packing": op9_packing,
