@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, pii, token_codec
+from . import decontaminate, exact_dedup, packing, pii, token_codec, url_filter
 from .common import shared_path
 
 
@@ -37,6 +37,12 @@ FROM d WINDOW w AS (PARTITION BY sha ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUN
 """
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = url_filter.mine_rules(url_filter.page_labels(pages, _table(spark, sf_dir, "labels")))
+    return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -87,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii_surrogates": op2_pii_surrogates,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_url_rules": op5_url_rules,
         "op8_token_codec": op8_token_codec,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
