@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, pii, token_codec, toxicity, url_filter
+from . import decontaminate, exact_dedup, packing, pii, quality, token_codec, toxicity, url_filter
 from .common import shared_path
 
 
@@ -53,6 +53,12 @@ def _held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, _table(spark, sf_dir, "labels"), learn_from=lambda i: ~_held_out(i))
+    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, _table(spark, sf_dir, "labels"), learn_from=lambda i: ~_held_out(i))
@@ -104,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii_surrogates": op2_pii_surrogates,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_url_rules": op5_url_rules,
+        "op6_quality": op6_quality,
         "op7_toxicity": op7_toxicity,
         "op8_token_codec": op8_token_codec,
         "op9_packing": op9_packing,
