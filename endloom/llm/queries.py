@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, pii, quality, token_codec, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, packing, pii, quality, token_codec, toxicity, url_filter
 from .common import shared_path
 
 
@@ -37,6 +37,10 @@ FROM d WINDOW w AS (PARTITION BY sha ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUN
 """
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     rules = url_filter.mine_rules(url_filter.page_labels(pages, _table(spark, sf_dir, "labels")))
@@ -109,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii_surrogates": op2_pii_surrogates,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_chat_format": op4_chat_format,
         "op5_url_rules": op5_url_rules,
         "op6_quality": op6_quality,
         "op7_toxicity": op7_toxicity,
