@@ -1,8 +1,84 @@
-"""The corpus pipeline (stages are added as their operators come)."""
+"""A corpus pipeline of five stages, each of which applies one operator to all documents.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of docs. Identifiers are taken as unique: rows that share a doc_id stay or go
+together, except in exact deduplication, which looks at each row's own text. Null texts
+count as empty; extra columns are kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from endloom.llm import decontaminate, exact_dedup, ngram_join, packing, queries, toxicity
+from endloom.llm.common import shared_path
+
+TOXIC_FROM = 0.3
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in rejected (key)."""
+    return docs.join(rejected.distinct(), docs["doc_id"].eqNullSafe(rejected["key"]), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of TOXIC_FROM or more go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs.select("doc_id", "text"), labels, learn_from=lambda i: ~queries.held_out(i))
+    return _without(docs, scored.where(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("key")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with the same text (white space aside) one stays, and one of rows that
+    repeat."""
+    found = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct()
+    own = docs.withColumn("__own", F.unhex(F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)))
+    kept = own.join(found, (own["__own"] == found["__sha"]) & own["doc_id"].eqNullSafe(found["__id"]), "left_semi")
+    # The representative of a text has the most characters, so its repeats are sought among
+    # rows of its own doc_id and digest only.
+    first = Window.partitionBy("__own", "doc_id").orderBy(F.length(F.coalesce("text", F.lit(""))).desc(), F.xxhash64("text"))
+    return kept.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__own", "__place")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of documents that the n-gram Jaccard join links, the one with the least
+    doc_id stays."""
+    classes = ngram_join.classes(docs.select("doc_id", "text"))
+    return _without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("key")))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go of whose words a twentieth or more lie in windows of benchmark items."""
+    found = decontaminate.contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, decontaminate.judged(found).where("contaminated").select(F.col("doc_id").alias("key")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their places in sequences."""
+    return packing.pack(packing.pieces(docs.select("doc_id", "text"), queries.tokenizer("word_bpe_49k.json"), end_id=1))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack_sequences),
+]
+
+#: The first stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; between stages the rows are written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = shared_path(spark, f"pipeline-{i}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, packing, pii, quality, token_codec, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, ngram_join, packing, pii, quality, token_codec, toxicity, url_filter
 from .common import shared_path
 
 
@@ -15,6 +15,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, len(w) < 5 AS short, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM words WHERE len(w) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common_words AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.short = y.short AND x.doc_id < y.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM common_words JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * common >= 80 * (p.n + q.n - common)
+),
+reach AS (
+  SELECT a, b FROM (SELECT a, b FROM links UNION SELECT b, a FROM links)
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON r.b = l.a
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, min(r.b)) AS component_id
+FROM words w LEFT JOIN sizes z ON z.doc_id = w.doc_id LEFT JOIN reach r ON r.a = w.doc_id
+GROUP BY w.doc_id, n
+"""
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="endloom-op2")
     return out.select("doc_id", F.size("pii_entities").cast("long").alias("n_entities"), F.array_join("pii_entities.kind", ",").alias("kinds"), "text")
@@ -47,36 +79,36 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _held_out(doc_id):
+def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = quality.score(docs, _table(spark, sf_dir, "labels"), learn_from=lambda i: ~_held_out(i))
-    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    scored = quality.score(docs, _table(spark, sf_dir, "labels"), learn_from=lambda i: ~held_out(i))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, _table(spark, sf_dir, "labels"), learn_from=lambda i: ~_held_out(i))
-    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    scored = toxicity.score(docs, _table(spark, sf_dir, "labels"), learn_from=lambda i: ~held_out(i))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op8_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "op8-tokens")
-    token_codec.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=0)
+    token_codec.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"), end_id=0)
     return token_codec.read_tokens(spark, path, with_ids=False)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
+    pieces = packing.pieces(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
     return packing.pack(pieces)
 
 
@@ -111,6 +143,7 @@ FROM words_of d LEFT JOIN hit_words h ON d.id = h.doc_id LEFT JOIN hit_items t O
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_pii_surrogates": op2_pii_surrogates,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_chat_format": op4_chat_format,
@@ -124,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op10_decontamination": OP10_SQL}
