@@ -1,0 +1,9 @@
+"""Registered queries of the analytic operators: name -> (function, SQL or None)."""
+
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    from . import position_queries
+
+    return {**position_queries.QUERIES}
