@@ -90,9 +90,18 @@ def mispriming(seq: Column, position: Column, strand: Column, size: int = 50, th
 
 
 def max_richness(seq: Column, base: str = "A", size: int = 10) -> Column:
-    """The greatest share of base in a window; the whole share if seq is shorter; 0 if empty."""
+    """The greatest share of base in a window; the whole share if seq is shorter; 0 if empty.
+
+    One pass: the last ``size`` characters are the bits of a number, so a window costs a
+    shift and a bit count, and long sequences are not cut up again and again."""
     n = F.length(seq)
-    best = F.array_max(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: count_base(F.substring(seq, i, F.lit(size)), base))) / size
+    start = F.struct(F.lit(0).cast("long").alias("bits"), F.lit(0).alias("best"))
+
+    def step(acc: Column, c: Column) -> Column:
+        bits = F.shiftleft(acc["bits"], 1).bitwiseAND(F.lit((1 << size) - 1).cast("long")).bitwiseOR((c == base).cast("long"))
+        return F.struct(bits.alias("bits"), F.greatest(acc["best"], F.bit_count(bits).cast("int")).alias("best"))
+
+    best = F.aggregate(F.split(seq, ""), start, step)["best"] / size
     return F.when(n == 0, F.lit(0.0)).when(n <= size, count_base(seq, base) / n).otherwise(best)
 
 
@@ -186,10 +195,10 @@ def signal_confidence(signal: Column, width: Column) -> Column:
 
 def polya_score(seq: Column, threshold: float = 0.8, mean: float = 30.0, spread: float = 15.0, base: str = "A") -> Column:
     """0.5 * richness + 0.3 * fit of the length + 0.2 * share of base; 0 below the threshold."""
-    rich = max_richness(seq, base)
     length = F.exp(-F.pow((F.length(seq) - mean) / spread, F.lit(2)) / 2)
     share = F.when(F.length(seq) > 0, count_base(seq, base) / F.length(seq)).otherwise(0.0)
-    return F.when(rich >= threshold, 0.5 * F.least(F.lit(1.0), rich / threshold) + 0.3 * length + 0.2 * share).otherwise(F.lit(0.0))
+    scored = F.transform(F.array(max_richness(seq, base)), lambda rich: F.when(rich >= threshold, 0.5 * F.least(F.lit(1.0), rich / threshold) + 0.3 * length + 0.2 * share).otherwise(F.lit(0.0)))
+    return scored[0]
 
 
 def full_length(start: Column, end: Column, five_clip: Column, three_clip: Column, tss_distance: Column, most_clip: int = 50, least_fraction: float = 0.8, most_distance: int = 500) -> Column:
