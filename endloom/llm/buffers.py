@@ -24,7 +24,7 @@ def raw_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(texts: pa.Array, size: int = 4_000_000):
+def slices(texts: pa.Array, size: int = 1_000_000):
     """(from, to) of rows with about so many bytes of text."""
     import pyarrow.compute as pc
 

@@ -1,7 +1,12 @@
-"""Connected components of a link table by alternating large and small stars."""
+"""Connected components of a link table: in one task while the links are few, else by
+alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +26,41 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links: a, b (longs). node, component (the least node of its component), for all nodes
-    of links. Each round halves at least the depth; one checkpoint a round."""
+#: Links (16 bytes each) that one task takes.
+FEW = 2_000_000
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, ascending; the least node of each node's component)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[u], root[v]
+        if (x == y).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            nodes, least = joined(*(np.concatenate(c) for c in zip(*parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "component"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
+    """links: a, b (longs, no nulls). node, component (the least node of its component), for
+    all nodes of links. More than ``few`` links go through rounds of stars, each of which
+    halves at least the depth and is checkpointed."""
+    links = cut(links)
+    if links.count() <= few:
+        return _in_one_task(links)
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:

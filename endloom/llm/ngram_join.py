@@ -11,9 +11,9 @@ Documents with the same set count once, from the first step on. Pairs come from
 of postings. A rare token has fewer than ``frequent_from`` sets, so all pairs of its
 posting are made. Postings of frequent tokens may hold a third of all documents: they are
 first put in order of size, only neighbours become pairs, and each document verifies its
-best partner; what is linked then needs no pair any more, and the exact self-join that
-follows makes pairs between different classes only. So no link between classes is lost
-and no group of copies makes all of its pairs.
+best partner, in a few rounds. What still lies in different classes is compared exactly, in
+blocks that share a frequent token. So no link between classes is lost and no group of
+copies makes a row for each of its pairs.
 
 Sets are compared by 48-bit hashes of their shingles.
 """
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +43,14 @@ MAX_FREQUENT = 2_000_000
 #: Most tokens that a prefix is lengthened by, and what verifying a pair costs in postings.
 MAX_MATCH = 8
 VERIFY_COST = 60.0
+#: Rounds in which every set of a mixed posting verifies one more partner, before all pairs
+#: of sets in different components are made.
+ROUNDS = 2
 #: Tokens that a task gathers before it sorts and sends them, and tokens of a bucket.
-FLUSH_TOKENS = 3_000_000
-BUCKET_TOKENS = 4_000_000
+FLUSH_TOKENS = 1_500_000
+BUCKET_TOKENS = 2_000_000
+#: Sets of a block that meets other blocks whole.
+BLOCK = 256
 #: Distinct sets that are asked for by a broadcast list; beyond it the sets are joined.
 MAX_WANTED = 4_000_000
 
@@ -316,22 +322,40 @@ def neighbours(posts: DataFrame, percent: int, salt: int) -> DataFrame:
     """a, b, shared for neighbours in the postings, put in order of size and a hash. Cuts
     between partitions only cost a pair."""
     width = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = posts.withColumn("h", F.xxhash64("fp", F.lit(salt))).select("token", "n", "h", "fp").repartitionByRange(width, "token", "n", "h").sortWithinPartitions("token", "n", "h", "fp")
+    component = F.col("component") if "component" in posts.columns else F.col("fp")
+    ordered = posts.withColumn("h", F.xxhash64("fp", F.lit(salt))).select("token", "n", "h", "fp", component.alias("component")).repartitionByRange(width, "token", "n", "h").sortWithinPartitions("token", "n", "h", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            t, n, _, fp = (c.to_numpy() for c in batch.columns)
+            t, n, _, fp, c = (col.to_numpy() for col in batch.columns)
             if last is not None:
-                t, n, fp = (np.concatenate([[x], c]) for x, c in zip(last, (t, n, fp)))
+                t, n, fp, c = (np.concatenate([[x], col]) for x, col in zip(last, (t, n, fp, c)))
             if len(t):
-                last = (t[-1], n[-1], fp[-1])
-            ok = np.flatnonzero((t[1:] == t[:-1]) & (fp[1:] != fp[:-1]) & _close(n[1:], n[:-1], percent))
+                last = (t[-1], n[-1], fp[-1], c[-1])
+            ok = np.flatnonzero((t[1:] == t[:-1]) & (c[1:] != c[:-1]) & _close(n[1:], n[:-1], percent))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[ok], fp[ok + 1])), pa.array(np.maximum(fp[ok], fp[ok + 1]))], names=["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _mixed(posts: DataFrame, known: DataFrame) -> DataFrame:
+    """posts with the component of each set, without the postings that lie in one component."""
+    labelled = posts.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    mixed = labelled.groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("token")
+    return labelled.join(mixed, "token")
+
+
+def hubs(labelled: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """a, b, shared: each set with the hub of its postings, the set with the most links so
+    far, unless both are in one component."""
+    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = labelled.join(ends, "fp", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    best = ranked.groupBy("token").agg(F.max_by(F.struct(F.col("fp").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")), F.struct("degree", "fp")).alias("h")).select("token", "h.*")
+    pairs = labelled.join(best, "token").where("component <> hub_component AND 100 * least(n, hub_n) >= %d * greatest(n, hub_n)" % percent)
+    return pairs.groupBy(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+
+
 def _best_partners(pairs: DataFrame) -> DataFrame:
     """For each set, its pair with the most shared tokens."""
     both = pairs.select("a", "b", "shared").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
@@ -386,6 +410,76 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _numbered(ordered: DataFrame) -> DataFrame:
+    """Adds place, the rank over all partitions of a frame that is range-partitioned and
+    sorted. One number for each partition passes through the driver."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int64)), pa.array(np.arange(at, at + n))], names=[*names, "part", "local"])
+            at += n
+
+    names = ordered.columns
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema) + ", part long, local long"
+    placed = cut(ordered.mapInArrow(local, ddl))
+    counts = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    base, bases = 0, []
+    for part, n in counts:
+        bases.append((part, base))
+        base += n
+    offsets = placed.sparkSession.createDataFrame(bases, "part long, base long")
+    return placed.join(F.broadcast(offsets), "part").withColumn("place", F.col("base") + F.col("local")).drop("part", "local", "base")
+
+
+def block_overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of ascending key arrays."""
+    keys_x, keys_y = np.concatenate(x), np.concatenate(y)
+    common = np.intersect1d(keys_x, keys_y)
+    out = np.zeros((len(x), len(y)), np.float32)
+    own_x, own_y = (np.repeat(np.arange(len(z)), [len(k) for k in z]) for z in (x, y))
+    for at in range(0, len(common), 8192):
+        part = common[at : at + 8192]
+        ms = []
+        for keys, own, z in ((keys_x, own_x, x), (keys_y, own_y, y)):
+            place = np.minimum(np.searchsorted(part, keys), len(part) - 1)
+            hit = part[place] == keys
+            m = np.zeros((len(z), len(part)), np.float32)
+            m[own[hit], place[hit]] = 1
+            ms.append(m)
+        out += ms[0] @ ms[1].T
+    return out
+
+
+def block_links(labelled: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """The links between sets of different components that share a frequent prefix token.
+
+    The sets of mixed postings are put in order of their first token and dealt into blocks
+    of a fixed size; two blocks meet if they share a token, and all their pairs are
+    compared by one matrix product, so a pair is never a row."""
+    each = labelled.groupBy("fp").agg(F.min("token").alias("lead"), F.min("n").alias("n"), F.min("component").alias("component"))
+    width = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = _numbered(each.repartitionByRange(width, "lead", "n", "fp").sortWithinPartitions("lead", "n", "fp"))
+    dealt = cut(numbered.select("fp", "n", "component", F.floor(F.col("place") / block).alias("block")))
+    tokens = labelled.select("token", "fp").join(dealt.select("fp", "block"), "fp").select("token", "block").distinct()
+    met = tokens.select("token", F.col("block").alias("p")).join(tokens.select("token", F.col("block").alias("q")), "token").where("p <= q").select("p", "q").distinct()
+    bodies = dealt.join(sets, "fp").groupBy("block").agg(F.collect_list(F.struct("fp", "n", "component", "keys")).alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1)):
+                x, y = x.as_py(), y.as_py()
+                fx, nx, cx = (np.array([r[k] for r in x]) for k in ("fp", "n", "component"))
+                fy, ny, cy = (np.array([r[k] for r in y]) for k in ("fp", "n", "component"))
+                both = block_overlaps([_keys(r["keys"]) for r in x], [_keys(r["keys"]) for r in y]).astype(np.int64)
+                i, j = np.nonzero((100 * both >= percent * (nx[:, None] + ny[None, :] - both)) & (cx[:, None] != cy[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fx[i], fy[j])), pa.array(np.maximum(fx[i], fy[j]))], names=["a", "b"])
+
+    pairs = met.join(bodies.select(F.col("block").alias("p"), F.col("body").alias("x")), "p").join(bodies.select(F.col("block").alias("q"), F.col("body").alias("y")), "q")
+    return pairs.select("x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, frequent_from: int = FREQUENT_FROM, max_match: int = MAX_MATCH) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
@@ -404,22 +498,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     posts = prefix.where("token IS NOT NULL").select("token", "fp", "n", "l").distinct()
     posts = cut(posts)
     rare = cut(rare_pairs(prefix, percent))
-    near = cut(_best_partners(rare.where("shared >= l").select("a", "b", "shared").unionByName(neighbours(posts, percent, 1))).unionByName(_best_partners(neighbours(posts, percent, 2))).distinct())
+    # Only sets with enough rare matches, or in postings of frequent tokens, can be candidates.
     held = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    ends = rare.select(F.col("a").alias("fp")).unionByName(rare.select(F.col("b").alias("fp"))).unionByName(posts.join(held, "token").select("fp")).distinct()
+    posts = cut(posts.join(held, "token"))
+    enough = rare.where("shared >= l")
+    ends = enough.select(F.col("a").alias("fp")).unionByName(enough.select(F.col("b").alias("fp"))).unionByName(posts.select("fp")).distinct()
     sets = cut(wanted_sets(rows, cut(ends), size))
-    links = cut(verified(near, sets, percent))
-    known = components(links)
-    labelled = posts.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    mixed = labelled.groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("token")
-    labelled = cut(labelled.join(mixed, "token"))
-    x, y = (labelled.select("token", *(F.col(c).alias(c + k) for c in ("fp", "n", "l", "component"))) for k in "xy")
-    across = x.join(y, "token").where("componentx < componenty AND 100 * least(nx, ny) >= %d * greatest(nx, ny)" % percent)
-    often = across.groupBy(F.least("fpx", "fpy").alias("a"), F.greatest("fpx", "fpy").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("lx", "ly")).cast("long").alias("l"))
+    tried = cut(_best_partners(enough.select("a", "b", "shared").unionByName(neighbours(posts, percent, 0))))
+    links = cut(verified(tried, sets, percent))
+    known = cut(components(links))
+    for step in range(1, ROUNDS + 1):
+        labelled = _mixed(posts, known)
+        if step % 2:
+            more = hubs(labelled, links, percent)
+        else:
+            more = neighbours(labelled, percent, step)
+        more = cut(_best_partners(more.join(tried, ["a", "b"], "left_anti")))
+        found = cut(verified(more, sets, percent))
+        tried, links = cut(tried.unionByName(more)), cut(links.unionByName(found))
+        known = cut(components(links))
     label = lambda side: known.select(F.col("node").alias(side), F.col("component").alias("c" + side))
-    both = rare.unionByName(often).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l")).where("shared >= l")
-    both = both.join(label("a"), "a", "left").join(label("b"), "b", "left").where("NOT coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b")
-    rest = cut(verified(both.join(near, ["a", "b"], "left_anti"), sets, percent))
+    apart = enough.join(label("a"), "a", "left").join(label("b"), "b", "left").where("NOT coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b")
+    rest = cut(verified(apart.join(tried, ["a", "b"], "left_anti"), sets, percent).unionByName(block_links(_mixed(posts, known), sets, percent)))
     final = components(links.unionByName(rest))
     whole = table.join(final.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = whole.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
