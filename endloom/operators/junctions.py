@@ -92,7 +92,7 @@ def with_motif(junctions: DataFrame, genome: DataFrame) -> DataFrame:
     right = S.window(F.col("seq"), F.col("j_end") - 2, F.col("j_end"))
     five = F.when(F.col("strand") == "+", left).otherwise(S.revcomp(right))
     three = F.when(F.col("strand") == "+", right).otherwise(S.revcomp(left))
-    return g.drop("seq").withColumns({"five_ss": five, "three_ss": three, "motif": S.splice_class(five, three), "is_canonical": S.canonical_junction(five, three)})
+    return g.withColumns({"five_ss": five, "three_ss": three, "motif": S.splice_class(five, three), "is_canonical": S.canonical_junction(five, three)}).drop("seq")
 
 
 def merge_ambiguous(junctions: DataFrame, genome: DataFrame, max_shift: int = 50) -> DataFrame:
