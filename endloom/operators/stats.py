@@ -74,8 +74,9 @@ def _log_factorial(c):
 
 
 def top_variance(counts: DataFrame, k: int) -> DataFrame:
-    """The k features of largest sample variance; ties by name."""
-    return counts.groupBy("feature").agg(F.var_samp("count").alias("variance")).orderBy(F.col("variance").desc_nulls_last(), "feature").limit(k)
+    """The k features of largest sample variance; ties (to nine decimals, as the last digits
+    depend on the order of summing) by name."""
+    return counts.groupBy("feature").agg(F.var_samp("count").alias("variance")).orderBy(F.round("variance", 9).desc_nulls_last(), "feature").limit(k)
 
 
 def zscores(counts: DataFrame) -> DataFrame:

@@ -344,7 +344,7 @@ QUERIES = {
     "region_distribution": (region_distribution, _CATEGORY + ", c AS (SELECT category, CAST(sum(n) AS BIGINT) AS n_reads, count(*) AS n_positions FROM best WHERE r = 1 GROUP BY category) SELECT *, round(100.0 * n_reads / sum(n_reads) OVER (), 6) AS percent FROM c"),
     "size_factors": (size_factors, "WITH " + _COUNTS + ", l AS (SELECT feature, sample, ln(count) AS lc FROM counts), g AS (SELECT feature, avg(lc) AS g FROM l GROUP BY feature HAVING count(*) = (SELECT count(DISTINCT sample) FROM counts)) SELECT sample, round(exp(quantile_cont(lc - g, 0.5)), 6) AS factor FROM l JOIN g USING (feature) GROUP BY sample"),
     "shift_jsd": (shift_jsd, _SHIFT),
-    "topk_features": (top_variance, "WITH " + _COUNTS + " SELECT feature, round(var_samp(count), 6) AS variance FROM counts GROUP BY feature ORDER BY var_samp(count) DESC, feature LIMIT 25"),
+    "topk_features": (top_variance, "WITH " + _COUNTS + " SELECT feature, round(var_samp(count), 6) AS variance FROM counts GROUP BY feature ORDER BY round(var_samp(count), 9) DESC, feature LIMIT 25"),
     "zscore": (zscore, "WITH " + _COUNTS + " SELECT feature, sample, count, round((count - avg(count) OVER w) / stddev_samp(count) OVER w, 6) AS z FROM counts WINDOW w AS (PARTITION BY feature)"),
     "sample_corr": (sample_corr, "WITH " + _COUNTS + " SELECT x.sample AS a, y.sample AS b, round(corr(x.count, y.count), 6) AS r FROM counts x JOIN counts y ON x.feature = y.feature AND x.sample < y.sample GROUP BY ALL"),
     "fisher_enrichment": (fisher_enrichment, _FISHER),
