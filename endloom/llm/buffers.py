@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,6 +17,27 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_caches: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    """Registers a cache that lives from task to task in a Python worker."""
+    _caches.append(cache)
+    return cache
+
+
+def release() -> None:
+    """Gives back what earlier tasks of this worker keep: other operators' caches, Arrow's
+    pool and the free pages of the C library."""
+    for cache in _caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def raw_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and where each begins (with the end). Null texts are empty."""
     texts = texts.cast(pa.large_string())

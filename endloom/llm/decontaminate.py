@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import buffers
 from .common import picked
 
 WINDOW = 13
@@ -169,6 +170,7 @@ _SCAN_DDL = "doc_id long, row_hash long, n_words long, spans array<array<long>>,
 
 def _scan(docs: DataFrame, automaton_of) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers.release()
         automaton = automaton_of()
         for batch in batches:
             out: dict[str, list] = {name: [] for name in _SCAN.names}

@@ -131,6 +131,7 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, fp, n (size of the set) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers.release()
         for batch in batches:
             for a, b in buffers.slices(batch.column(1)):
                 keys, bounds = shingle_sets(batch.column(1).slice(a, b - a), size)
@@ -141,6 +142,7 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _new_sets(batches: Iterator[pa.RecordBatch], size: int):
     """(fp, keys) of each non-empty set that this task has not seen."""
+    buffers.release()
     seen: set[int] = set()
     for batch in batches:
         for a, b in buffers.slices(batch.column(1)):
@@ -149,6 +151,7 @@ def _new_sets(batches: Iterator[pa.RecordBatch], size: int):
                 if e > s and fp not in seen:
                     seen.add(fp)
                     yield fp, keys[s:e]
+    buffers.release()
 
 
 def frequent_tokens(rows: DataFrame, buckets: int, size: int, at_least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +182,7 @@ def frequent_tokens(rows: DataFrame, buckets: int, size: int, at_least: int, mos
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
+        buffers.release()
         tokens, counts = [], []
         for n, blob, at, more in zip(*(table.column(c).to_pylist() for c in ("size", "tokens", "at", "counts"))):
             tokens.append(np.cumsum(_unpack(blob, n, 5), dtype=_U))
@@ -288,6 +292,7 @@ def rare_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     """a, b, shared, l for all pairs of sets of near enough size that share rare tokens."""
 
     def pairs(table: pa.Table) -> pa.Table:
+        buffers.release()
         parts = [[], [], [], []]
         for n, blob, at, fps, ns, ls in zip(*(table.column(c).to_pylist() for c in ("size", "tokens", "at", "fps", "ns", "ls"))):
             where = _unpack(at, n, 4).astype(np.int64)
@@ -394,6 +399,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose sets link. Both sides go to the pair's place once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers.release()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
@@ -467,6 +473,7 @@ def block_links(labelled: DataFrame, sets: DataFrame, percent: int, block: int =
     bodies = dealt.join(sets, "fp").groupBy("block").agg(F.collect_list(F.struct("fp", "n", "component", "keys")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers.release()
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1)):
                 x, y = x.as_py(), y.as_py()

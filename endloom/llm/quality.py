@@ -122,6 +122,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, x (array of STATISTICS); one row for every input row, over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers.release()
         for batch in batches:
             for a, b in buffers.slices(batch.column(1)):
                 x = statistics(batch.column(1).slice(a, b - a))

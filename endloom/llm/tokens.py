@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from . import buffers
+
 #: Most pieces that the cache of one worker holds. Beyond that only the third that came
 #: first stays, as frequent pieces come early.
 CACHE_PIECES = 900_000
@@ -151,7 +153,7 @@ def _joined(parts: list[np.ndarray], dtype: np.dtype) -> tuple[np.ndarray, np.nd
     return (np.concatenate(parts) if parts else np.empty(0, dtype)), bounds
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = buffers.kept({})
 
 
 def encoder(path: str) -> Encoder:

@@ -39,7 +39,7 @@ MAX_LABELLED = 20_000
 MAX_TYPES = 15_000
 #: Words longer than this take the recurrence instead of the sum over all triples.
 LONG = 24
-CACHE = 1_500_000
+CACHE = 400_000
 
 # Digits and signs read as the letters that they resemble.
 _LOOKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -310,6 +310,7 @@ def sentence_features(docs: DataFrame, model: WordModel, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers.release()
         scanner = Scanner(shared.value)
         for batch in batches:
             for a, b in buffers.slices(batch.column(1)):
@@ -317,6 +318,8 @@ def sentence_features(docs: DataFrame, model: WordModel, id_col: str = "doc_id",
                 flat = pa.array(x.reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "features"])
+        scanner.cache.clear()
+        buffers.release()
 
     return picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FEATURES_DDL)
 
