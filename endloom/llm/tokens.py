@@ -28,6 +28,11 @@ TOGETHER = 1000
 GROUP_BYTES = 4_000_000
 
 
+#: Lower-cases A-Z and makes every ASCII blank a space.
+_FOLD = buffers.LOWER.copy()
+_FOLD[0x09:0x0E] = 0x20
+
+
 def _style(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -53,6 +58,8 @@ class Encoder:
         # piece without that character can give.
         self.between = {"leading": "\n", "dropped": " 0 "}.get(self.style, "")
         self.mark = self._whole([self.between.strip(" ")])[0] if self.between else np.empty(0, self.dtype)
+        # A stop after a letter is always a token of its own.
+        self.stops = {c: self._whole([c])[0].tobytes() for c in ".,"}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,8 +84,16 @@ class Encoder:
                 del cache[p]
         keys: tuple[list[bytes], list[bytes]] = ([], [])
         texts: tuple[list[str], list[str]] = ([], [])
+        stopped: list[bytes] = []
+        queued: set[bytes] = set()
         for p in new:
             text = p.decode("utf-8", "replace")
+            if len(text) > 1 and text[-1] in ".," and text[-2].isalpha():
+                stopped.append(p)
+                p, text = p[:-1], text[:-1]
+            if p in queued or p in cache:
+                continue
+            queued.add(p)
             bare = text[1:] if text[:1] == " " else text
             if self.style == "leading" and text != "\n" and (not bare or bare[0].isspace() or bare[-1].isspace()):
                 cache[p] = None
@@ -88,6 +103,9 @@ class Encoder:
             texts[alone].append(text)
         cache.update(zip(keys[0], self._together(texts[0])))
         cache.update(zip(keys[1], (a.tobytes() for a in self._whole(texts[1]))))
+        for p in stopped:
+            base = cache[p[:-1]]
+            cache[p] = None if base is None else base + self.stops[chr(p[-1])]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, without special tokens, and where each text's ids begin
@@ -97,6 +115,8 @@ class Encoder:
         texts = texts.cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] else np.empty(0, np.uint8)
+        if self.style == "dropped":  # these bytes' case and kind of blank make no difference
+            raw = _FOLD[raw]
         offsets = offsets - offsets[0]
         # Cut before each blank; a line feed that means a token is a piece of its own.
         starts = np.zeros(len(raw) + 1, bool)
@@ -105,7 +125,7 @@ class Encoder:
             starts[:-1] = line | (raw == 0x20)
             starts[1:] |= line
         else:
-            starts[:-1] = (raw == 0x20) | (raw >= 0x09) & (raw <= 0x0D)
+            starts[:-1] = raw == 0x20
         starts[offsets] = True
         cuts = np.flatnonzero(starts)
         if len(cuts) < 2:
