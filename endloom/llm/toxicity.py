@@ -237,8 +237,9 @@ class Scanner:
         self.cache: dict[bytes, tuple[float, bool, str]] = {}
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
+        if len(self.cache) + len(new) > self.most:  # frequent words came first
+            for p in list(self.cache)[self.most // 3 :]:
+                del self.cache[p]
         texts = [p.decode("utf-8", "replace") for p in new]
         bares = [bare(t) for t in texts]
         for p, t, b, v in zip(new, texts, bares, self.model.values(bares)):
