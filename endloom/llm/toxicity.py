@@ -18,6 +18,7 @@ turns a document's sentence values into a score.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +41,9 @@ MAX_TYPES = 15_000
 #: Words longer than this take the recurrence instead of the sum over all triples.
 LONG = 24
 CACHE = 400_000
+#: Labelled documents that share this part of their runs of SHINGLE words are copies. It is
+#: estimated by so many min-hashes; those to compare share BAND of these in a row.
+COPY, SHINGLE, HASHES, BAND = 0.8, 5, 60, 5
 
 # Digits and signs read as the letters that they resemble.
 _LOOKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -180,20 +184,69 @@ def fit_words(words: list[str], signs: np.ndarray, weights: np.ndarray, landmark
     return WordModel(chars, table, float(beta[-1]))
 
 
+def _shingles(pieces: list[str]) -> np.ndarray:
+    """Hashes of the different runs of SHINGLE words; shorter texts are one run."""
+    known = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1 for w in set(pieces)}
+    ids = np.array([known[w] for w in pieces], np.uint64)
+    size = min(SHINGLE, len(ids))
+    runs = np.zeros(len(ids) - size + 1, np.uint64)
+    for k in range(size):
+        runs = (runs ^ ids[k : len(ids) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    return np.unique(runs)
+
+
+def _least(shingles: np.ndarray) -> bytes:
+    """HASHES min-hashes of 32 bits."""
+    if not len(shingles):
+        return b"\xff" * (4 * HASHES)
+    factors = np.random.default_rng(7).integers(2**63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.array([((shingles * f) >> np.uint64(32)).min() for f in factors], np.uint32).tobytes()
+
+
+def near_copies(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
+    """rows: toxic, sign, min-hashes. toxic, sign, leader of each row that shares COPY of its
+    min-hashes with a row of the same label before it, the leader, which follows none."""
+    buckets: dict[tuple[int, int, bytes], list[int]] = {}
+    marks = np.zeros((len(rows), HASHES), np.uint32)
+    signs: list[int] = []
+    moved = []
+    for toxic, sign, raw in sorted(rows):
+        mark = np.frombuffer(raw, np.uint32)
+        keys = [(toxic, k, raw[4 * k : 4 * (k + BAND)]) for k in range(0, HASHES, BAND)]
+        near = sorted({i for key in keys for i in buckets.get(key, ())})
+        same = (marks[near] == mark).sum(axis=1)
+        if near and same.max() >= COPY * HASHES:
+            moved.append((toxic, sign, signs[near[int(same.argmax())]]))
+            continue
+        marks[len(signs)] = mark
+        for key in keys:
+            buckets.setdefault(key, []).append(len(signs))
+        signs.append(sign)
+    return moved
+
+
 def type_counts(labelled: DataFrame) -> DataFrame:
     """labelled: text, toxic. word, toxic_docs, clean_docs; the word '' stands for all
-    documents. Documents whose least word by a hash is the same count once: copies of one
-    toxic document would else make all of its words telling."""
+    documents. Copies and near copies of a document (by the runs of SHINGLE words that they
+    share) count once: copies of one toxic document would else make all of its words telling.
+    Collects the min-hashes of the different texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1)):
-                words = {w for p in set((text.as_py() or "").split()) if len(w := bare(p)) >= 2 and len(w) <= LONG}
-                sign = min((zlib.crc32(w.encode()) * 2654435761 % 2**32 for w in words), default=0)
-                n = len(words) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([*words, ""], pa.string()), pa.array([toxic.as_py()] * n, pa.int32()), pa.array([sign] * n, pa.int64())], names=["word", "toxic", "sign"])
-
-    words = labelled.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "word string, toxic int, sign long")
+                split = (text.as_py() or "").split()
+                form = {p: bare(p) for p in set(split)}
+                pieces = [w for p in split if (w := form[p])]
+                words = {w for w in form.values() if 2 <= len(w) <= LONG}
+                sign = int.from_bytes(hashlib.blake2b(" ".join(pieces).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array([[*words, ""]], pa.list_(pa.string())), pa.array([toxic.as_py()], pa.int32()), pa.array([sign], pa.int64()), pa.array([_least(_shingles(pieces))], pa.binary())], names=["words", "toxic", "sign", "least"])
+
+    read = cut(labelled.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "words array<string>, toxic int, sign long, least binary"))
+    different = read.groupBy("toxic", "sign").agg(F.first("least").alias("least")).collect()
+    moved = near_copies([(r["toxic"], r["sign"], bytes(r["least"])) for r in different])
+    leaders = read.sparkSession.createDataFrame(moved, "toxic int, sign long, leader long")
+    words = read.join(F.broadcast(leaders), ["toxic", "sign"], "left").select(F.explode("words").alias("word"), "toxic", F.coalesce("leader", "sign").alias("sign"))
     return words.distinct().groupBy("word").agg(F.sum("toxic").alias("toxic_docs"), F.sum(1 - F.col("toxic")).alias("clean_docs"))
 
 

@@ -138,3 +138,13 @@ def test_toxicity_tolerates_gaps_and_insertions(spark):
     assert all(out[i] >= 0.3 for i in (1001, 1002, 1003, 1004)) and all(out[i] < 0.3 for i in (1005, 1006, 1007))
     none = toxicity.score(d, spark.createDataFrame([], "doc_id long, toxic int")).select(F.max("score")).first()[0]
     assert none == 0.0
+
+
+def test_type_counts_collapses_only_copies(spark):
+    # Every text shares the frequent words, among them the one with the least hash.
+    own = [" ".join(f"the and of w{i}x{k}" for k in range(20)) for i in range(30)]
+    near = own[0] + " more"
+    rows = [(t, int(i < 10)) for i, t in enumerate(own)] + [(own[0], 1)] * 5 + [(near, 1)] * 3 + [("", 0), (None, 0)]
+    counts = {r["word"]: (r["toxic_docs"], r["clean_docs"]) for r in toxicity.type_counts(spark.createDataFrame(rows, "text string, toxic int")).collect()}
+    assert counts[""] == (10, 21) and counts["the"] == (10, 20)
+    assert counts[toxicity.bare("w0x3")] == (1, 0) and counts["more"] == (1, 0) and counts[toxicity.bare("w29x0")] == (0, 1)
