@@ -15,6 +15,8 @@ attempt are joined back.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,21 +146,22 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     card = F.when(_luhn_sum(canon) % 10 == 0, checked).otherwise(chars)
     ip = F.concat_ws(".", *[(240 + r(F.lit(0)) % 16 if k == 0 else r(F.lit(k)) % 256).cast("string") for k in range(4)])
 
-    def name_part(pool: str, i: int) -> Column:
+    def name_part(pool: str, i: Column) -> Column:
         cyrillic = canon.startswith("cyrillic")
         female = F.split_part(canon, F.lit("|"), F.lit(2)) == "f"
 
         def of(values: list[str]) -> Column:
-            return F.element_at(_array(values), r(F.lit(i)) % len(values) + 1)
+            return F.element_at(_array(values), r(i) % len(values) + 1)
 
         if pool == "given":
             return F.when(cyrillic & female, of(NAMES["cyrillic_f"])).when(cyrillic, of(NAMES["cyrillic_m"])).when(female, of(NAMES["latin_f"])).otherwise(of(NAMES["latin_m"]))
         return F.when(cyrillic, of(NAMES["cyrillic"])).otherwise(of(NAMES["latin"]))
 
     two = F.instr(F.split_part(canon, F.lit("|"), F.lit(3)), " ") > 0
-    # A later attempt may join a second family name, so names never run out.
-    more = F.when(attempt > 2, F.concat(F.lit("-"), name_part("family", 2), F.when(attempt > 5, F.concat(F.lit("-"), name_part("family", 3))).otherwise(F.lit("")))).otherwise(F.lit(""))
-    name = F.concat(F.when(two, F.concat(name_part("given", 0), F.lit(" "))).otherwise(F.lit("")), name_part("family", 1), more)
+    # Later attempts join ever more family names, so names never run out.
+    joined = F.when(attempt < 9, F.floor(attempt / 3).cast("int")).otherwise(attempt - 6)
+    more = F.when(attempt > 2, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(joined, F.lit(1))), lambda i: F.concat(F.lit("-"), name_part("family", i + 1))), "")).otherwise(F.lit(""))
+    name = F.concat(F.when(two, F.concat(name_part("given", F.lit(0)), F.lit(" "))).otherwise(F.lit("")), name_part("family", F.lit(1)), more)
     return F.when(kind == "ip", ip).when(kind == "name", name).when(kind == "card", card).otherwise(chars)
 
 
@@ -188,22 +191,26 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def assign(found: DataFrame, key: str, rounds: int = 40) -> tuple[DataFrame, int]:
     """kind, canon, attempt with surrogates that are distinct and no real entity, and how
-    many are past their first attempt. Runs a job for each round of checks."""
+    many are past their first attempt. Runs a job for each round of checks. Names take as
+    many rounds as they need; other types keep their format, and those that still clash
+    after so many rounds have run out of it."""
     state = cut(found.select("kind", "canon", F.lit(0).alias("attempt")))
     real = state.select("kind", F.when(F.col("kind") == "name", F.concat(F.lit("name|"), F.split_part("canon", F.lit("|"), F.lit(3)))).otherwise(F.col("canon")).alias("fake_key")).distinct()
     moved = 0
-    for _ in range(rounds):
+    for step in count(1):
         fakes = state.withColumn("fake", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
         fakes = cut(fakes.withColumn("fake_key", F.when(F.col("kind") == "name", F.concat(F.lit("name|"), F.lower("fake"))).otherwise(F.col("fake"))))
         owners = fakes.groupBy("kind", "fake_key").agg(F.min("canon").alias("owner"), F.count(F.lit(1)).alias("n"))
         clash = owners.where("n > 1").select("kind", "fake_key", "owner").unionByName(owners.join(real, ["kind", "fake_key"], "left_semi").select("kind", "fake_key", F.lit(None).cast("string").alias("owner")))
         clash = clash.groupBy("kind", "fake_key").agg(F.max(F.col("owner").isNull()).alias("taken"), F.max("owner").alias("owner"))
         bad = cut(fakes.join(clash, ["kind", "fake_key"]).where(F.col("taken") | (F.col("canon") != F.col("owner"))).select("kind", "canon", F.lit(1).alias("step")))
-        if not bad.count():
+        clashes, formats = bad.agg(F.count(F.lit(1)), F.count_if(F.col("kind") != "name")).first()
+        if not clashes:
             return state, moved
+        if formats and step >= rounds:
+            raise ValueError("the surrogates of some type ran out")
         state = cut(state.join(bad, ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("step", F.lit(0))).alias("attempt")))
         moved = state.where("attempt > 0").count()
-    raise ValueError("the surrogates of some type ran out")
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", map_entries: int = MAP_ENTRIES) -> DataFrame:

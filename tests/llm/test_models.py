@@ -148,3 +148,12 @@ def test_type_counts_collapses_only_copies(spark):
     counts = {r["word"]: (r["toxic_docs"], r["clean_docs"]) for r in toxicity.type_counts(spark.createDataFrame(rows, "text string, toxic int")).collect()}
     assert counts[""] == (10, 21) and counts["the"] == (10, 20)
     assert counts[toxicity.bare("w0x3")] == (1, 0) and counts["more"] == (1, 0) and counts[toxicity.bare("w29x0")] == (0, 1)
+
+
+def test_names_do_not_run_out(spark):
+    # More one-word names than there are runs of up to three of the ten family names.
+    n = 1200
+    found = spark.range(n).selectExpr("'name' AS kind", "concat('cyrillic|m|имя', id) AS canon")
+    state, moved = pii.assign(found, "k")
+    fakes = state.select(pii.surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), "k").alias("fake"))
+    assert moved > 0 and fakes.distinct().count() == n
