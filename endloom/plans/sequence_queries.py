@@ -129,9 +129,10 @@ def affine(s, d) -> DataFrame:
 
 
 def walk_back(s, d) -> DataFrame:
-    q = dna(s, d).where(F.length("seq") >= 40)
-    read = F.concat(F.substring("seq", 1, 20), F.rpad(F.lit(""), 20, "A"))
-    return q.select("doc_id", U.walk_back(read, F.substring("seq", 1, 40), F.lit(39)).alias("position"))
+    """Whole sequences with a tail of 20 As, from the tail's last position; a sequence without
+    a base other than A (an empty one too) keeps that position."""
+    read = F.concat("seq", F.rpad(F.lit(""), 20, "A"))
+    return dna(s, d).select("doc_id", U.walk_back(read, F.col("seq"), F.length("seq") + 19).alias("position"))
 
 
 def confidence_flags(s, d) -> DataFrame:

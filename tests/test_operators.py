@@ -128,3 +128,12 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["key"]: r["w"] for r in sessions.read_sums(spark, str(tmp_path / "sums"), ["key"], "w").collect()} == {"k0": 60.0, "k1": 60.0}
+
+
+def test_walkback_uses_whole_sequences(spark, tmp_path):
+    from endloom.plans.sequence_queries import walk_back
+
+    texts = ["c" * 60 + "a" * 5, "c" * 30, "c", "a" * 50, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r["position"] for r in walk_back(spark, str(tmp_path)).collect()}
+    assert out == {0: 59, 1: 29, 2: 0, 3: 69, 4: 19, 5: 19}
