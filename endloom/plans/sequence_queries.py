@@ -125,7 +125,7 @@ def hp_edit(s, d) -> DataFrame:
 
 
 def affine(s, d) -> DataFrame:
-    return table(s, d, "part").select("p_partkey", U.affine_cigar("p_brand", F.substring("p_type", 1, 12)).alias("a")).select("p_partkey", F.col("a.score").cast("long").alias("score"), "a.cigar")
+    return table(s, d, "part").select("p_partkey", U.affine_cigar("p_brand", "p_type").alias("a")).select("p_partkey", F.col("a.score").cast("long").alias("score"), "a.cigar")
 
 
 def walk_back(s, d) -> DataFrame:

@@ -137,3 +137,10 @@ def test_walkback_uses_whole_sequences(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = {r["doc_id"]: r["position"] for r in walk_back(spark, str(tmp_path)).collect()}
     assert out == {0: 59, 1: 29, 2: 0, 3: 69, 4: 19, 5: 19}
+
+
+def test_affine_cigar_aligns_whole_types(spark, tmp_path):
+    from endloom.plans.sequence_queries import affine
+
+    spark.createDataFrame([(1, "Brand#1", "STANDARD BRUSHED Brand#1")], "p_partkey long, p_brand string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    assert [tuple(r) for r in affine(spark, str(tmp_path)).collect()] == [(1, 2 * 7 - 4 - 17, "17D7M")]
