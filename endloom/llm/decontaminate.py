@@ -25,6 +25,7 @@ from .common import picked
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
+_SPANS = "__spans"
 
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: Lower-cases A-Z and turns every byte that is in no word into a blank.
@@ -268,25 +269,33 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_span: int = 2 * WIND
     spark, columns = docs.sparkSession, docs.columns
     shards = [spark.sparkContext.broadcast(s) for s in _shards(picked(benchmark, item_id="item_id", text="text"), SHARD_WORDS)]
     at = columns.index("text")
+    schema = docs.schema
+    # Each shard adds its spans of the text as it came; what to cut is judged over all.
+    kept = pa.list_(pa.list_(pa.int64()))
+    docs = docs.withColumn(_SPANS, F.expr("CAST(array() AS array<array<long>>)"))
 
     for shard in shards:
 
-        def run(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
             automaton = SuffixAutomaton(shard.value, window)
             for batch in batches:
-                texts = []
-                for text in batch.column(at):
-                    text = text.as_py()
-                    sequence = words(text)
-                    spans, _ = automaton.scan(sequence)
-                    covered = sum(b - a for a, b in spans)
-                    cut = spans if covered > max_coverage * len(sequence) else [s for s in spans if s[1] - s[0] > max_span]
-                    texts.append(_cleaner(text, cut) if cut else text)
-                arrays = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
-                yield pa.RecordBatch.from_arrays(arrays, names=columns)
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                found = [known.as_py() + [list(s) for s in automaton.scan(words(text.as_py()))[0]] for text, known in zip(batch.column(at), batch.column(len(columns)))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kept)], names=[*columns, _SPANS])
+
+        docs = docs.mapInArrow(find, docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, found in zip(batch.column(at), batch.column(len(columns))):
+                text, spans = text.as_py(), merged(found.as_py())
+                covered = sum(b - a for a, b in spans)
+                cut = spans if spans and covered > max_coverage * len(words(text)) else [s for s in spans if s[1] - s[0] > max_span]
+                texts.append(_cleaner(text, cut) if cut else text)
+            arrays = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return docs.mapInArrow(run, schema)
 
 
 def items_digest(items: Iterable[str]) -> str:

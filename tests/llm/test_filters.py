@@ -77,6 +77,21 @@ def test_remove_spans_keeps_clean_texts(spark):
     assert out == ["Start, end.", "nothing  here \n", None]
 
 
+def test_remove_spans_is_the_same_over_shards(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "a1 a2 a3 a4 a5 a6"), (2, "b1 b2 b3 b4 b5 b6"), (3, "a5 a6 b1 b2 b3")], "item_id long, text string")
+    rest = [f"w{i}" for i in range(160)]
+    apart = " ".join(["s", "a1 a2 a3 a4 a5 a6", *rest[:80], "b1 b2 b3 b4 b5 b6", *rest[80:]])  # 3.5 % each, 7 % together
+    long = " ".join(["s", "a1 a2 a3 a4 a5 a6 b1 b2 b3 b4 b5 b6", *rest, *rest])  # one span of 12 words
+    want = [" ".join(["s", *rest]), " ".join(["s", *rest, *rest]), None]
+
+    def cleaned():
+        return [r["text"] and " ".join(r["text"].split()) for r in decontaminate.remove_spans(frame(spark, [apart, long, None]), bench, max_span=8, window=4).orderBy("doc_id").collect()]
+
+    assert cleaned() == want
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 6)
+    assert cleaned() == want
+
+
 def shingles(text, size=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set()
