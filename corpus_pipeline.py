@@ -1,33 +1,40 @@
 """A corpus pipeline of five stages, each of which applies one operator to all documents.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of docs. Identifiers are taken as unique: rows that share a doc_id stay or go
-together, except in exact deduplication, which looks at each row's own text. Null texts
-count as empty; extra columns are kept.
+columns of docs. Each row stays or goes by its own text: rows are told apart by doc_id and
+a hash of the text, so null or shared identifiers do no harm. Null texts count as empty;
+extra columns are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from endloom.llm import decontaminate, exact_dedup, ngram_join, packing, queries, toxicity
-from endloom.llm.common import shared_path
+from endloom.llm.common import cut, shared_path
 
 TOXIC_FROM = 0.3
 
 
+def _row() -> Column:
+    """A key of (doc_id, text)."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in rejected (key)."""
-    return docs.join(rejected.distinct(), docs["doc_id"].eqNullSafe(rejected["key"]), "left_anti")
+    """docs without the rows whose key is in rejected (key)."""
+    return docs.withColumn("__row", _row()).join(rejected.distinct(), F.col("__row") == F.col("key"), "left_anti").drop("__row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of TOXIC_FROM or more go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs.select("doc_id", "text"), labels, learn_from=lambda i: ~queries.held_out(i))
-    return _without(docs, scored.where(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("key")))
+    scored = toxicity.score(docs.select("doc_id", "text"), labels, learn_from=lambda i: ~queries.held_out(i), by_row=True)
+    toxic = scored.where(F.col("score") >= TOXIC_FROM).select("doc_id", "row_key").distinct()
+    own = docs.withColumn("__row", F.xxhash64("text"))
+    return own.join(toxic, own["doc_id"].eqNullSafe(toxic["doc_id"]) & (own["__row"] == toxic["row_key"]), "left_anti").drop("__row")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +51,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents that the n-gram Jaccard join links, the one with the least
-    doc_id stays."""
-    classes = ngram_join.classes(docs.select("doc_id", "text"))
-    return _without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("key")))
+    doc_id stays (null ones last)."""
+    classes = ngram_join.classes(docs.select(_row().alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    named = cut(classes.join(docs.select(_row().alias("key"), "doc_id").distinct(), "key"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key"))
+    return _without(docs, named.join(first, "key", "left_anti").select("key"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go of whose words a twentieth or more lie in windows of benchmark items."""
-    found = decontaminate.contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contamination(docs.select(_row().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, decontaminate.judged(found).where("contaminated").select(F.col("doc_id").alias("key")))
 
 

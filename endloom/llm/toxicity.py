@@ -356,26 +356,27 @@ class Scanner:
                 a = to
 
 
-_FEATURES_DDL = "doc_id long, features array<double>"
+_FEATURES_DDL = "doc_id long, row_key long, features array<double>"
 
 
 def sentence_features(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, features; one row for every input row, over whole texts."""
+    """doc_id, row_key (a hash of the text), features; one row for every input row, over
+    whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffers.release()
         scanner = Scanner(shared.value)
         for batch in batches:
-            for a, b in buffers.slices(batch.column(1)):
-                x = scanner.features(batch.column(1).slice(a, b - a))
+            for a, b in buffers.slices(batch.column(2)):
+                x = scanner.features(batch.column(2).slice(a, b - a))
                 flat = pa.array(x.reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["doc_id", "row_key", "features"])
         scanner.cache.clear()
         buffers.release()
 
-    return picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FEATURES_DDL)
+    return picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FEATURES_DDL)
 
 
 @dataclass
@@ -412,18 +413,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from,
     return known.join(have, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
-def score(docs: DataFrame, labels: DataFrame, learn_from=lambda doc_id: F.lit(True), max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, score (0 to 1) for every row of docs (doc_id, text).
+def score(docs: DataFrame, labels: DataFrame, learn_from=lambda doc_id: F.lit(True), max_labelled: int = MAX_LABELLED, by_row: bool = False) -> DataFrame:
+    """doc_id, score (0 to 1) for every row of docs (doc_id, text); by_row adds row_key, the
+    xxhash64 of the text.
 
     Trains on at most max_labelled rows of labels (doc_id, toxic) for which learn_from
     holds. Empty and null texts get the score of a text without words; with no labels of
     one kind every score is the share of toxic labels, or 0 without any. Runs jobs:
     the training texts are read once more than the others.
     """
+    keys = lambda c: [c] if by_row else []
     sample = cut(labelled_sample(docs, labels, "toxic", learn_from, max_labelled))
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or toxic in (0, n):
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(float(toxic) / n if n else 0.0).alias("score"))
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys(F.xxhash64("text").alias("row_key")), F.lit(float(toxic) / n if n else 0.0).alias("score"))
     training = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_labelled rows
     model = train_words(training.select("text", "toxic"))
     features = cut(sentence_features(docs, model))
@@ -432,7 +435,7 @@ def score(docs: DataFrame, labels: DataFrame, learn_from=lambda doc_id: F.lit(Tr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(final.probabilities(x))], names=["doc_id", "score"])
+            x = np.array(batch.column(2).flatten()).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(final.probabilities(x))], names=["doc_id", "row_key", "score"])
 
-    return features.mapInArrow(run, "doc_id long, score double")
+    return features.mapInArrow(run, "doc_id long, row_key long, score double").select("doc_id", *keys("row_key"), "score")

@@ -131,3 +131,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["n-gram Jaccard join"] == kept["exact dedup"] - {201}
     assert kept["benchmark decontamination"] == kept["n-gram Jaccard join"] - {202}
     assert kept["best-fit packing"] == kept["benchmark decontamination"]
+
+
+def test_pipeline_rejects_rows_not_identifiers(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice(["ta", "lo", "mi", "ner", "sol"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    item, clean, other, shared = text(30), text(50), text(50), text(50)
+    rows = [(1, shared), (None, shared + " sita"), (None, clean), (7, other), (7, text(10) + " " + item), (None, text(10) + " " + item)]
+    rows += [(100 + i, text(30) + (" you idiot moron" if i % 4 == 0 else "")) for i in range(120)]
+    rows += [(None, text(30) + " you idiot moron")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(100 + i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = lambda stage: {r["text"] for r in stage(spark, docs, str(tmp_path)).collect()}
+    everything = {t for _, t in rows}
+    assert left(corpus_pipeline.drop_toxic) == {t for t in everything if "idiot" not in t}
+    assert left(corpus_pipeline.drop_near_copies) == everything - {shared + " sita"}
+    assert left(corpus_pipeline.drop_contaminated) == {t for t in everything if item not in t}
