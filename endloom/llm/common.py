@@ -13,18 +13,21 @@ WHITESPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the
-    cluster names one, else (tests, a single machine) a fresh temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir where the cluster
+    names one, else, with a local master alone (tests), a fresh temporary folder."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="endloom-checkpoint-"))
     return configured or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder; runs a job. The files go
-    when Spark's cleaner finds that nothing refers to the frame any more."""
+    """Cut the lineage through the shared checkpoint folder; runs a job. The files stay
+    until the folder is cleared, unless the cluster sets
+    spark.cleaner.referenceTracking.cleanCheckpoints."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 

@@ -35,18 +35,22 @@ EPOCHS = 2
 GENERATIONS = 8
 POPULATION = 5
 ELITE = 2
+_UID = "__uid"
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Tokenise every whole text, append end_id, and cut only what is longer than capacity:
-    doc_id, piece, start, length, ids_crc32. Null texts are empty: one piece of one id."""
+    doc_id, piece, start, length, ids_crc32. Null texts are empty: one piece of one id.
+    The strings of special tokens in a text give their ids, as the library does by default,
+    or with special_as_text are ordinary text. Columns of docs beyond the two that are
+    named have no influence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, ids in tokens.encoded(tokenizer_path, batch.column(1)):
+            for i, ids in tokens.encoded(tokenizer_path, batch.column(1), special_as_text=special_as_text):
                 ids = np.append(ids.astype("<u4"), np.uint32(end_id))
                 key = batch.column(0)[i].as_py()
                 rows += [(key, k, s, len(p), zlib.crc32(p.tobytes())) for k, s in enumerate(range(0, len(ids), capacity)) for p in (ids[s : s + capacity],)]
@@ -125,6 +129,13 @@ def evolve(lengths: np.ndarray, seeds: list[np.ndarray], capacity: int, generati
     return pool
 
 
+def migrated(state: DataFrame, islands: int) -> DataFrame:
+    """Each island keeps its own rows and gets those of the one before it in the ring, whose
+    elites are told from its own by source."""
+    ring = F.array_distinct(F.array("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int")))
+    return state.select("shard", F.explode(ring).alias("island"), "uid", "length", "source", "elites")
+
+
 def _pack_shards(items: DataFrame, level: int, capacity: int, shard_pieces: int, islands: int, epochs: int, generations: int, population: int) -> DataFrame:
     """items: uid, length, n (their number). Result: uid, length, sequence_id, offset,
     fill (of the sequence)."""
@@ -149,8 +160,8 @@ def _pack_shards(items: DataFrame, level: int, capacity: int, shard_pieces: int,
 
     schema = "shard long, island int, uid long, length long, source int, elites array<int>, bins long, square double"
     for e in range(epochs):
-        if e:  # each island also gets the elite of the one before it in the ring
-            state = state.select("shard", F.explode(F.array_distinct(F.array("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int")))).alias("island"), "uid", "length", "source", "elites")
+        if e:
+            state = migrated(state, islands)
         state = state.groupBy("shard", "island").applyInPandas(epoch(), schema)
     best = Window.partitionBy("shard", "uid").orderBy("bins", "square", "island")
     won = state.withColumn("place", F.row_number().over(best)).where("place = 1")
@@ -168,9 +179,11 @@ def pack(piece_rows: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SH
     the packed shards. Sequences filled below ``poor`` go to the next level, where there are
     fewer shards, until one shard is left or ``levels`` is reached.
     """
-    rows = cut(piece_rows.withColumn("uid", F.monotonically_increasing_id()))
-    whole = rows.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    left = rows.where(F.col("length") < capacity).select("uid", "length")
+    extra = [F.col(f"`{c}`") for c in piece_rows.columns if c not in ("sequence_id", "offset")]
+    rows = cut(piece_rows.select(*extra, F.monotonically_increasing_id().alias(_UID)))
+    own = rows.select(F.col(_UID).alias("uid"), "length")
+    whole = own.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    left = own.where(F.col("length") < capacity)
     parts = [whole]
     n = left.count()
     for level in range(levels):
@@ -187,4 +200,4 @@ def pack(piece_rows: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SH
     placed = parts[0]
     for p in parts[1:]:
         placed = placed.unionByName(p)
-    return rows.join(placed, "uid").drop("uid")
+    return rows.join(placed.withColumnRenamed("uid", _UID), _UID).drop(_UID)

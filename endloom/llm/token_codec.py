@@ -66,12 +66,14 @@ _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_tokens", pa
 _BLOCK_DDL = "part int, block int, n_tokens long, doc_ids array<long>, lengths array<long>, first_hash long, table binary, control binary, data binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_tokens: int = BLOCK_TOKENS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_tokens: int = BLOCK_TOKENS, special_as_text: bool = False) -> None:
     """Encode every whole text, append end_id, and write the token files to path.
 
     Null texts are empty. Documents are in ascending doc_id order (null first; rows that
     share a doc_id by a hash of their text), so a doc_id on many rows is still spread over
-    files. Runs a job; texts are shuffled once and encoded once.
+    files. The strings of special tokens in a text give their ids, as the library does by
+    default, or with special_as_text are ordinary text. Columns of docs beyond the two that
+    are named have no influence. Runs a job; texts are shuffled once and encoded once.
     """
     base = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = parts or shuffle_width(docs.sparkSession)
@@ -89,7 +91,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
         for batch in batches:
-            for i, ids in tokens.encoded(tokenizer_path, batch.column(2)):
+            for i, ids in tokens.encoded(tokenizer_path, batch.column(2), special_as_text=special_as_text):
                 if not keys:
                     first = batch.column(1)[i].as_py()
                 keys.append(batch.column(0)[i].as_py())

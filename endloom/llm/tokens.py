@@ -4,8 +4,9 @@ The tokenizers library spends most of its time on words it has just seen. Where
 file's own rules make the text between two blanks independent of its surroundings, the
 texts of a batch are cut there into pieces, Arrow finds the distinct ones, the library
 encodes each new one once, and numpy joins the ids from the cache. A text with any other
-use of white space, and any tokenizer whose rules are not known to allow this, is encoded
-whole.
+use of white space or with a special token's string, and any tokenizer whose rules are not
+known to allow this, is encoded whole. A very long text is first cut at blanks between two
+ASCII letters, where both tokenizers always end a piece.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from . import buffers
 CACHE_PIECES = 900_000
 #: New pieces that are encoded in one call.
 TOGETHER = 1000
-#: Bytes of text that are cut and joined at a time.
+#: Bytes of text that are cut and joined at a time; longer texts are cut into parts.
 GROUP_BYTES = 4_000_000
 
 
@@ -46,10 +47,19 @@ def _style(path: str) -> str:
     return "whole"
 
 
+def _plain_letter(c: str) -> bool:
+    """A letter that stays one letter in lower case and in every normal form."""
+    return c.isascii() and c.isalpha() or "\u00c0" <= c < "\u0530" and c.isalpha() and c != "\u0374" and len(c.lower()) == 1
+
+
 class Encoder:
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES) -> None:
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, special_as_text: bool = False) -> None:
+        """special_as_text: the strings of special tokens in a text are ordinary text; else
+        they give the special tokens' ids, as the library does by default."""
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = () if special_as_text else self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content.lower().encode() for t in added]
         self.style = _style(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.most = cache_pieces
@@ -58,7 +68,7 @@ class Encoder:
         # piece without that character can give.
         self.between = {"leading": "\n", "dropped": " 0 "}.get(self.style, "")
         self.mark = self._whole([self.between.strip(" ")])[0] if self.between else np.empty(0, self.dtype)
-        # A stop after a letter is always a token of its own.
+        # A stop after a letter that normalisation leaves a letter is a token of its own.
         self.stops = {c: self._whole([c])[0].tobytes() for c in ".,"}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -76,19 +86,32 @@ class Encoder:
                 at = end + self.dtype.itemsize
         return out
 
+    def _special(self, piece: bytes) -> bool:
+        return b"<" in piece and any(t in piece.lower() for t in self.special)
+
+    def _room(self, known: list[bytes]) -> list[bytes]:
+        """The pieces of known that are not in the cache, which is first cut down if it is too
+        full. All pieces of a batch are in it together, so it may hold a batch's more."""
+        new = [p for p in known if p not in self.cache]
+        if new and len(self.cache) + len(new) > self.most:
+            for p in list(self.cache)[self.most // 3 :]:
+                del self.cache[p]
+            new = [p for p in known if p not in self.cache]
+        return new
+
     def _learn(self, new: list[bytes]) -> None:
         """None for a piece that is not independent of what stands around it."""
         cache, mark = self.cache, self.between.strip()
-        if len(cache) + len(new) > self.most:
-            for p in list(cache)[self.most // 3 :]:
-                del cache[p]
         keys: tuple[list[bytes], list[bytes]] = ([], [])
         texts: tuple[list[str], list[str]] = ([], [])
         stopped: list[bytes] = []
         queued: set[bytes] = set()
         for p in new:
+            if self._special(p):
+                cache[p] = None
+                continue
             text = p.decode("utf-8", "replace")
-            if len(text) > 1 and text[-1] in ".," and text[-2].isalpha():
+            if len(text) > 1 and text[-1] in ".," and _plain_letter(text[-2]):
                 stopped.append(p)
                 p, text = p[:-1], text[:-1]
             if p in queued or p in cache:
@@ -132,11 +155,8 @@ class Encoder:
             return np.empty(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
         known = pieces.dictionary.to_pylist()
-        if new := [p for p in known if p not in self.cache]:
+        if new := self._room(known):
             self._learn(new)
-            if len(new) < len(known):  # some may have been let go
-                if lost := [p for p in known if p not in self.cache]:
-                    self._learn(lost)
         ids_of = list(map(self.cache.__getitem__, known))
         which = pieces.indices.to_numpy()
         size = self.dtype.itemsize
@@ -150,16 +170,16 @@ class Encoder:
         ids = store[take]
         place = np.searchsorted(cuts, offsets)
         bounds = np.concatenate([[0], ends])[place]
+        odd = np.fromiter((b is None for b in ids_of), bool, len(ids_of))[which]
         if self.style == "leading":
-            odd = np.fromiter((b is None for b in ids_of), bool, len(ids_of))[which]
             feed = raw[cuts[:-1]] == 0x0A
             odd[1:] |= feed[1:] & feed[:-1] & ~starts_of(offsets, cuts)[1:]
-            if odd.any():
-                docs = np.unique(np.searchsorted(offsets, cuts[:-1][odd], side="right") - 1)
-                parts = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
-                for d, whole in zip(docs.tolist(), self._whole([texts[d].as_py() for d in docs.tolist()])):
-                    parts[d] = whole
-                return _joined(parts, self.dtype)
+        if odd.any():
+            docs = np.unique(np.searchsorted(offsets, cuts[:-1][odd], side="right") - 1)
+            parts = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+            for d, whole in zip(docs.tolist(), self._whole([texts[d].as_py() for d in docs.tolist()])):
+                parts[d] = whole
+            return _joined(parts, self.dtype)
         return ids, bounds
 
 
@@ -173,23 +193,50 @@ def _joined(parts: list[np.ndarray], dtype: np.dtype) -> tuple[np.ndarray, np.nd
     return (np.concatenate(parts) if parts else np.empty(0, dtype)), bounds
 
 
-_encoders: dict[str, Encoder] = buffers.kept({})
+_encoders: dict[tuple[str, bool], Encoder] = buffers.kept({})
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder for each file and Python worker, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = path, special_as_text
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, special_as_text=special_as_text)
+    return _encoders[key]
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+
+
+def _long(enc: Encoder, text: pa.Scalar, size: int) -> np.ndarray:
+    """The ids of a text longer than size bytes, encoded part by part."""
+    raw, _ = buffers.raw_of(pa.array([text], text.type))
+    parts, at = [], 0
+    while at < len(raw):
+        to = at + size if enc.style != "whole" else len(raw)
+        while to < len(raw):  # the first blank between two letters, sought a part at a time
+            near = raw[to - 1 : to + size + 1]
+            found = np.flatnonzero((near[1:-1] == 0x20) & _LETTER[near[:-2]] & _LETTER[near[2:]])
+            if len(found):
+                to += int(found[0])
+                break
+            to += size
+        parts.append(enc.encode(pa.array([raw[at:to].tobytes()], pa.binary()).cast(pa.large_binary()).cast(pa.large_string()))[0])
+        at = to
+    return np.concatenate(parts)
 
 
-def encoded(path: str, texts: pa.Array, chars: int = GROUP_BYTES):
+def encoded(path: str, texts: pa.Array, size: int = GROUP_BYTES, special_as_text: bool = False):
     """(row, ids) for each text, working on about so many bytes of text at a time."""
-    enc = encoder(path)
+    enc = encoder(path, special_as_text)
     sizes = np.cumsum([0, *(pc.fill_null(pc.binary_length(texts), 0).to_pylist())])
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + chars, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + size, side="right")) - 1)
+        if sizes[to] - sizes[at] > size:  # one long text
+            yield at, _long(enc, texts[at], size)
+            at = to
+            continue
         ids, bounds = enc.encode(texts.slice(at, to - at))
         for i in range(to - at):
             yield at + i, ids[bounds[i] : bounds[i + 1]]

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,49 +32,90 @@ def test_block_uses_one_byte_for_frequent_ids():
     assert len(control) == -(-len(ids) // 4) and len(data) == (1000 + 255) + 2 * (65536 - 256) + 3 * (70_001 - 65536)
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 @pytest.mark.parametrize("cache", [10, 1000])
-def test_cached_pieces_give_the_librarys_ids(name, cache):
-    import pyarrow as pa
-
+def test_cached_pieces_give_the_librarys_ids(name, cache, special_as_text):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    ids, bounds = tokens.Encoder(path, cache).encode(pa.array(TEXTS + TEXTS[::-1]))
+    plain.encode_special_tokens = special_as_text
+    ids, bounds = tokens.Encoder(path, cache, special_as_text).encode(pa.array(TEXTS + TEXTS[::-1]))
     want = [e.ids for e in plain.encode_batch([t or "" for t in TEXTS + TEXTS[::-1]], add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
 
 
-def test_token_files_round_trip(spark, tmp_path):
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [(100 - i, t) for i, t in enumerate(TEXTS)] + [(None, "none"), (100, "")]
-    token_codec.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), path, block_tokens=50)
-    out = token_codec.read_tokens(spark, str(tmp_path / "t")).collect()
-    out.sort(key=lambda r: r["start"])
-    keys = [r["doc_id"] for r in out]
-    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)) and len(out) == len(rows)
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    want = sorted((k, plain.encode(t or "", add_special_tokens=False).ids + [0]) for k, t in rows if k is not None)
-    assert sorted((r["doc_id"], r["ids"]) for r in out if r["doc_id"] is not None) == want
-    at = 0
-    for r in out:
-        assert r["start"] == at and r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
-        at += r["n_tokens"]
-    token_codec.write_tokens(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e"), path)
-    assert token_codec.read_tokens(spark, str(tmp_path / "e")).collect() == []
-
-
-def test_genetic_algorithm_improves_on_best_fit():
-    rng = np.random.default_rng(0)
-    lengths = np.concatenate([rng.integers(250, 500, 120), rng.integers(100, 250, 60)])
+BITS = ["a", "B", "word", "it's", "İ", "ß", "é", "\u0301", "日本", "Ω", "Σ", "Йо", "0", "10 0", " ", "  ", "\n", "\n\n", "\t", "\x1c", ".", ",", "...", "<|endoftext|>", "<|STARTOFTEXT|>", "<|", "'s", "’", "😀", "\u200d", "ͺ", "ʹ", "ŉ", "K", "ﬁ", "\x85", "\u0345", "x."]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_random_texts_in_several_calls_give_the_librarys_ids(name):
+    rng, path = random.Random(11), public_tokenizers.path(name)
+    texts = ["".join(rng.choice(BITS) + rng.choice(["", " ", "", " ", "."]) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for cache in (20, 1_000_000):
+        enc, got = tokens.Encoder(path, cache), []
+        for at in range(0, len(texts), 600):
+            ids, bounds = enc.encode(pa.array(texts[at : at + 600]))
+            got += [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == want
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_texts_are_encoded_in_parts(name):
+    rng, path = random.Random(12), public_tokenizers.path(name)
+    texts = [" ".join(rng.choice(BITS) for _ in range(9000)), "", "日本" * 3000, None]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [ids.tolist() for _, ids in tokens.encoded(path, pa.array(texts), size=700)] == want
+
+
+def _triplets(n, capacity, seed):
+    """Pieces that fill n bins exactly, three to a bin."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(capacity * 38 // 100, capacity * 49 // 100))
+        b = int(rng.integers((capacity - a) // 2 - capacity // 12, (capacity - a) // 2))
+        out += [a, b, capacity - a - b]
+    return np.array(out)
+
+
+def _first(lengths, capacity):
     bins = np.full(len(lengths), -1, np.int64)
-    packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), bins, [], 1000)
-    first = packing.fitness(bins, lengths)
-    pool = packing.evolve(lengths, [bins], 1000, 30, 6, np.random.default_rng(1))
-    assert packing.fitness(pool[0], lengths) <= first
+    packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), bins, [], capacity)
+    return bins
+
+
+def test_genetic_algorithm_improves_on_best_fit(monkeypatch):
+    lengths = _triplets(20, 1000, 3)
+    seed = _first(lengths, 1000)
+    pool = packing.evolve(lengths, [seed], 1000, 60, 10, np.random.default_rng(1))
+    gained = packing.fitness(pool[0], lengths)
+    assert gained[0] < packing.fitness(seed, lengths)[0]
     for child in pool:
         assert (child >= 0).all() and np.bincount(child, lengths).max() <= 1000
+    # It is crossover that gains: with children like their parents nothing does.
+    monkeypatch.setattr(packing, "crossover", lambda giver, taker, *_: taker.copy())
+    still = packing.evolve(lengths, [seed], 1000, 60, 10, np.random.default_rng(1))
+    assert packing.fitness(still[0], lengths) > gained
+
+
+def test_crossover_hands_on_whole_bins():
+    lengths = _triplets(20, 1000, 5)
+    perfect = np.repeat(np.arange(20), 3)
+    child = packing.crossover(perfect, _first(lengths, 1000), lengths, 1000, np.random.default_rng(0))
+    fill = np.bincount(child, lengths)
+    assert fill.max() <= 1000 and lengths.sum() == fill.sum()
+    same = {frozenset(np.flatnonzero(perfect == b).tolist()) for b in range(20)} & {frozenset(np.flatnonzero(child == b).tolist()) for b in np.unique(child)}
+    assert len(same) >= 20 // 2 // 3  # a third of the better half
+
+
+def test_elites_migrate_round_the_ring(spark):
+    rows = [(0, i, 10 * i + u, 5, i, [i]) for i in range(3) for u in range(2)] + [(1, i, u, 5, i, [i]) for i in range(3) for u in range(2)]
+    state = spark.createDataFrame(rows, "shard long, island int, uid long, length long, source int, elites array<int>")
+    got = {}
+    for r in packing.migrated(state, 3).collect():
+        got.setdefault((r["shard"], r["island"]), set()).add(r["source"])
+    assert got == {(s, i): {i, (i - 1) % 3} for s in (0, 1) for i in range(3)}
+    assert packing.migrated(state.where("island = 0"), 1).count() == 4
 
 
 def test_packing_is_gapless_and_tight(spark):
@@ -94,6 +136,24 @@ def test_packing_is_gapless_and_tight(spark):
     assert packing.pack(df.limit(0), capacity=100).collect() == []
 
 
+def test_pieces_of_the_query_have_the_librarys_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, t, "x", 9) for i, t in enumerate([*TEXTS, "İ, ok. <|endoftext|> İstanbul. x"])]
+    out = packing.pack(packing.pieces(spark.createDataFrame(rows, "doc_id long, text string, uid string, piece long"), path, capacity=64), capacity=64).collect()
+    plain, want = Tokenizer.from_file(path), []
+    for i, t, *_ in rows:
+        ids = np.array(plain.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        want += [(i, k, s, len(ids[s : s + 64]), zlib.crc32(ids[s : s + 64].tobytes())) for k, s in enumerate(range(0, len(ids), 64))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == sorted(want)
+
+
+def test_packing_keeps_the_callers_columns(spark):
+    df = spark.createDataFrame([(1, 40, "a", 7), (2, 60, "b", 7), (None, 100, None, 7)], "doc_id long, length long, uid string, sequence_id long")
+    out = {r["doc_id"]: r for r in packing.pack(df, capacity=100).collect()}
+    assert {k: r["uid"] for k, r in out.items()} == {1: "a", 2: "b", None: None}
+    assert out[1]["sequence_id"] == out[2]["sequence_id"] != out[None]["sequence_id"] and sorted([out[1]["offset"], out[2]["offset"]]) in ([0, 40], [0, 60])
+
+
 def test_pieces_cut_only_long_documents(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     df = spark.createDataFrame([(1, "a b c"), (2, "a " * 25), (3, None), (3, "")], "doc_id long, text string")
