@@ -74,6 +74,38 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return s, e, np.searchsorted(offsets, s, side="right") - 1
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+#: Bytes of the parts that a long text is worked on in.
+PART = 2_000_000
+
+
+def parts(raw: np.ndarray, size: int = PART):
+    """(from, to) of parts of a text of about so many bytes, cut before single blanks with
+    three letters (or bytes of other scripts) on either side. A text without such blanks
+    gives longer parts."""
+    at = 0
+    while at < len(raw):
+        to = at + size
+        while to < len(raw):
+            near = raw[to - 3 : to + size + 3]
+            letter = _LETTER[near]
+            k = len(near) - 6
+            if k <= 0:
+                to = len(raw)
+                break
+            ok = near[3 : 3 + k] == 0x20
+            for j in (0, 1, 2, 4, 5, 6):
+                ok &= letter[j : j + k]
+            found = np.flatnonzero(ok)
+            if len(found):
+                to += int(found[0])
+                break
+            to += size
+        yield at, min(to, len(raw))
+        at = to
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads all 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -95,7 +127,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit hashes of words: a polynomial over random byte codes, from prefix sums."""
     global _pow, _inv
     if len(raw) > len(_pow):
-        _pow, _inv = _powers(_BASE, 2 * len(raw)), _powers(_INVERSE, 2 * len(raw))
+        _pow, _inv = _powers(_BASE, len(raw) + len(raw) // 4), _powers(_INVERSE, len(raw) + len(raw) // 4)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_CODES[raw] * _pow[: len(raw)], dtype=np.uint64, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _inv[starts])

@@ -1,19 +1,25 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-The kernel of two words is the sum over all subsequences of three characters of the
-product of their weights, where a weight is ``DECAY`` to the power of the stretch that the
-subsequence spans: insults with inserted or missing characters keep most of it. Words are
-compared with a mark at their start, in lower case, without characters that are neither
-letters nor digits, with digits and signs that stand for letters read as such; runs of
-single letters are read as one word.
-
-Sentences take the label of their document. Word types that are far more frequent in
-sentences of toxic documents are positive instances, those that are not are negative
-ones, and a linear support vector machine separates them in the space of the Nyström
-landmarks. Its decision function is linear in the kernel, so the landmarks fold into one
-table over character triples and a word's value does not take a kernel evaluation for
-each landmark. A sentence's value is that of its most insulting word. A logistic model
-turns a document's sentence values into a score.
+The kernel of two words is the sum over all subsequences of three characters, within a
+stretch of at most SPAN, of the product of their weights, where a weight is ``DECAY`` to the
+power of the stretch that the subsequence spans: insults with inserted or missing characters
+keep most of it. Words are compared with a mark at their start, in lower case, without
+characters that are neither letters nor digits, with digits and signs that stand for
+letters read as such; runs of single letters are read as one word.
+
+The machine learns from sentences. A sentence's value is that of its most insulting word,
+so a clean sentence says that all of its words lie below the margin, and a toxic sentence
+that some of its words, its witnesses, lie above. Every sentence of a clean document is
+clean. A sentence of a toxic document is toxic if it holds a word that tells, by itself or
+by a run of five of its characters, toxic documents from clean ones. Its witnesses are the
+words that tell at least HALF as strongly as the best of the sentence; after a fit, they
+are chosen anew: those that the fit finds insulting, or else the best. Of the words of clean sentences the driver holds
+only those that break the margin: each round one pass over all of them finds the breakers
+of the last fit, until there are no new ones, so the fit is that of all words.
+
+The decision function is linear in the kernel, so the landmarks fold into one table over
+character triples and a word's value does not take a kernel evaluation for each landmark.
+A logistic model turns a document's sentence values into a score.
 """
 
 from __future__ import annotations
@@ -22,7 +28,6 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,29 +38,125 @@ from . import buffers
 from .common import cut, picked
 
 DECAY = 0.5
+#: Most characters that the three of a subsequence stretch over.
+SPAN = 6
 LANDMARKS = 300
+HALF = 0.5
 #: Most labelled documents that are read for training, the first by a hash of their id.
 MAX_LABELLED = 20_000
-#: Most word types that are read for training, the most frequent first.
-MAX_TYPES = 15_000
-#: Words longer than this take the recurrence instead of the sum over all triples.
-LONG = 24
-CACHE = 400_000
+#: Characters of the runs that tell words of one stem.
+RUN = 5
+#: Words of clean sentences that the first fit starts from (the passes add all that matter),
+#: by how much a word breaks the margin before it is added, words that one pass adds, most
+#: rounds of fitting, and the rounds in which witnesses may change.
+START, SLACK, STEP, ROUNDS, MOVES = 1500, 0.1, 5000, 12, 2
 #: Labelled documents that share this part of their runs of SHINGLE words are copies. It is
 #: estimated by so many min-hashes; those to compare share BAND of these in a row.
 COPY, SHINGLE, HASHES, BAND = 0.8, 5, 60, 5
 
-# Digits and signs read as the letters that they resemble.
-_LOOKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+# Digits and signs read as the letters that they resemble, signs that do not
+# count at the edges of a word, and what may stand after the stop of a sentence.
+_LOOKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _EDGE = "\"'`.,;:!?()[]{}<>«»„“”‘’*&%#$|…-_=+/\\~^"
+_CLOSERS = "\"'»”)]"
+_STOPS = ".!?"
+
+_ALPHA, _ALNUM, _AT_EDGE, _CLOSER, _STOP = 1, 2, 4, 8, 16
+
+
+def _kind(c: str) -> int:
+    return _ALPHA * c.isalpha() + _ALNUM * c.isalnum() + _AT_EDGE * (c in _EDGE) + _CLOSER * (c in _CLOSERS) + _STOP * (c in _STOPS)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower case and kind of the first 65536 characters, and the looks of the first 128."""
+    chars = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(1 << 16)]
+    looks = np.zeros(128, np.uint32)
+    for c, to in _LOOKS.items():
+        looks[ord(c)] = ord(to)
+    return np.array([ord(c.lower()[0]) for c in chars], np.uint32), np.array([_kind(c) for c in chars], np.uint8), looks
+
+
+_LOWER, _KIND, _LOOK = _tables()
+
+
+def _code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 bytes, and the number of characters before each byte."""
+    lead = (raw & 0xC0) != 0x80
+    before = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(lead, out=before[1:])
+    at = np.flatnonzero(lead)
+    code = raw[at].astype(np.uint32)
+    wide = np.flatnonzero(code >= 0x80)
+    if len(wide):
+        first = code[wide]
+        one, two, three = (raw[np.minimum(at[wide] + k, len(raw) - 1)].astype(np.uint32) & 0x3F for k in (1, 2, 3))
+        code[wide] = np.where(first < 0xE0, (first & 0x1F) << 6 | one, np.where(first < 0xF0, (first & 0x0F) << 12 | one << 6 | two, (first & 0x07) << 18 | one << 12 | two << 6 | three))
+    return code, before
+
+
+@dataclass
+class Words:
+    """The words of some texts: the text of each, its form's size, the characters of all
+    forms, and whether a sentence ends with it."""
+
+    doc: np.ndarray
+    size: np.ndarray
+    chars: np.ndarray
+    stop: np.ndarray
+
+    def strings(self) -> list[str]:
+        """The forms."""
+        text = self.chars.astype("<u4").tobytes().decode("utf-32-le", "replace")
+        ends = np.cumsum(self.size).tolist()
+        return [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> Words:
+    starts, ends, doc = buffers.word_bounds(raw, offsets)
+    if not len(starts):
+        return Words(doc, np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool))
+    code, before = _code_points(raw)
+    length = before[ends] - before[starts]
+    code = code[~((code == 0x20) | (code - np.uint32(9) < 5))]
+    word = np.repeat(np.arange(len(starts), dtype=np.int32), length)
+    first = np.cumsum(length) - length
+    low = np.minimum(code, np.uint32(0xFFFF))
+    lower, kind = _LOWER[low], _KIND[low]
+    if len(high := np.flatnonzero(code > 0xFFFF)):
+        for c in np.unique(code[high]).tolist():
+            here = high[code[high] == c]
+            lower[here], kind[here] = (ord(chr(c).lower()[0]), _kind(chr(c))) if c < 0x110000 else (c, 0)
+    at = np.arange(len(code), dtype=np.int32)
+    core = (kind & _AT_EDGE) == 0
+    left = np.minimum.reduceat(np.where(core, at, np.int32(2**31 - 1)), first)
+    right = np.maximum.reduceat(np.where(core, at, np.int32(-1)), first)
+    letters = np.bitwise_or.reduceat(kind, first) & _ALPHA > 0
+    look = np.where(lower < 128, _LOOK[np.minimum(lower, 127)], 0)
+    looked = (look > 0) & letters[word]
+    kept = ((kind & _ALNUM > 0) | looked) & (at >= left[word]) & (at <= right[word])
+    chars = np.where(looked, look, lower)[kept].astype(np.uint32)
+    size = np.bincount(word[kept], minlength=len(starts))
+    last = np.maximum.reduceat(np.where(kind & _CLOSER == 0, at, np.int32(-1)), first)
+    stop = (last >= 0) & (kind[last] & _STOP > 0)
+    feeds = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(raw == 0x0A, out=feeds[1:])
+    stop |= feeds[np.append(starts[1:], len(raw))] > feeds[ends]
+    return Words(doc, size, chars, stop)
 
 
 def bare(piece: str) -> str:
     """The form of a word that the kernel sees."""
-    word = piece.lower().strip(_EDGE)
-    if any(c.isalpha() for c in word):
-        word = word.translate(_LOOKS)
-    return "".join(c for c in word if c.isalnum())
+    raw = np.frombuffer(piece.encode("utf-8", "surrogatepass"), np.uint8)
+    return "".join(words_of(raw, np.array([0, len(raw)])).strings())
+
+
+def _scale(n: np.ndarray | int) -> np.ndarray:
+    """The norm of words of n characters whose subsequences are all different."""
+    n, total = np.asarray(n, float), 0.0
+    for d in range(3, SPAN + 1):
+        total = total + DECAY ** (2 * d) * np.maximum(n + 2 - d, 0) * (d - 2)
+    return np.sqrt(np.where(total > 0, total, 1.0))
 
 
 @dataclass
@@ -67,65 +168,59 @@ class WordModel:
     table: np.ndarray
     bias: float
 
-    def _codes(self, words: list[str], n: int) -> np.ndarray:
-        get, other = self.chars.get, len(self.chars)
-        return np.array([[get(c, other) for c in "^" + w] for w in words], np.int64).reshape(len(words), n + 1)
+    def __post_init__(self) -> None:
+        self.other = len(self.chars)
+        self.ids = np.full(1 << 16, self.other, np.int32)
+        for c, i in self.chars.items():
+            if ord(c) < 1 << 16:
+                self.ids[ord(c)] = i
+        self.flat = self.table.astype(np.float32).reshape(-1)
+
+    def value_of(self, chars: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Values of words from their characters and sizes; all words in one pass, with
+        marks between them that no triple of the table holds."""
+        if not len(size):
+            return np.zeros(0)
+        a, gap = self.other + 1, SPAN - 1
+        begin = np.cumsum(size + 1 + gap) - (size + 1 + gap)
+        total = int(begin[-1] + size[-1] + 1 + gap)
+        line = np.full(total + gap, self.other, np.int32)
+        line[begin] = self.chars["^"]
+        line[np.arange(len(chars)) + np.repeat(begin + 1 - (np.cumsum(size) - size), size)] = np.where(chars < 1 << 16, self.ids[np.minimum(chars, 0xFFFF)], self.other)
+        scaled = line * np.int32(a)
+        sums = np.zeros(total, np.float32)
+        for d in range(3, SPAN + 1):
+            weight = np.float32(DECAY**d)
+            for m in range(1, d - 1):
+                sums += self.flat[(scaled[:total] + line[m : total + m]) * np.int32(a) + line[d - 1 : total + d - 1]] * weight
+        return self.bias + np.add.reduceat(sums, begin).astype(float) / _scale(size)
 
     def values(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), self.bias)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        a = self.table.shape[0]
-        flat = self.table.reshape(-1)
-        for n, at in by_length.items():
-            if n < 2:
-                continue
-            if n > LONG:
-                for i in at:
-                    out[i] += self._long(words[i]) / _scale(n)
-                continue
-            codes = self._codes([words[i] for i in at], n)
-            total = np.zeros(len(at))
-            for i, j, k in combinations(range(n + 1), 3):
-                total += flat[(codes[:, i] * a + codes[:, j]) * a + codes[:, k]] * DECAY ** (k - i + 1)
-            out[at] += total / _scale(n)
-        return out
-
-    def _long(self, word: str) -> float:
-        a = self.table.shape[0]
-        one, two, total = np.zeros(a), np.zeros((a, a)), 0.0
-        for c in self._codes([word], len(word))[0]:
-            one *= DECAY
-            two *= DECAY
-            total += float((two * self.table[:, :, c]).sum()) * DECAY
-            two[:, c] += one
-            one[c] += 1.0
-        # Each triple was weighted by DECAY to the power of the distance of its ends, times
-        # DECAY once more: the span counts both ends.
-        return total
-
-
-
-def _scale(n: int) -> float:
-    """The norm of a word of n characters whose triples are all different."""
-    spans = np.arange(3, n + 2)
-    return float(np.sqrt((DECAY ** (2 * spans) * (n + 2 - spans) * (spans - 2)).sum())) if n >= 2 else 1.0
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.value_of(chars, np.array([len(w) for w in words], np.int64))
 
 
 def _triples(word: str) -> dict[tuple[str, str, str], float]:
     marked, out = "^" + word, {}
-    for i, j, k in combinations(range(len(marked)), 3):
-        key = (marked[i], marked[j], marked[k])
-        out[key] = out.get(key, 0.0) + DECAY ** (k - i + 1)
+    for d in range(3, SPAN + 1):
+        for i in range(len(marked) - d + 1):
+            for j in range(i + 1, i + d - 1):
+                key = (marked[i], marked[j], marked[i + d - 1])
+                out[key] = out.get(key, 0.0) + DECAY**d
     return out
 
 
-def fit_words(words: list[str], signs: np.ndarray, weights: np.ndarray, landmarks: int = LANDMARKS, penalty: float = 0.05, positive_weight: float = 4.0) -> WordModel:
-    """A linear machine with squared hinge loss on the Nyström features of words."""
-    positive = [w for w, s in zip(words, signs) if s > 0]
-    negative = [w for w, s in zip(words, signs) if s < 0]
-    features = {w: {t: v / _scale(len(w)) for t, v in _triples(w).items()} for w in words}
+def _features(word: str) -> dict[tuple[str, str, str], float]:
+    norm = float(_scale(len(word)))
+    return {t: v / norm for t, v in _triples(word).items()}
+
+
+def fit_words(words: list[str], signs: np.ndarray, weights: np.ndarray, features: dict | None = None, landmarks: int = LANDMARKS, penalty: float = 0.05, positive_weight: float = 4.0) -> WordModel:
+    """A linear machine with squared hinge loss on the Nyström features of words, of which
+    the most telling come first. A word may be there with both signs."""
+    positive = list(dict.fromkeys(w for w, s in zip(words, signs) if s > 0))
+    negative = list(dict.fromkeys(w for w, s in zip(words, signs) if s < 0))
+    features = features or {w: _features(w) for w in dict.fromkeys(words)}
 
     def kernel(x: str, y: str) -> float:
         a, b = sorted((features[x], features[y]), key=len)
@@ -137,7 +232,8 @@ def fit_words(words: list[str], signs: np.ndarray, weights: np.ndarray, landmark
             break
         if all(kernel(w, c) < 0.85 for c in chosen):
             chosen.append(w)
-    chosen += negative[: landmarks - len(chosen)]
+    taken = set(chosen)
+    chosen += [w for w in negative if w not in taken][: landmarks - len(chosen)]
     alphabet = sorted({c for w in chosen for c in w} | {"^"})
     chars = {c: i for i, c in enumerate(alphabet)}
     index = {t: i for i, t in enumerate(sorted({t for w in chosen for t in features[w]}))}
@@ -233,12 +329,11 @@ def type_counts(labelled: DataFrame) -> DataFrame:
     Collects the min-hashes of the different texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers.release()
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1)):
-                split = (text.as_py() or "").split()
-                form = {p: bare(p) for p in set(split)}
-                pieces = [w for p in split if (w := form[p])]
-                words = {w for w in form.values() if 2 <= len(w) <= LONG}
+                pieces = [w for w in words_of(*buffers.raw_of(pa.array([text.as_py()], pa.string()))).strings() if w]
+                words = {w for w in pieces if len(w) >= 2}
                 sign = int.from_bytes(hashlib.blake2b(" ".join(pieces).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
                 yield pa.RecordBatch.from_arrays([pa.array([[*words, ""]], pa.list_(pa.string())), pa.array([toxic.as_py()], pa.int32()), pa.array([sign], pa.int64()), pa.array([_least(_shingles(pieces))], pa.binary())], names=["words", "toxic", "sign", "least"])
 
@@ -250,110 +345,192 @@ def type_counts(labelled: DataFrame) -> DataFrame:
     return words.distinct().groupBy("word").agg(F.sum("toxic").alias("toxic_docs"), F.sum(1 - F.col("toxic")).alias("clean_docs"))
 
 
-def train_words(labelled: DataFrame, max_types: int = MAX_TYPES) -> WordModel:
-    """labelled: text, toxic (0 or 1). Without a telling word the model's values are all -1.
+def _runs(word: str) -> list[str]:
+    """The runs of RUN characters of a marked word that is longer than such a run."""
+    marked = "^" + word
+    return [marked[i : i + RUN] for i in range(len(marked) - RUN + 1)] if len(marked) > RUN else []
 
-    A word type is a positive instance if it is at least four times as frequent in toxic
-    documents and that is no chance among so many types; a negative one if it is at most
-    half as frequent again. Types between are left out.
-    """
+
+def telling(counts: DataFrame) -> dict[str, float]:
+    """Words, and runs of characters (marked by a blank before them), that tell toxic documents:
+    at least four times as frequent there, in three or more, and that is no chance among so
+    many. Runs add up the documents of the words that hold them."""
+    runs = F.expr(f"transform(sequence(1, greatest(length(word) + 2 - {RUN}, 1)), i -> concat(' ', substring(concat('^', word), i, {RUN})))")
+    own = counts.select("word", "toxic_docs", "clean_docs")
+    more = counts.where(F.length("word") >= RUN).select(F.explode(F.array_distinct(runs)).alias("word"), "toxic_docs", "clean_docs").groupBy("word").agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs"))
+    out: dict[str, float] = {}
+    for part in (own, cut(more)):
+        n, p, q = part.agg(F.count(F.lit(1)), F.sum("toxic_docs"), F.sum("clean_docs")).first()
+        if not p or not q:
+            continue
+        share = p / (p + q)
+        chance = 0.8 * float(np.sqrt(2 * np.log(max(n, 2))))
+        z = (F.col("toxic_docs") - (F.col("toxic_docs") + F.col("clean_docs")) * share) / F.sqrt((F.col("toxic_docs") + F.col("clean_docs")) * share + 1)
+        found = part.withColumn("z", z).where((F.col("toxic_docs") >= 3) & (F.col("toxic_docs") * (q / p) >= 4 * F.col("clean_docs")) & (F.col("z") >= chance))
+        out |= {r["word"]: r["z"] for r in found.collect()}
+    return out
+
+
+def toxic_sentences(labelled: DataFrame, evidence: dict[str, float]) -> list[tuple[tuple[str, ...], int]]:
+    """(the words that tell, the strongest first, down to HALF of it; number) of the
+    sentences of toxic documents; sentences with the same words are one row, repeated texts
+    count once."""
+    shared = labelled.sparkSession.sparkContext.broadcast(evidence)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers.release()
+        tells = shared.value
+        known: dict[str, float] = {}
+        for batch in batches:
+            for a, b in buffers.slices(batch.column(0)):
+                words = words_of(*buffers.raw_of(batch.column(0).slice(a, b - a)))
+                sentence = np.cumsum(np.concatenate([[False], words.stop[:-1] | (words.doc[1:] != words.doc[:-1])])) if len(words.doc) else words.doc
+                found: dict[int, dict[str, float]] = {}
+                for s, w in zip(sentence.tolist(), words.strings()):
+                    if w not in known:
+                        known[w] = max([tells.get(w, 0.0), *(tells.get(" " + r, 0.0) for r in _runs(w))]) if len(w) >= 2 else 0.0
+                    if known[w]:
+                        found.setdefault(s, {})[w] = known[w]
+                rows = [sorted((w for w in f if f[w] >= HALF * max(f.values())), key=lambda w: (-f[w], w)) for f in found.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["words"])
+                if len(known) > 500_000:
+                    known.clear()
+
+    rows = labelled.where("toxic = 1").select(F.col("text").cast("string").alias("text")).distinct().mapInArrow(run, "words array<string>")
+    return [(tuple(r["words"]), r["n"]) for r in rows.groupBy("words").agg(F.count(F.lit(1)).alias("n")).orderBy("words").collect()]
+
+
+def breakers(clean: DataFrame, model: WordModel, seen: set[str], most: int) -> list[tuple[str, int]]:
+    """clean: word, clean_docs. The words not seen that break the margin by more than SLACK,
+    at most so many, the worst first; later rounds find the others."""
+    shared = clean.sparkSession.sparkContext.broadcast((model, seen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen = shared.value
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            value = model.values(words)
+            value[[w in seen for w in words]] = -9.0
+            yield batch.append_column("value", pa.array(value)).filter(pa.array(value > SLACK - 1.0))
+
+    return [(r[0], r[1]) for r in clean.mapInArrow(run, "word string, clean_docs long, value double").orderBy(F.col("value").desc(), "word").limit(most).collect()]
+
+
+def train_words(labelled: DataFrame) -> WordModel:
+    """labelled: text, toxic (0 or 1). Without a telling word the model's values are all -1."""
     none = WordModel({"^": 0}, np.zeros((2, 2, 2)), -1.0)
-    counts = cut(type_counts(labelled).where("toxic_docs + clean_docs >= 3 OR word = ''"))
+    counts = cut(type_counts(labelled))
     n = counts.where("word = ''").first()
     if not n or not n["toxic_docs"] or not n["clean_docs"]:
         return none
-    ratio, share = n["clean_docs"] / n["toxic_docs"], n["toxic_docs"] / (n["toxic_docs"] + n["clean_docs"])
-    rows = counts.where("word <> ''").orderBy((F.col("toxic_docs") * ratio + F.col("clean_docs")).desc(), "word").limit(max_types).collect()
-    chance = 0.8 * float(np.sqrt(2 * np.log(max(len(rows), 2))))
-    words, signs, weights, telling = [], [], [], []
-    for r in rows:
-        p, q = r["toxic_docs"], r["clean_docs"]
-        z = (p - (p + q) * share) / ((p + q) * share + 1) ** 0.5
-        if p >= 3 and p * ratio >= 4 * q and z >= chance:
-            words.append(r["word"]), signs.append(1.0), weights.append(np.log1p(p)), telling.append(z)
-        elif q >= 2 and p * ratio <= 1.5 * q:
-            words.append(r["word"]), signs.append(-1.0), weights.append(np.log1p(q)), telling.append(q)
-    if 1.0 not in signs or -1.0 not in signs:
+    counts = counts.where("word <> ''")
+    evidence = telling(counts)
+    sentences = toxic_sentences(labelled, evidence) if evidence else []
+    if not sentences:
         return none
-    order = sorted(range(len(words)), key=lambda i: (-signs[i], -telling[i], words[i]))
-    return fit_words([words[i] for i in order], np.array([signs[i] for i in order]), np.array([weights[i] for i in order]))
+    clean = counts.where("clean_docs > 0").select("word", F.col("clean_docs").cast("long").alias("clean_docs"))
+    negatives = {r[0]: r[1] for r in clean.orderBy(F.col("clean_docs").desc(), "word").limit(START).collect()}
+    if not negatives:
+        return none
+    witness = [words for words, _ in sentences]
+    model, known = none, {}
+    for step in range(ROUNDS):
+        weight: dict[str, int] = {}
+        for words, (_, k) in zip(witness, sentences):
+            for w in words:
+                weight[w] = weight.get(w, 0) + k
+        positive = sorted(weight, key=lambda w: (-weight[w], w))
+        negative = sorted(negatives, key=lambda w: (-negatives[w], w))
+        for w in positive + negative:
+            if w not in known:
+                known[w] = _features(w)
+        signs = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
+        model = fit_words(positive + negative, signs, np.log1p([float(weight[w]) for w in positive] + [float(negatives[w]) for w in negative]), known)
+        again = witness
+        if step < MOVES:
+            several = sorted({w for words, _ in sentences for w in words})
+            value = dict(zip(several, model.values(several)))
+            again = [tuple(w for w in words if value[w] >= min(0.0, max(value[x] for x in words))) for words, _ in sentences]
+        new = breakers(clean, model, set(negatives), STEP)
+        if not new and again == witness:
+            break
+        negatives |= dict(new)
+        witness = again
+    return model
 
 
 FEATURES = ["first", "second", "third", "insulting", "share", "mass", "empty"]
 
 
-class Scanner:
-    """Sentence values of whole documents, with a bounded cache of word values."""
-
-    def __init__(self, model: WordModel, most: int = CACHE) -> None:
-        self.model, self.most = model, most
-        self.cache: dict[bytes, tuple[float, bool, str]] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.cache) + len(new) > self.most:  # frequent words came first
-            for p in list(self.cache)[self.most // 3 :]:
-                del self.cache[p]
-        texts = [p.decode("utf-8", "replace") for p in new]
-        bares = [bare(t) for t in texts]
-        for p, t, b, v in zip(new, texts, bares, self.model.values(bares)):
-            end = t.rstrip("\"'»”)]")[-1:] in (".", "!", "?")
-            self.cache[p] = (float(v) if len(b) >= 2 else -9.0, end, b if len(b) == 1 else "")
-
-    def features(self, texts: pa.Array) -> np.ndarray:
-        """One row of FEATURES for each text."""
-        n = len(texts)
-        out = np.zeros((n, len(FEATURES)))
-        out[:, :3] = -3.0
-        out[:, 6] = 1.0
-        raw, offsets = buffers.raw_of(texts)
-        starts, ends, doc = buffers.word_bounds(raw, offsets)
-        if not len(starts):
-            return out
-        # Pieces must lie side by side: each takes the white space after it.
-        cuts = np.append(starts, len(raw))
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-        known = pieces.dictionary.to_pylist()
-        if new := [p for p in known if p not in self.cache]:
-            self._learn(new)
-            if lost := [p for p in known if p not in self.cache]:
-                self._learn(lost)
-        found = [self.cache[p] for p in known]
-        which = pieces.indices.to_numpy()
-        value = np.array([f[0] for f in found])[which]
-        stop = np.array([f[1] or b"\n" in p for f, p in zip(found, known)])[which]
-        single = np.array([bool(f[2]) for f in found])[which]
-        if single.any():
-            self._spelled(value, single, doc, which, found)
-        begins = np.ones(len(value), bool)
-        begins[1:] = stop[:-1] | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(begins)
-        best = np.maximum.reduceat(value, at)
-        owner = doc[at]
-        order = np.lexsort((-best, owner))
-        best, owner = best[order], owner[order]
-        first = np.searchsorted(owner, np.arange(n))
-        count = np.bincount(owner, minlength=n)
-        for k in range(3):
-            has = count > k
-            out[has, k] = np.clip(best[first[has] + k], -3, 3)
-        insulting = np.bincount(owner, best > 0, minlength=n)
-        mass = np.bincount(doc, np.clip(value, 0, 2), minlength=n)
-        words = np.bincount(doc, minlength=n)
-        out[:, 3] = np.log1p(insulting)
-        out[:, 4] = insulting / np.maximum(count, 1)
-        out[:, 5] = mass / np.sqrt(np.maximum(words, 1))
-        out[:, 6] = count == 0
-        return out
-
-    def _spelled(self, value: np.ndarray, single: np.ndarray, doc: np.ndarray, which: np.ndarray, found: list) -> None:
-        """Gives a run of three or more single letters the value of the word they spell."""
-        edge = np.diff(np.concatenate([[0], single.view(np.int8), [0]]))
-        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-            while a < b:
-                to = a + int(np.searchsorted(doc[a:b], doc[a], side="right"))
-                if to - a >= 3:
-                    value[a] = self.model.values(["".join(found[w][2] for w in which[a:to])])[0]
-                a = to
+def _spelled(words: Words, value: np.ndarray, model: WordModel) -> None:
+    """Gives a run of three or more single letters the value of the word they spell."""
+    single = words.size == 1
+    edge = np.diff(np.concatenate([[0], single.view(np.int8), [0]]))
+    begin = np.cumsum(words.size) - words.size
+    found, spelt = [], []
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        while b - a >= 3:
+            to = a + int(np.searchsorted(words.doc[a:b], words.doc[a], side="right"))
+            if to - a >= 3:
+                found.append(a)
+                spelt.append(words.chars[begin[a] : begin[a] + to - a])
+            a = to
+    if found:
+        value[found] = model.value_of(np.concatenate(spelt), np.array([len(s) for s in spelt]))
+
+
+def sentence_values(raw: np.ndarray, offsets: np.ndarray, model: WordModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(text, value) of each sentence; of each text the sum of its words' values between 0
+    and 2 and the number of its words; whether the last sentence is open."""
+    n = len(offsets) - 1
+    words = words_of(raw, offsets)
+    if not len(words.doc):
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(n), np.zeros(n, np.int64), True
+    value = np.where(words.size >= 2, model.value_of(words.chars, words.size), -9.0)
+    _spelled(words, value, model)
+    begins = np.ones(len(value), bool)
+    begins[1:] = words.stop[:-1] | (words.doc[1:] != words.doc[:-1])
+    at = np.flatnonzero(begins)
+    return words.doc[at], np.maximum.reduceat(value, at), np.bincount(words.doc, np.clip(value, 0, 2), minlength=n), np.bincount(words.doc, minlength=n), not words.stop[-1]
+
+
+def features(texts: pa.Array, model: WordModel, part: int = buffers.PART) -> np.ndarray:
+    """One row of FEATURES for each text. Long texts are worked on in parts."""
+    n = len(texts)
+    raw, offsets = buffers.raw_of(texts)
+    if n == 1 and len(raw) > part:
+        bests, mass, words, is_open = [], np.zeros(1), np.zeros(1, np.int64), False
+        for a, b in buffers.parts(raw, part):
+            _, best, m, w, now_open = sentence_values(raw[a:b], np.array([0, b - a]), model)
+            if not len(best):
+                continue
+            if is_open and bests:  # the first sentence began in the part before
+                bests[-1][-1] = max(bests[-1][-1], best[0])
+                best = best[1:]
+                if not len(best):  # and goes on
+                    mass, words, is_open = mass + m, words + w, now_open
+                    continue
+            bests.append(best)
+            mass, words, is_open = mass + m, words + w, now_open
+        best = np.concatenate(bests) if bests else np.zeros(0)
+        owner = np.zeros(len(best), np.int64)
+    else:
+        owner, best, mass, words, _ = sentence_values(raw, offsets, model)
+    out = np.zeros((n, len(FEATURES)))
+    out[:, :3] = -1.0  # what is below the margin is clean, and so is a sentence that is not there
+    order = np.lexsort((-best, owner))
+    best, owner = best[order], owner[order]
+    first = np.searchsorted(owner, np.arange(n))
+    count = np.bincount(owner, minlength=n)
+    for k in range(3):
+        has = count > k
+        out[has, k] = np.clip(best[first[has] + k], -1, 3)
+    insulting = np.bincount(owner, best > 0, minlength=n)
+    out[:, 3] = np.log1p(insulting)
+    out[:, 4] = insulting / np.maximum(count, 1)
+    out[:, 5] = mass / np.sqrt(np.maximum(words, 1))
+    out[:, 6] = count == 0
+    return out
 
 
 _FEATURES_DDL = "doc_id long, row_key long, features array<double>"
@@ -366,14 +543,11 @@ def sentence_features(docs: DataFrame, model: WordModel, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffers.release()
-        scanner = Scanner(shared.value)
         for batch in batches:
             for a, b in buffers.slices(batch.column(2)):
-                x = scanner.features(batch.column(2).slice(a, b - a))
-                flat = pa.array(x.reshape(-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), flat)
+                x = features(batch.column(2).slice(a, b - a), shared.value)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["doc_id", "row_key", "features"])
-        scanner.cache.clear()
         buffers.release()
 
     return picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FEATURES_DDL)
@@ -386,7 +560,7 @@ class Logistic:
     weights: np.ndarray  # the last is the intercept
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1], -30, 30)
+        z = np.clip(np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1], -30, 30)
         return 1 / (1 + np.exp(-z))
 
 
@@ -414,23 +588,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from,
 
 
 def score(docs: DataFrame, labels: DataFrame, learn_from=lambda doc_id: F.lit(True), max_labelled: int = MAX_LABELLED, by_row: bool = False) -> DataFrame:
-    """doc_id, score (0 to 1) for every row of docs (doc_id, text); by_row adds row_key, the
-    xxhash64 of the text.
-
-    Trains on at most max_labelled rows of labels (doc_id, toxic) for which learn_from
-    holds. Empty and null texts get the score of a text without words; with no labels of
-    one kind every score is the share of toxic labels, or 0 without any. Runs jobs:
-    the training texts are read once more than the others.
+    """doc_id, score (0 to 1) for every row of docs (doc_id, text; other columns have no
+    influence); by_row adds row_key, the xxhash64 of the text.
+
+    Trains on at most max_labelled documents of labels (doc_id, toxic) for which learn_from
+    holds; of a labelled doc_id with several texts, the one of least hash. Empty and null
+    texts get the score of a text without words; with no labels of one kind every score is
+    the share of toxic labels, or 0 without any. Repeated rows get equal scores; an empty
+    table gives an empty frame. Runs jobs: the training texts are read once more than the
+    others.
     """
     keys = lambda c: [c] if by_row else []
+    docs = picked(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = cut(labelled_sample(docs, labels, "toxic", learn_from, max_labelled))
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or toxic in (0, n):
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys(F.xxhash64("text").alias("row_key")), F.lit(float(toxic) / n if n else 0.0).alias("score"))
-    training = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_labelled rows
-    model = train_words(training.select("text", "toxic"))
-    features = cut(sentence_features(docs, model))
-    rows = features.join(F.broadcast(sample), "doc_id").select("features", "toxic").collect()
+        return docs.select("doc_id", *keys(F.xxhash64("text").alias("row_key")), F.lit(float(toxic) / n if n else 0.0).alias("score"))
+    # At most max_labelled rows are broadcast and, with one text each, kept.
+    one = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r"))
+    training = cut(one.select("r.text", "r.toxic"))
+    model = train_words(training)
+    found = cut(sentence_features(docs, model))
+    rows = sentence_features(training.select(F.col("toxic").alias("doc_id"), "text"), model).select("features", F.col("doc_id").alias("toxic")).collect()
     final = fit_logistic(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,4 +617,4 @@ def score(docs: DataFrame, labels: DataFrame, learn_from=lambda doc_id: F.lit(Tr
             x = np.array(batch.column(2).flatten()).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(final.probabilities(x))], names=["doc_id", "row_key", "score"])
 
-    return features.mapInArrow(run, "doc_id long, row_key long, score double").select("doc_id", *keys("row_key"), "score")
+    return found.mapInArrow(run, "doc_id long, row_key long, score double").select("doc_id", *keys("row_key"), "score")

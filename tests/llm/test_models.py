@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -111,12 +112,45 @@ def test_isotonic_rises():
 def test_table_values_equal_the_kernel_expansion():
     words, signs = ["idiot", "moron", "clown", "other", "thing", "there", "banana"], np.array([1.0, 1, 1, -1, -1, -1, -1])
     m = toxicity.fit_words(words, signs, np.ones(7))
-    v = m.values(words)
-    assert ((v > 0) == (signs > 0)).all()
-    long = "idiotxmoron" * 4
-    direct = m._long(long[: toxicity.LONG])
-    assert np.isclose(m.values([long[: toxicity.LONG]])[0], m.bias + direct / toxicity._scale(toxicity.LONG))
-    assert np.isfinite(m.values([long])[0])
+    assert ((m.values(words) > 0) == (signs > 0)).all()
+
+    def brute(word):
+        marked, total = "^" + word, 0.0
+        for i, j, k in combinations(range(len(marked)), 3):
+            if k - i < toxicity.SPAN:
+                a, b, c = (m.chars.get(marked[x], m.other) for x in (i, j, k))
+                total += m.table[a, b, c] * toxicity.DECAY ** (k - i + 1)
+        return m.bias + total / float(toxicity._scale(len(word)))
+
+    tried = [*words, "idiotxmoron" * 4, "a", "", "\U0001d4b3idiot", "xxx", "idiöt"]
+    assert np.allclose(m.values(tried), [brute(w) for w in tried], atol=1e-5)
+
+
+def test_words_as_the_kernel_sees_them():
+    seen = {"$tupid": "tupid", "!idi0t!": "idiot", "1.0": "10", "(a)": "a", "I.d.i.o.t": "idiot", "Ünd,": "ünd", "###": "", "İx": "ix", "\U0001d4b3y": "\U0001d4b3y"}
+    assert {k: toxicity.bare(k) for k in seen} == seen
+
+
+def test_sentence_features_do_not_depend_on_parts():
+    words, signs = ["idiot", "moron", "clown", "other", "thing"], np.array([1.0, 1, 1, -1, -1])
+    m, rng = toxicity.fit_words(words, signs, np.ones(5)), random.Random(6)
+    bits = ["idiot", "mo.ron", "there", "a", "b", "m", "o", "r", "clown.", "b!", "\n", "x y z", "ünd!", "日本"]
+    text = "".join(rng.choice(bits) + rng.choice([" ", " ", "  ", "\n"]) for _ in range(2000))
+    whole = toxicity.features(pa.array([text]), m)
+    for part in (50, 300, 1000):
+        assert np.allclose(whole, toxicity.features(pa.array([text]), m, part=part))
+    many = pa.array([text[:300], None, "", " . ", text[300:700]])
+    assert np.allclose(toxicity.features(many, m), np.vstack([toxicity.features(many.slice(i, 1), m) for i in range(len(many))]))
+
+
+def test_toxicity_of_odd_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    assert toxicity.score(none, labels).collect() == []
+    rows = [(i, "you idiot fool of it." if i % 3 == 0 else "the plain words of it.", 0.5, "x") for i in range(40)] + [(0, "you idiot fool of it.", 0.5, "x"), (None, "idiot", 0.5, "x"), (3, "other text", 0.5, "x")]
+    out = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, score double, row_key string"), labels).collect()
+    assert len(out) == len(rows) and {tuple(r.asDict()) for r in out} == {("doc_id", "score")}
+    assert len({r["score"] for r in out if r["doc_id"] == 0}) == 1
 
 
 def test_toxicity_tolerates_gaps_and_insertions(spark):
