@@ -65,6 +65,82 @@ def test_tool_calls_are_linked_and_ordered(spark):
     assert chat_format.format_chats(df.limit(0)).collect() == []
 
 
+def _brute_chats(rows):
+    """(conv, turn) -> (seq_turn, seq_level, n_linked, orphan) for rows (conv, turn, role, parts):
+    parts are ("call", id, refs) or ("result", id)."""
+    calls, results, needs = {}, {}, {}
+    for conv, turn, parts in sorted(rows, key=lambda r: r[1]):
+        for kind, key, *_ in parts:
+            (calls if kind == "call" else results).setdefault((conv, key), (conv, turn))
+    for conv, turn, parts in rows:
+        me = needs.setdefault((conv, turn), set())
+        for kind, key, *refs in parts:
+            wanted = [key] if kind == "result" and results[conv, key] == (conv, turn) else []
+            me.update(calls[conv, k] for k in wanted if (conv, k) in calls)
+            for k in refs[0] if refs else ():
+                if (conv, k) in calls and (conv, k) in results:
+                    me.add(results[conv, k])
+        me.discard((conv, turn))
+
+    def settled(n, path=()):
+        if n in path:
+            return None
+        ups = [settled(m, (*path, n)) for m in needs[n]]
+        if any(u is None for u in ups):
+            return None
+        turn, level = max(ups, default=(-1, 0))
+        return (n[1], 0) if n[1] > turn else (turn, level + 1)
+
+    out = {}
+    for conv, turn, parts in rows:
+        linked = sum((calls[conv, p[1]] if p[0] == "call" else results[conv, p[1]]) == (conv, turn) and (conv, p[1]) in calls and (conv, p[1]) in results for p in parts)
+        order = settled((conv, turn))
+        out[conv, turn] = (*(order or (turn, 0)), linked, parts[0][0] == "result" and not linked if parts else False)
+    return out
+
+
+@pytest.mark.parametrize("max_edges", [20_000, 2])
+def test_links_and_order_against_brute_force(spark, max_edges):
+    rng, rows, frame = random.Random(3), [], []
+    for conv in range(12):
+        ids = [f"c{k}" for k in range(rng.randint(1, 9))]
+        parts = [("call", k, rng.sample(ids, rng.choice([0, 0, 0, 1, 2]) if len(ids) > 2 else 0)) for k in ids for _ in range(rng.choice([1, 1, 1, 2]))]
+        parts += [("result", k) for k in ids for _ in range(rng.choice([0, 1, 1, 1, 2]))] + [("result", "none")]
+        rng.shuffle(parts)
+        for turn, part in enumerate(parts):
+            rows.append((conv, turn, [part]))
+            if part[0] == "call":
+                frame.append((conv, turn, "assistant", "x <tool_call>" + json.dumps({"id": part[1], "name": "f", "arguments": {"a": ["$" + r for r in part[2]]}}) + "</tool_call>", 1))
+            else:
+                frame.append((conv, turn, "tool", json.dumps({"tool_call_id": part[1], "content": 1}), 1))
+        rows.append((conv, len(parts), []))
+        frame.append((conv, len(parts), "user", "plain", 1))
+    out = chat_format.format_chats(spark.createDataFrame(frame, "conv_id long, turn long, role string, text string, node long"), max_edges=max_edges).collect()
+    assert {(r["conv_id"], r["turn"]): (r["seq_turn"], r["seq_level"], r["n_linked"], r["orphan"]) for r in out} == _brute_chats(rows)
+
+
+def test_odd_messages_do_not_crash(spark):
+    deep = "[" * 3000 + "]" * 3000
+    call = lambda i, a: '<tool_call>{"id": "%s", "name": "f", "arguments": %s}</tool_call>' % (i, a)
+    texts = [call("\\ud800", '{"n": "\\ud800x"}'), call("a", '{"n": ' + deep + "}"), call("b", '{"n": 1' + "0" * 400 + "}"), call("c", '{"n": 1e999}'), call("d", "[" * 90 + "]" * 90), call("e", '{"n": 1' + "0" * 5000 + "}"), '{"tool_calls": 5}', "x" * 3_000_000, "", None]
+    df = spark.createDataFrame([(1, i, "assistant", t, "tie") for i, t in enumerate(texts)] + [(1, 90, "tool", '{"tool_call_id": "\\ud800", "content": "\\udfff"}', "tie")], "conv_id long, turn long, role string, text string, tie string")
+    schemas = {"f": {"type": "object", "properties": {"n": {"type": "integer"}}}}
+    out = {r["turn"]: r for r in chat_format.format_chats(df, schemas).collect()}
+    assert len(out) == len(texts) + 1
+    assert [out[i]["n_invalid"] for i in range(6)] == [1, 1, 0, 1, 1, 1]
+    assert out[90]["n_linked"] == 1 and out[0]["n_linked"] == 1 and json.loads(out[90]["message"])["content"] == "\udfff"
+    assert json.loads(out[2]["message"])["tool_calls"][0]["arguments"] == {"n": 10**400}
+
+
+def test_tools_that_a_conversation_declares(spark):
+    tools = [{"name": "f", "parameters": {"type": "object", "required": ["x"]}}, {"type": "function", "function": {"name": "g", "parameters": {"type": "object", "properties": {"y": {"type": "integer"}}}}}]
+    call = lambda name, a: "<tool_call>" + json.dumps({"id": name, "name": name, "arguments": a}) + "</tool_call>"
+    rows = [(1, 0, "system", "Use <tools>" + json.dumps(tools) + "</tools>"), (1, 1, "assistant", call("f", {})), (1, 2, "assistant", call("f", {"x": 1}) + call("g", {"y": "no"})), (1, 3, "assistant", call("h", {}))]
+    rows += [(2, 0, "system", json.dumps({"tools": tools})), (2, 1, "assistant", call("g", {"y": 3})), (3, 0, "system", "plain"), (3, 1, "assistant", call("h", {})), (3, 2, "assistant", call("k", {})), (None, 0, "assistant", call("k", {}))]
+    out = {(r["conv_id"], r["turn"]): r["n_invalid"] for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"h": {"type": "object"}}).collect()}
+    assert out == {(1, 0): 0, (1, 1): 1, (1, 2): 1, (1, 3): 1, (2, 0): 0, (2, 1): 0, (3, 0): 0, (3, 1): 0, (3, 2): 1, (None, 0): 1}
+
+
 def test_schema_errors():
     s = {"type": "object", "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"enum": ["x"]}}}, "required": ["a"], "additionalProperties": False}
     assert chat_format.schema_errors({"a": 1, "b": ["x"]}, s) == []
