@@ -200,57 +200,83 @@ class WordModel:
         return self.value_of(chars, np.array([len(w) for w in words], np.int64))
 
 
-def _triples(word: str) -> dict[tuple[str, str, str], float]:
-    marked, out = "^" + word, {}
-    for d in range(3, SPAN + 1):
-        for i in range(len(marked) - d + 1):
-            for j in range(i + 1, i + d - 1):
-                key = (marked[i], marked[j], marked[i + d - 1])
-                out[key] = out.get(key, 0.0) + DECAY**d
-    return out
+class Features:
+    """The weighted triples of words, as arrays: those of word i are from bounds[i] to
+    bounds[i + 1] in codes (ascending) and weights."""
 
-
-def _features(word: str) -> dict[tuple[str, str, str], float]:
-    norm = float(_scale(len(word)))
-    return {t: v / norm for t, v in _triples(word).items()}
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        size = np.array([len(w) for w in words], np.int64)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.alphabet, ids = np.unique(np.append(chars, np.uint32(ord("^"))), return_inverse=True)
+        self.base = len(self.alphabet) + 1
+        begin = np.cumsum(size + 1) - (size + 1)
+        line = np.full(int((size + 1).sum()), ids[-1], np.int64)
+        line[np.arange(len(chars)) + np.repeat(begin + 1 - (np.cumsum(size) - size), size)] = ids[:-1]
+        owner = np.repeat(np.arange(len(words)), size + 1)
+        keys, weights = [], []
+        for d in range(3, SPAN + 1):
+            at = np.flatnonzero(owner[: len(owner) - d + 1] == owner[d - 1 :]) if len(owner) >= d else np.zeros(0, np.int64)
+            for m in range(1, d - 1):
+                keys.append(owner[at] * self.base**3 + (line[at] * self.base + line[at + m]) * self.base + line[at + d - 1])
+                weights.append(np.full(len(at), DECAY**d))
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        self.bounds = np.searchsorted(key, np.arange(len(words) + 1) * self.base**3)
+        self.codes = key % self.base**3
+        self.weights = np.bincount(where, np.concatenate(weights), minlength=len(key)) / np.repeat(_scale(size), np.diff(self.bounds))
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.bounds[i], self.bounds[i + 1])
+        return self.codes[part], self.weights[part]
+
+    def dense(self, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, matrix) of some words."""
+        codes = np.unique(np.concatenate([self.of(r)[0] for r in rows]))
+        out = np.zeros((len(rows), len(codes)))
+        for k, r in enumerate(rows):
+            c, v = self.of(r)
+            out[k, np.searchsorted(codes, c)] = v
+        return codes, out
+
+    def against(self, codes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        """The kernel of every word with the words of dense()."""
+        at = np.minimum(np.searchsorted(codes, self.codes), len(codes) - 1)
+        held = codes[at] == self.codes
+        out = np.zeros((len(self.words), len(matrix)))
+        for i, (s, e) in enumerate(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist())):
+            h = held[s:e]
+            if h.any():
+                out[i] = matrix[:, at[s:e][h]] @ self.weights[s:e][h]
+        return out
+
+
+def _unlike(features: Features, rows: list[int], most: int, limit: float = 0.85) -> list[int]:
+    """Of words in order, those that are unlike all that were chosen before them."""
+    chosen: list[int] = []
+    if not rows:
+        return chosen
+    codes, matrix = features.dense(rows[: 20 * most])
+    for k, r in enumerate(rows[: 20 * most]):
+        if len(chosen) >= most:
+            break
+        if not chosen or (matrix[[c for c, _ in chosen]] @ matrix[k]).max() < limit:
+            chosen.append((k, r))
+    return [r for _, r in chosen]
 
 
-def fit_words(words: list[str], signs: np.ndarray, weights: np.ndarray, features: dict | None = None, landmarks: int = LANDMARKS, penalty: float = 0.05, positive_weight: float = 4.0) -> WordModel:
+def fit_words(words: list[str], signs: np.ndarray, weights: np.ndarray, landmarks: int = LANDMARKS, penalty: float = 0.05, positive_weight: float = 4.0) -> WordModel:
     """A linear machine with squared hinge loss on the Nyström features of words, of which
     the most telling come first. A word may be there with both signs."""
-    positive = list(dict.fromkeys(w for w, s in zip(words, signs) if s > 0))
-    negative = list(dict.fromkeys(w for w, s in zip(words, signs) if s < 0))
-    features = features or {w: _features(w) for w in dict.fromkeys(words)}
-
-    def kernel(x: str, y: str) -> float:
-        a, b = sorted((features[x], features[y]), key=len)
-        return sum(v * b[k] for k, v in a.items() if k in b)
-
-    chosen: list[str] = []
-    for w in positive:  # the most telling first; a landmark is unlike those before it
-        if len(chosen) >= landmarks * 2 // 3:
-            break
-        if all(kernel(w, c) < 0.85 for c in chosen):
-            chosen.append(w)
-    taken = set(chosen)
-    chosen += [w for w in negative if w not in taken][: landmarks - len(chosen)]
-    alphabet = sorted({c for w in chosen for c in w} | {"^"})
-    chars = {c: i for i, c in enumerate(alphabet)}
-    index = {t: i for i, t in enumerate(sorted({t for w in chosen for t in features[w]}))}
-    phi = np.zeros((len(chosen), len(index)))
-    for r, w in enumerate(chosen):
-        for t, v in features[w].items():
-            phi[r, index[t]] = v
+    features = Features(words)
+    positive = [i for i, s in enumerate(signs) if s > 0]
+    chosen = _unlike(features, positive, landmarks * 2 // 3)
+    taken = {words[i] for i in chosen}
+    chosen += [i for i, s in enumerate(signs) if s < 0 and words[i] not in taken][: landmarks - len(chosen)]
+    codes, phi = features.dense(chosen)
     values, vectors = np.linalg.eigh(phi @ phi.T)
     keep = values > 1e-9 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm to the power of -1/2
-    k = np.zeros((len(words), len(chosen)))
-    for r, w in enumerate(words):
-        at = [(index[t], v) for t, v in features[w].items() if t in index]
-        if at:
-            cols, vals = zip(*at)
-            k[r] = phi[:, cols] @ np.array(vals)
-    x = np.hstack([k @ root, np.ones((len(words), 1))])
+    x = np.hstack([features.against(codes, phi) @ root, np.ones((len(words), 1))])
     c = weights * np.where(signs > 0, positive_weight, 1.0)
     beta = np.zeros(x.shape[1])
     ridge = penalty * np.eye(x.shape[1])
@@ -273,31 +299,43 @@ def fit_words(words: list[str], signs: np.ndarray, weights: np.ndarray, features
         if gain < 1e-7 * best:
             break
     alpha = phi.T @ (root @ beta[:-1])
-    n = len(alphabet) + 1
+    used = np.unique(np.concatenate([codes // features.base**2, codes // features.base % features.base, codes % features.base, np.searchsorted(features.alphabet, [ord("^")])]))
+    place = np.zeros(features.base, np.int64)
+    place[used] = np.arange(len(used))
+    n = len(used) + 1
     table = np.zeros((n, n, n))
-    for (a, b, d), i in index.items():
-        table[chars[a], chars[b], chars[d]] = alpha[i]
-    return WordModel(chars, table, float(beta[-1]))
+    table[place[codes // features.base**2], place[codes // features.base % features.base], place[codes % features.base]] = alpha
+    return WordModel({chr(features.alphabet[u]): k for k, u in enumerate(used.tolist())}, table, float(beta[-1]))
 
 
-def _shingles(pieces: list[str]) -> np.ndarray:
-    """Hashes of the different runs of SHINGLE words; shorter texts are one run."""
-    known = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1 for w in set(pieces)}
-    ids = np.array([known[w] for w in pieces], np.uint64)
-    size = min(SHINGLE, len(ids))
-    runs = np.zeros(len(ids) - size + 1, np.uint64)
+def _runs_of(ids: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the size words from each place on."""
+    runs = np.zeros(max(len(ids) - size + 1, 0), np.uint64)
     for k in range(size):
-        runs = (runs ^ ids[k : len(ids) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        runs = (runs ^ ids[k : len(runs) + k]) * np.uint64(0x9E3779B97F4A7C15)
         runs ^= runs >> np.uint64(29)
-    return np.unique(runs)
+    return runs
+
 
+_FACTORS = np.random.default_rng(7).integers(2**63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def _least(shingles: np.ndarray) -> bytes:
-    """HASHES min-hashes of 32 bits."""
-    if not len(shingles):
-        return b"\xff" * (4 * HASHES)
-    factors = np.random.default_rng(7).integers(2**63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return np.array([((shingles * f) >> np.uint64(32)).min() for f in factors], np.uint32).tobytes()
+
+def min_hashes(words: list[str], bounds: np.ndarray) -> list[bytes]:
+    """HASHES min-hashes of 32 bits of the runs of SHINGLE words of each text; shorter texts
+    are one run, those without words have none."""
+    known = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1 for w in set(words)}
+    ids = np.array([known[w] for w in words], np.uint64)
+    runs, out = _runs_of(ids, SHINGLE), np.full((len(bounds) - 1, HASHES), 0xFFFFFFFF, np.uint32)
+    long = np.flatnonzero(np.diff(bounds) >= SHINGLE)
+    if len(long):
+        edges = np.stack([bounds[long], bounds[long + 1] - SHINGLE + 1], axis=1).reshape(-1)
+        for k, f in enumerate(_FACTORS):
+            least = ((runs * f) >> np.uint64(32)).astype(np.uint32)
+            out[long, k] = np.minimum.reduceat(np.append(least, np.uint32(0xFFFFFFFF)), edges)[::2]
+    for i in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < SHINGLE)).tolist():
+        one = _runs_of(ids[bounds[i] : bounds[i + 1]], int(bounds[i + 1] - bounds[i]))
+        out[i] = (one[0] * _FACTORS) >> np.uint64(32)
+    return [row.tobytes() for row in out]
 
 
 def near_copies(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
@@ -331,18 +369,25 @@ def type_counts(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffers.release()
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1)):
-                pieces = [w for w in words_of(*buffers.raw_of(pa.array([text.as_py()], pa.string()))).strings() if w]
-                words = {w for w in pieces if len(w) >= 2}
-                sign = int.from_bytes(hashlib.blake2b(" ".join(pieces).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                yield pa.RecordBatch.from_arrays([pa.array([[*words, ""]], pa.list_(pa.string())), pa.array([toxic.as_py()], pa.int32()), pa.array([sign], pa.int64()), pa.array([_least(_shingles(pieces))], pa.binary())], names=["words", "toxic", "sign", "least"])
+            for a, b in buffers.slices(batch.column(0)):
+                found = words_of(*buffers.raw_of(batch.column(0).slice(a, b - a)))
+                forms = [w for w in found.strings() if w]
+                bounds = np.searchsorted(found.doc[found.size > 0], np.arange(b - a + 1))
+                per_text = [forms[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                words = [[*{w for w in own if len(w) >= 2}, ""] for own in per_text]
+                sign = [int.from_bytes(hashlib.blake2b(" ".join(own).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for own in per_text]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1).slice(a, b - a), pa.array(sign, pa.int64()), pa.array(min_hashes(forms, bounds), pa.binary())], names=["words", "toxic", "sign", "least"])
 
     read = cut(labelled.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "words array<string>, toxic int, sign long, least binary"))
-    different = read.groupBy("toxic", "sign").agg(F.first("least").alias("least")).collect()
+    different = read.groupBy("toxic", "sign").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("n")).collect()
     moved = near_copies([(r["toxic"], r["sign"], bytes(r["least"])) for r in different])
-    leaders = read.sparkSession.createDataFrame(moved, "toxic int, sign long, leader long")
-    words = read.join(F.broadcast(leaders), ["toxic", "sign"], "left").select(F.explode("words").alias("word"), "toxic", F.coalesce("leader", "sign").alias("sign"))
-    return words.distinct().groupBy("word").agg(F.sum("toxic").alias("toxic_docs"), F.sum(1 - F.col("toxic")).alias("clean_docs"))
+    leader = {(t, s): l for t, s, l in moved}
+    several = {(r["toxic"], r["sign"]) for r in different if r["n"] > 1} | set(leader) | {(t, l) for t, _, l in moved}
+    groups = read.sparkSession.createDataFrame([(t, s, leader.get((t, s), s)) for t, s in sorted(several)], "toxic int, sign long, leader long")
+    marked = read.select("words", "toxic", "sign").join(F.broadcast(groups), ["toxic", "sign"], "left")
+    single = marked.where("leader IS NULL").select(F.explode("words").alias("word"), "toxic")
+    once = marked.where("leader IS NOT NULL").select(F.explode("words").alias("word"), "toxic", "leader").distinct().select("word", "toxic")
+    return single.unionByName(once).groupBy("word").agg(F.sum("toxic").alias("toxic_docs"), F.sum(1 - F.col("toxic")).alias("clean_docs"))
 
 
 def _runs(word: str) -> list[str]:
@@ -355,19 +400,31 @@ def telling(counts: DataFrame) -> dict[str, float]:
     """Words, and runs of characters (marked by a blank before them), that tell toxic documents:
     at least four times as frequent there, in three or more, and that is no chance among so
     many. Runs add up the documents of the words that hold them."""
-    runs = F.expr(f"transform(sequence(1, greatest(length(word) + 2 - {RUN}, 1)), i -> concat(' ', substring(concat('^', word), i, {RUN})))")
-    own = counts.select("word", "toxic_docs", "clean_docs")
-    more = counts.where(F.length("word") >= RUN).select(F.explode(F.array_distinct(runs)).alias("word"), "toxic_docs", "clean_docs").groupBy("word").agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs"))
-    out: dict[str, float] = {}
-    for part in (own, cut(more)):
-        n, p, q = part.agg(F.count(F.lit(1)), F.sum("toxic_docs"), F.sum("clean_docs")).first()
-        if not p or not q:
-            continue
+    toxic, both = F.col("toxic_docs"), F.col("toxic_docs") + F.col("clean_docs")
+    runs = F.array_distinct(F.expr(f"transform(sequence(1, length(word) + 2 - {RUN}), i -> concat(' ', substring(concat('^', word), i, {RUN})))"))
+    long = counts.where(F.length("word") >= RUN)
+    places = F.length("word") + 2 - RUN
+    first = counts.agg(F.count_if(toxic > 0), F.sum(toxic), F.sum("clean_docs")).first()
+    second = long.agg(F.sum(toxic * places), F.sum(F.col("clean_docs") * places)).first()
+    if not first[1] or not first[2]:
+        return {}
+
+    def told(part: DataFrame, tested: int, p: int, q: int, clean: bool) -> DataFrame:
+        """Rows that tell, or, before clean documents are counted, that may tell."""
         share = p / (p + q)
-        chance = 0.8 * float(np.sqrt(2 * np.log(max(n, 2))))
-        z = (F.col("toxic_docs") - (F.col("toxic_docs") + F.col("clean_docs")) * share) / F.sqrt((F.col("toxic_docs") + F.col("clean_docs")) * share + 1)
-        found = part.withColumn("z", z).where((F.col("toxic_docs") >= 3) & (F.col("toxic_docs") * (q / p) >= 4 * F.col("clean_docs")) & (F.col("z") >= chance))
-        out |= {r["word"]: r["z"] for r in found.collect()}
+        all_docs = both if clean else toxic
+        z = (toxic - all_docs * share) / F.sqrt(all_docs * share + 1)
+        out = part.withColumn("z", z).where((toxic >= 3) & (F.col("z") >= 0.8 * float(np.sqrt(2 * np.log(max(tested, 2))))))
+        return out.where(toxic * (q / p) >= 4 * F.col("clean_docs")) if clean else out.select("word", "toxic_docs")
+
+    out = {r["word"]: r["z"] for r in told(counts, *first, True).select("word", "z").collect()}
+    if second[0] and second[1]:
+        seen = cut(long.where(toxic > 0).select(F.explode(runs).alias("word"), "toxic_docs").groupBy("word").agg(F.sum("toxic_docs").alias("toxic_docs")))
+        tested = seen.count()
+        may = cut(told(seen, tested, *second, False))
+        clean = long.where("clean_docs > 0").select(F.explode(runs).alias("word"), "clean_docs").join(may.select("word"), "word", "left_semi").groupBy("word").agg(F.sum("clean_docs").alias("clean_docs"))
+        full = may.join(clean, "word", "left").withColumn("clean_docs", F.coalesce("clean_docs", F.lit(0)))
+        out |= {r["word"]: r["z"] for r in told(full, tested, *second, True).select("word", "z").collect()}
     return out
 
 
@@ -433,7 +490,7 @@ def train_words(labelled: DataFrame) -> WordModel:
     if not negatives:
         return none
     witness = [words for words, _ in sentences]
-    model, known = none, {}
+    model = none
     for step in range(ROUNDS):
         weight: dict[str, int] = {}
         for words, (_, k) in zip(witness, sentences):
@@ -441,11 +498,8 @@ def train_words(labelled: DataFrame) -> WordModel:
                 weight[w] = weight.get(w, 0) + k
         positive = sorted(weight, key=lambda w: (-weight[w], w))
         negative = sorted(negatives, key=lambda w: (-negatives[w], w))
-        for w in positive + negative:
-            if w not in known:
-                known[w] = _features(w)
         signs = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        model = fit_words(positive + negative, signs, np.log1p([float(weight[w]) for w in positive] + [float(negatives[w]) for w in negative]), known)
+        model = fit_words(positive + negative, signs, np.log1p([float(weight[w]) for w in positive] + [float(negatives[w]) for w in negative]))
         again = witness
         if step < MOVES:
             several = sorted({w for words, _ in sentences for w in words})
