@@ -39,8 +39,9 @@ def release() -> None:
 
 
 def raw_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts and where each begins (with the end). Null texts are empty."""
-    texts = texts.cast(pa.large_string())
+    """The bytes of all texts (or binary values) and where each begins (with the end). Null
+    texts are empty."""
+    texts = texts.cast(pa.large_binary() if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(data) else np.empty(0, np.uint8)

@@ -22,11 +22,11 @@ from . import buffers
 
 #: Most pieces that the cache of one worker holds. Beyond that only the third that came
 #: first stays, as frequent pieces come early.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 1_200_000
 #: New pieces that are encoded in one call.
 TOGETHER = 1000
 #: Bytes of text that are cut and joined at a time; longer texts are cut into parts.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 8_000_000
 
 
 #: Lower-cases A-Z and makes every ASCII blank a space.
@@ -47,12 +47,19 @@ def _style(path: str) -> str:
     return "whole"
 
 
-def _plain_letter(c: str) -> bool:
-    """A letter that stays one letter in lower case and in every normal form."""
-    return c.isascii() and c.isalpha() or "\u00c0" <= c < "\u0530" and c.isalpha() and c != "\u0374" and len(c.lower()) == 1
+#: Letters of plain words: ASCII, and those that UTF-8 writes as 0xC3 and one more byte.
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_ACCENTED = np.zeros(256, bool)
+_ACCENTED[0x80:0xC0] = True
+_ACCENTED[[0x97, 0xB7]] = False
 
 
 class Encoder:
+    """Ids of texts. The ids of known pieces stand one after the other in ``store``; piece k has
+    length[k] of them from begin[k] on, or a length of -1 if it is not independent of what
+    stands around it."""
+
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, special_as_text: bool = False) -> None:
         """special_as_text: the strings of special tokens in a text are ordinary text; else
         they give the special tokens' ids, as the library does by default."""
@@ -63,72 +70,103 @@ class Encoder:
         self.style = _style(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.most = cache_pieces
-        self.cache: dict[bytes, bytes | None] = {}
+        self.cache: dict[bytes, int] = {}
+        self.begin, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.store, self.used = np.zeros(4096, self.dtype), 0
         # What stands between new pieces that are encoded together; it gives one id that no
         # piece without that character can give.
         self.between = {"leading": "\n", "dropped": " 0 "}.get(self.style, "")
         self.mark = self._whole([self.between.strip(" ")])[0] if self.between else np.empty(0, self.dtype)
-        # A stop after a letter that normalisation leaves a letter is a token of its own.
-        self.stops = {c: self._whole([c])[0].tobytes() for c in ".,"}
+        self.stops = {ord(c): self._whole([c])[0][0] for c in ".,"} if self.between else {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces that do not hold the separator's character."""
-        out: list[bytes] = []
+    def _add(self, pieces: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+        n, k = len(self.cache), len(pieces)
+        while n + k > len(self.begin):
+            self.begin, self.length = np.concatenate([self.begin, self.begin]), np.concatenate([self.length, self.length])
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, self.store])
+        self.store[self.used : self.used + len(ids)] = ids
+        self.length[n : n + k] = length
+        real = np.maximum(length, 0)
+        self.begin[n : n + k] = self.used + np.cumsum(real) - real
+        self.used += len(ids)
+        self.cache.update(zip(pieces, range(n, n + k)))
+
+    def _together(self, pieces: list[bytes]) -> None:
+        """Adds pieces that do not hold the separator's character."""
         for i in range(0, len(pieces), TOGETHER):
-            ids = self._whole([self.between.join(pieces[i : i + TOGETHER])])[0]
-            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)) * self.dtype.itemsize
-            raw, at = ids.tobytes(), 0
-            for end in ends.tolist():
-                out.append(raw[at:end])
-                at = end + self.dtype.itemsize
-        return out
-
-    def _special(self, piece: bytes) -> bool:
-        return b"<" in piece and any(t in piece.lower() for t in self.special)
-
-    def _room(self, known: list[bytes]) -> list[bytes]:
-        """The pieces of known that are not in the cache, which is first cut down if it is too
-        full. All pieces of a batch are in it together, so it may hold a batch's more."""
-        new = [p for p in known if p not in self.cache]
-        if new and len(self.cache) + len(new) > self.most:
-            for p in list(self.cache)[self.most // 3 :]:
-                del self.cache[p]
-            new = [p for p in known if p not in self.cache]
-        return new
-
-    def _learn(self, new: list[bytes]) -> None:
-        """None for a piece that is not independent of what stands around it."""
-        cache, mark = self.cache, self.between.strip()
-        keys: tuple[list[bytes], list[bytes]] = ([], [])
-        texts: tuple[list[str], list[str]] = ([], [])
-        stopped: list[bytes] = []
-        queued: set[bytes] = set()
-        for p in new:
-            if self._special(p):
-                cache[p] = None
-                continue
+            some = pieces[i : i + TOGETHER]
+            ids = self._whole([self.between.encode().join(some).decode("utf-8", "replace")])[0]
+            marks = ids == self.mark[0]
+            edges = np.concatenate([[-1], np.flatnonzero(marks), [len(ids)]])
+            self._add(some, ids[~marks], np.diff(edges) - 1)
+
+    def _trim(self, coming: int) -> bool:
+        """Makes room if the cache is too full: the third that came first stays."""
+        if not self.cache or len(self.cache) + coming <= self.most:
+            return False
+        keep = self.most // 3
+        for p in list(self.cache)[keep:]:
+            del self.cache[p]
+        keep = len(self.cache)
+        self.used = int(self.begin[keep - 1] + max(self.length[keep - 1], 0)) if keep else 0
+        return True
+
+    def _learn(self, new: pa.Array) -> None:
+        """Adds all of new (distinct pieces that are not in the cache)."""
+        pieces = new.to_pylist()
+        raw, offsets = buffers.raw_of(new)
+        # Plain words: an optional blank, letters, an optional stop.
+        plain = _LETTER[raw]
+        after = np.zeros(len(raw), bool)
+        after[1:] = (raw[:-1] == 0xC3) & _ACCENTED[raw[1:]]
+        plain |= after
+        plain[:-1] |= after[1:]
+        letters = np.concatenate([[0], np.cumsum(plain)])
+        letters = letters[offsets[1:]] - letters[offsets[:-1]]
+        first, last = raw[offsets[:-1]], raw[offsets[1:] - 1]
+        others = (first == 0x20).astype(np.int64) + ((last == 0x2E) | (last == 0x2C))
+        simple = (letters > 0) & (letters + others == np.diff(offsets))
+        stopped = simple & ((last == 0x2E) | (last == 0x2C))
+        mark = self.between.strip()
+        together, alone, odd = [pieces[i] for i in np.flatnonzero(simple & ~stopped).tolist()], [], []
+        for i in np.flatnonzero(~simple).tolist():
+            p = pieces[i]
             text = p.decode("utf-8", "replace")
-            if len(text) > 1 and text[-1] in ".," and _plain_letter(text[-2]):
-                stopped.append(p)
-                p, text = p[:-1], text[:-1]
-            if p in queued or p in cache:
-                continue
-            queued.add(p)
             bare = text[1:] if text[:1] == " " else text
-            if self.style == "leading" and text != "\n" and (not bare or bare[0].isspace() or bare[-1].isspace()):
-                cache[p] = None
-                continue
-            alone = not (bare.isalpha() or bare.isprintable() and not (mark and mark in bare) and " " not in bare)
-            keys[alone].append(p)
-            texts[alone].append(text)
-        cache.update(zip(keys[0], self._together(texts[0])))
-        cache.update(zip(keys[1], (a.tobytes() for a in self._whole(texts[1]))))
-        for p in stopped:
-            base = cache[p[:-1]]
-            cache[p] = None if base is None else base + self.stops[chr(p[-1])]
+            if b"<" in p and any(t in p.lower() for t in self.special) or self.style == "leading" and text != "\n" and (not bare or bare[0].isspace() or bare[-1].isspace()):
+                odd.append(p)
+            elif bare.isalpha() or bare.isprintable() and not (mark and mark in bare) and " " not in bare:
+                together.append(p)
+            else:
+                alone.append(p)
+        self._together(together)
+        ids = self._whole([p.decode("utf-8", "replace") for p in alone])
+        self._add(alone, np.concatenate(ids) if ids else self.store[:0], np.array([len(x) for x in ids], np.int32))
+        self._add(odd, self.store[:0], np.full(len(odd), -1, np.int32))
+        if stopped.any():
+            self._stopped([pieces[i] for i in np.flatnonzero(stopped).tolist()])
+
+    def _stopped(self, pieces: list[bytes]) -> None:
+        """Adds plain words with a stop, which after a letter is a token of its own: they share
+        the ids of the word without it."""
+        stems = [p[:-1] for p in pieces]
+        self._together([p for p in dict.fromkeys(stems) if p not in self.cache])
+        at = self._places(stems)
+        length = self.length[at].astype(np.int64) + 1
+        ends = np.cumsum(length)
+        take = np.repeat(self.begin[at] - (ends - length), length) + np.arange(int(ends[-1]))
+        take[ends - 1] = 0
+        ids = self.store[take]
+        ids[ends - 1] = np.array([self.stops[p[-1]] for p in pieces], self.dtype)
+        self._add(pieces, ids, length.astype(np.int32))
+
+    def _places(self, pieces: list[bytes]) -> np.ndarray:
+        get = self.cache.get
+        return np.array([get(p, -1) for p in pieces], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, without special tokens, and where each text's ids begin
@@ -155,22 +193,22 @@ class Encoder:
             return np.empty(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
         known = pieces.dictionary.to_pylist()
-        if new := self._room(known):
-            self._learn(new)
-        ids_of = list(map(self.cache.__getitem__, known))
-        which = pieces.indices.to_numpy()
-        size = self.dtype.itemsize
-        lengths = np.fromiter((len(b) // size if b is not None else 0 for b in ids_of), np.int64, len(ids_of))
-        store = np.frombuffer(b"".join(b for b in ids_of if b), self.dtype)
-        begin = np.cumsum(lengths) - lengths
-        each = lengths[which]
+        at = self._places(known)
+        if (at < 0).any():
+            if self._trim(int((at < 0).sum())):
+                at = self._places(known)
+            self._learn(pieces.dictionary.filter(pa.array(at < 0)))
+            at[at < 0] = self._places([known[i] for i in np.flatnonzero(at < 0).tolist()])
+        which = at[pieces.indices.to_numpy()]
+        each = self.length[which]
+        odd = each < 0
+        each = np.maximum(each, 0).astype(np.int64)
         ends = np.cumsum(each)
-        take = np.repeat(begin[which] - (ends - each), each)
+        take = np.repeat(self.begin[which] - (ends - each), each)
         take += np.arange(len(take))
-        ids = store[take]
+        ids = self.store[take]
         place = np.searchsorted(cuts, offsets)
         bounds = np.concatenate([[0], ends])[place]
-        odd = np.fromiter((b is None for b in ids_of), bool, len(ids_of))[which]
         if self.style == "leading":
             feed = raw[cuts[:-1]] == 0x0A
             odd[1:] |= feed[1:] & feed[:-1] & ~starts_of(offsets, cuts)[1:]
@@ -204,10 +242,6 @@ def encoder(path: str, special_as_text: bool = False) -> Encoder:
     return _encoders[key]
 
 
-_LETTER = np.zeros(256, bool)
-_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
-
-
 def _long(enc: Encoder, text: pa.Scalar, size: int) -> np.ndarray:
     """The ids of a text longer than size bytes, encoded part by part."""
     raw, _ = buffers.raw_of(pa.array([text], text.type))
