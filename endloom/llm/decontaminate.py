@@ -14,17 +14,20 @@ the documents are streamed once for each shard and the results merged.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buffers
 from .common import picked
 
 WINDOW = 13
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
+#: Bytes of a document that are cut into words at a time.
+PART = 1_000_000
 _SPANS = "__spans"
 
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -36,6 +39,17 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def word_parts(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, part by part."""
+    folded = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
+    at = 0
+    while at < len(folded):
+        to = folded.find(b" ", at + PART) if at + PART < len(folded) else -1
+        to = len(folded) if to < 0 else to
+        yield folded[at:to].split()
+        at = to
+
+
 class SuffixAutomaton:
     """Generalised suffix automaton over word sequences, with the items of each window."""
 
@@ -117,37 +131,70 @@ class SuffixAutomaton:
 
     def scan(self, sequence: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Merged spans (first word, word after the last) inside windows; items found."""
+        return self.scan_parts([sequence])[:2]
+
+    def scan_parts(self, parts: Iterable[list[bytes]]) -> tuple[list[tuple[int, int]], set[int], int]:
+        """The same over a sequence in parts, and its length."""
         trans, link, length, least, k = self.trans, self.link, self.length, self.least, self.window
         spans: list[tuple[int, int]] = []
-        items: set[int] = set()
+        windows: set[int] = set()  # states, so that a window of many items costs little
+        ends: set[int] = set()
         v = size = 0
-        for i, w in enumerate(sequence):
-            t = trans[v].get(w)
-            if t is None:
-                while v and t is None:
-                    v = link[v]
-                    t = trans[v].get(w)
+        i = -1
+        for sequence in parts:
+            for w in sequence:
+                i += 1
+                t = trans[v].get(w)
                 if t is None:
-                    size = 0
-                    continue
-                size = length[v]
-            v = t
-            size += 1
-            if size >= least:
-                longest = 0
-                if size >= k:
-                    longest = k
-                    items.update(self.window_items[self.window_state[v]])
-                for n, item in self.short[v]:
-                    if n <= size:
-                        items.add(item)
-                        longest = max(longest, n)
-                if longest:
-                    start = i + 1 - longest
-                    while spans and spans[-1][1] >= start:
-                        start = min(start, spans.pop()[0])
-                    spans.append((start, i + 1))
-        return spans, items
+                    while v and t is None:
+                        v = link[v]
+                        t = trans[v].get(w)
+                    if t is None:
+                        size = 0
+                        continue
+                    size = length[v]
+                v = t
+                size += 1
+                if size >= least:
+                    longest = 0
+                    if size >= k:
+                        longest = k
+                        windows.add(self.window_state[v])
+                    if self.short[v]:
+                        shown = max((n for n, _ in self.short[v] if n <= size), default=0)
+                        if shown:
+                            longest = max(longest, shown)
+                            ends.add((v, min(size, k)))
+                    if longest:
+                        start = i + 1 - longest
+                        while spans and spans[-1][1] >= start:
+                            start = min(start, spans.pop()[0])
+                        spans.append((start, i + 1))
+        items: set[int] = set()
+        for state in windows:
+            items.update(self.window_items[state])
+        for state, shown in ends:
+            items.update(item for n, item in self.short[state] if n <= shown)
+        return spans, items, i + 1
+
+
+#: The automaton that this Python worker built last.
+_built: dict[tuple[str, int], SuffixAutomaton] = {}
+
+
+class Shard:
+    """Items that are broadcast; a Python worker builds their automaton once and keeps it from
+    task to task, until it needs another."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[str, list[bytes]]]) -> None:
+        self.key, self.items = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
+
+    def automaton(self, window: int) -> SuffixAutomaton:
+        key = self.key, window
+        if key not in _built:
+            _built.clear()
+            _built[key] = SuffixAutomaton(self.items.value, window)
+        return _built[key]
 
 
 def _shards(benchmark: DataFrame, shard_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -169,18 +216,17 @@ _SCAN = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("n_words",
 _SCAN_DDL = "doc_id long, row_hash long, n_words long, spans array<array<long>>, items array<string>"
 
 
-def _scan(docs: DataFrame, automaton_of) -> DataFrame:
+def _scan(docs: DataFrame, shard: Shard, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffers.release()
-        automaton = automaton_of()
+        automaton = shard.automaton(window)
         for batch in batches:
             out: dict[str, list] = {name: [] for name in _SCAN.names}
             for key, row_hash, text in zip(batch.column(0), batch.column(1), batch.column(2)):
-                sequence = words(text.as_py())
-                spans, items = automaton.scan(sequence)
+                spans, items, n_words = automaton.scan_parts(word_parts(text.as_py()))
                 out["doc_id"].append(key.as_py())
                 out["row_hash"].append(row_hash.as_py())
-                out["n_words"].append(len(sequence))
+                out["n_words"].append(n_words)
                 out["spans"].append([list(s) for s in spans])
                 out["items"].append(sorted(automaton.items[i] for i in items))
             yield pa.RecordBatch.from_pydict(out, schema=_SCAN)
@@ -201,20 +247,20 @@ def merged(spans: Iterable[Iterable[int]]) -> list[list[int]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, spans (word offsets), items (ids as strings, distinct, sorted).
 
-    One row for every input row. Null and empty texts have no words and no spans. Items
-    without an identifier, text or word are ignored; items that repeat count once for each
+    One row for every input row; other columns have no influence. Null and empty texts have
+    no words and no spans; with an empty benchmark no text has spans. Long texts are read in
+    parts. Items without an identifier, text or word are ignored; items that repeat count once for each
     identifier. Reads the benchmark on the driver, one shard at a time.
     """
     spark = docs.sparkSession
     base = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row_hash"), F.col("text").cast("string").alias("text"))
-    shards = [spark.sparkContext.broadcast(shard) for shard in _shards(picked(benchmark, item_id=item_col, text=item_text_col), shard_words)]
+    shards = [Shard(spark, items) for items in _shards(picked(benchmark, item_id=item_col, text=item_text_col), shard_words)]
     if len(shards) == 1:
-        only = shards[0]
-        return _scan(base, lambda: SuffixAutomaton(only.value, window)).select("doc_id", "n_words", "spans", F.array_distinct("items").alias("items"))
+        return _scan(base, shards[0], window).select("doc_id", "n_words", "spans", F.array_distinct("items").alias("items"))
     hashed = base.withColumn("row_hash", F.xxhash64("text"))
     parts = None
     for shard in shards:
-        one = _scan(hashed, lambda shard=shard: SuffixAutomaton(shard.value, window))
+        one = _scan(hashed, shard, window)
         parts = one if parts is None else parts.unionByName(one)
     groups = parts.groupBy("doc_id", "row_hash", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(shards)).cast("int").alias("copies"))
     # Rows that repeat were merged above; each comes back as often as it was there.
@@ -267,7 +313,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_span: int = 2 * WIND
     they cover more than max_coverage of a document's words; other columns stay. A null
     text stays null; a document without such spans stays byte for byte as it was."""
     spark, columns = docs.sparkSession, docs.columns
-    shards = [spark.sparkContext.broadcast(s) for s in _shards(picked(benchmark, item_id="item_id", text="text"), SHARD_WORDS)]
+    shards = [Shard(spark, items) for items in _shards(picked(benchmark, item_id="item_id", text="text"), SHARD_WORDS)]
     at = columns.index("text")
     schema = docs.schema
     # Each shard adds its spans of the text as it came; what to cut is judged over all.
@@ -277,9 +323,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_span: int = 2 * WIND
     for shard in shards:
 
         def find(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton(shard.value, window)
+            automaton = shard.automaton(window)
             for batch in batches:
-                found = [known.as_py() + [list(s) for s in automaton.scan(words(text.as_py()))[0]] for text, known in zip(batch.column(at), batch.column(len(columns)))]
+                found = [known.as_py() + [list(s) for s in automaton.scan_parts(word_parts(text.as_py()))[0]] for text, known in zip(batch.column(at), batch.column(len(columns)))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kept)], names=[*columns, _SPANS])
 
         docs = docs.mapInArrow(find, docs.schema)
