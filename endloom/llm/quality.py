@@ -58,8 +58,11 @@ STATISTICS = [
 
 def _distinct(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of distinct keys, count of the most frequent key) for each document."""
-    order = np.lexsort((key, doc))
-    d, k = doc[order], key[order]
+    if n == 1:
+        d, k = np.zeros(len(key), np.int8), np.sort(key)
+    else:
+        order = np.lexsort((key, doc))
+        d, k = doc[order], key[order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
     at = np.flatnonzero(new)
@@ -69,52 +72,76 @@ def _distinct(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return np.bincount(d[at], minlength=n), top
 
 
-def statistics(texts: pa.Array) -> np.ndarray:
-    """One row of STATISTICS for each text; all zero for empty and null texts."""
-    n = len(texts)
-    raw, offsets = buffers.raw_of(texts)
+_SUMS = ["size", *_CLASSES, "other", "words", "length", "square", "feeds", "one_byte", "long", "symbol", "all_upper", "upper_first", "bar"]
+
+
+def _measured(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What adds up over parts of a text: _SUMS for each text; the hash and text of each word;
+    the key and text of each line with words (the sum of its words' hashes)."""
+    n = len(offsets) - 1
     size = np.diff(offsets)
-    owner = np.repeat(np.arange(n), size)
-    shares = np.bincount(owner * _N_CLASSES + _CLASS[raw], minlength=n * _N_CLASSES).reshape(n, _N_CLASSES) / np.maximum(size, 1)[:, None]
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)
+    classes = np.bincount(owner * np.int64(_N_CLASSES) + _CLASS[raw], minlength=n * _N_CLASSES).reshape(n, _N_CLASSES)
     starts, ends, doc = buffers.word_bounds(raw, offsets)
-    words = np.bincount(doc, minlength=n)
-    per_word = np.maximum(words, 1)
     length = (ends - starts).astype(float)
-    mean = np.bincount(doc, length, minlength=n) / per_word
-    spread = np.sqrt(np.maximum(np.bincount(doc, length**2, minlength=n) / per_word - mean**2, 0))
-    lines = np.bincount(owner[raw == 0x0A], minlength=n) + (size > 0)
+    count = lambda mask: np.bincount(doc, mask, minlength=n)
     hashes = buffers.word_hashes(buffers.LOWER[raw], starts, ends)
     last, first = raw[ends - 1] if len(ends) else raw[:0], raw[starts] if len(starts) else raw[:0]
-    share = lambda mask: np.bincount(doc, mask, minlength=n) / per_word
-    next_same = np.zeros(len(doc), bool)
-    pair = np.empty(0, np.uint64)
+    feed = raw == 0x0A
+    line_of = np.cumsum(feed)[starts] if len(starts) else starts
+    key = doc.astype(np.int64) * (int(line_of[-1]) + 2 if len(line_of) else 1) + line_of
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    sums = np.add.reduceat(hashes * np.uint64(0x9E3779B97F4A7C15), at) if len(at) else np.zeros(0, np.uint64)
+    capital = (raw >= 0x41) & (raw <= 0x5A)
+    capitals = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(capital, out=capitals[1:])
+    capitals = capitals[ends] - capitals[starts]
+    columns = [
+        size, *classes.T, np.bincount(doc, minlength=n), count(length), count(length**2), np.bincount(owner[feed], minlength=n), count(length == 1), count(length > 15),
+        count(np.isin(_CLASS[last], [7, 8, 9, 10, 11, 12])), count((capitals >= 2) & (capitals >= 0.6 * length)), count((first >= 0x41) & (first <= 0x5A)), count((length == 1) & (first == 0x7C)),
+    ]
+    return np.stack([np.asarray(c, float) for c in columns], axis=1), hashes, doc, sums, doc[at]
+
+
+def statistics(texts: pa.Array, part: int = buffers.PART) -> np.ndarray:
+    """One row of STATISTICS for each text; all zero for empty and null texts. A long text is
+    read in parts."""
+    n = len(texts)
+    raw, offsets = buffers.raw_of(texts)
+    if n == 1 and len(raw) > part:
+        total, hashes, sums = np.zeros((1, len(_SUMS))), [], []
+        for a, b in buffers.parts(raw, part):  # parts are cut within a line, between words
+            one, h, _, s, _ = _measured(raw[a:b], np.array([0, b - a]))
+            total += one
+            hashes.append(h)
+            if len(s) and sums:
+                sums[-1][-1:] += s[:1]
+                s = s[1:]
+            if len(s):
+                sums.append(s)
+        hashes, sums = np.concatenate(hashes), np.concatenate(sums) if sums else np.zeros(0, np.uint64)
+        doc, line_doc = np.zeros(len(hashes), np.int8), np.zeros(len(sums), np.int8)
+    else:
+        total, hashes, doc, sums, line_doc = _measured(raw, offsets)
+    of = dict(zip(_SUMS, total.T))
+    words, per_word, lines = of["words"], np.maximum(of["words"], 1), of["feeds"] + (of["size"] > 0)
+    mean = of["length"] / per_word
+    spread = np.sqrt(np.maximum(of["square"] / per_word - mean**2, 0))
     in_doc = doc[1:] == doc[:-1]
-    if len(doc) > 1:
-        next_same[1:] = in_doc & (hashes[1:] == hashes[:-1])
-        pair = buffers.mix(hashes[1:] * np.uint64(3) + hashes[:-1])[in_doc]
+    next_same = np.bincount(doc[1:][in_doc], hashes[1:][in_doc] == hashes[:-1][in_doc], minlength=n)
+    pairs, _ = _distinct(doc[1:][in_doc], buffers.mix(hashes[1:] * np.uint64(3) + hashes[:-1])[in_doc], n)
     distinct, top = _distinct(doc, hashes, n)
-    pairs, _ = _distinct(doc[1:][in_doc], pair, n)
-    # A line's key is the sum of its word hashes, by place.
-    line_of = np.cumsum(raw == 0x0A)[starts] if len(starts) else starts
-    key = doc.astype(np.int64) * (int(line_of[-1]) + 2 if len(line_of) else 1) + line_of
-    _, line = np.unique(key, return_inverse=True)
-    sums = np.zeros(int(line.max(initial=-1)) + 1, np.uint64)
-    np.add.at(sums, line, hashes * np.uint64(0x9E3779B97F4A7C15))
-    line_doc = np.zeros(len(sums), np.int64)
-    line_doc[line] = doc
     distinct_lines, _ = _distinct(line_doc, sums, n)
     full_lines = np.bincount(line_doc, minlength=n)
-    upper_first = (first >= 0x41) & (first <= 0x5A)
-    capitals = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw >= 0x41) & (raw <= 0x5A), out=capitals[1:])
-    all_upper = (capitals[ends] - capitals[starts] >= 2) & (capitals[ends] - capitals[starts] >= 0.6 * length)
-    symbol = np.isin(_CLASS[last], [7, 8, 9, 10, 11, 12])
+    share = lambda name: of[name] / per_word
     columns = [
-        np.log1p(size), np.log1p(words), np.log1p(lines), *shares.T, mean, spread, share(length == 1), share(length > 15), words / np.maximum(lines, 1) / 20,
-        distinct / per_word, share(next_same), pairs / np.maximum(words - 1, 1), distinct_lines / np.maximum(full_lines, 1), top / per_word, share(symbol), share(all_upper), share(upper_first), share((length == 1) & (first == 0x7C)),
+        np.log1p(of["size"]), np.log1p(words), np.log1p(lines), *(of[c] / np.maximum(of["size"], 1) for c in (*_CLASSES, "other")), mean, spread, share("one_byte"), share("long"), words / np.maximum(lines, 1) / 20,
+        distinct / per_word, next_same / per_word, pairs / np.maximum(words - 1, 1), distinct_lines / np.maximum(full_lines, 1), top / per_word, share("symbol"), share("all_upper"), share("upper_first"), share("bar"),
     ]
     out = np.stack([np.asarray(c, float) for c in columns], axis=1)
-    out[size == 0] = 0.0
+    out[of["size"] == 0] = 0.0
     return out
 
 
