@@ -11,8 +11,8 @@ The machine learns from sentences. A sentence's value is that of its most insult
 so a clean sentence says that all of its words lie below the margin, and a toxic sentence
 that some of its words, its witnesses, lie above. Every sentence of a clean document is
 clean. A sentence of a toxic document is toxic if it holds a word that tells, by itself or
-by a run of five of its characters, toxic documents from clean ones. Its witnesses are the
-words that tell at least HALF as strongly as the best of the sentence; after a fit, they
+by a run of five of its characters, toxic documents from clean ones, at least HALF as
+strongly as the best of its document. These words are its witnesses; after a fit, they
 are chosen anew: those that the fit finds insulting, or else the best. Of the words of clean sentences the driver holds
 only those that break the margin: each round one pass over all of them finds the breakers
 of the last fit, until there are no new ones, so the fit is that of all words.
@@ -49,7 +49,7 @@ RUN = 5
 #: Words of clean sentences that the first fit starts from (the passes add all that matter),
 #: by how much a word breaks the margin before it is added, words that one pass adds, most
 #: rounds of fitting, and the rounds in which witnesses may change.
-START, SLACK, STEP, ROUNDS, MOVES = 1500, 0.1, 5000, 12, 2
+START, SLACK, STEP, ROUNDS, MOVES = 3000, 0.5, 5000, 8, 2
 #: Labelled documents that share this part of their runs of SHINGLE words are copies. It is
 #: estimated by so many min-hashes; those to compare share BAND of these in a row.
 COPY, SHINGLE, HASHES, BAND = 0.8, 5, 60, 5
@@ -429,9 +429,9 @@ def telling(counts: DataFrame) -> dict[str, float]:
 
 
 def toxic_sentences(labelled: DataFrame, evidence: dict[str, float]) -> list[tuple[tuple[str, ...], int]]:
-    """(the words that tell, the strongest first, down to HALF of it; number) of the
-    sentences of toxic documents; sentences with the same words are one row, repeated texts
-    count once."""
+    """(the words that tell at least HALF as strongly as the best of their document, the
+    strongest first; number) of the sentences of toxic documents that hold any; sentences
+    with the same words are one row, repeated texts count once."""
     shared = labelled.sparkSession.sparkContext.broadcast(evidence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,13 +442,16 @@ def toxic_sentences(labelled: DataFrame, evidence: dict[str, float]) -> list[tup
             for a, b in buffers.slices(batch.column(0)):
                 words = words_of(*buffers.raw_of(batch.column(0).slice(a, b - a)))
                 sentence = np.cumsum(np.concatenate([[False], words.stop[:-1] | (words.doc[1:] != words.doc[:-1])])) if len(words.doc) else words.doc
-                found: dict[int, dict[str, float]] = {}
-                for s, w in zip(sentence.tolist(), words.strings()):
+                found: dict[tuple[int, int], dict[str, float]] = {}
+                best: dict[int, float] = {}
+                for d, s, w in zip(words.doc.tolist(), sentence.tolist(), words.strings()):
                     if w not in known:
                         known[w] = max([tells.get(w, 0.0), *(tells.get(" " + r, 0.0) for r in _runs(w))]) if len(w) >= 2 else 0.0
                     if known[w]:
-                        found.setdefault(s, {})[w] = known[w]
-                rows = [sorted((w for w in f if f[w] >= HALF * max(f.values())), key=lambda w: (-f[w], w)) for f in found.values()]
+                        found.setdefault((d, s), {})[w] = known[w]
+                        best[d] = max(best.get(d, 0.0), known[w])
+                kept = ((d, f, [w for w in f if f[w] >= HALF * best[d]]) for (d, _), f in found.items())
+                rows = [sorted(told, key=lambda w: (-f[w], w)) for d, f, told in kept if told]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["words"])
                 if len(known) > 500_000:
                     known.clear()
