@@ -45,3 +45,18 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, whatever else (and in
     whatever clashing names) the caller's frame holds."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+#: Rows from which a key of a join may count as hot, and the most keys that do.
+HOT_ROWS, HOT_KEYS = 10_000, 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) to right, which has one row a key and in n_left the number
+    of left's rows with it. Keys with over max(HOT_ROWS, total / HOT_KEYS) of left's total
+    rows, at most HOT_KEYS of them, are broadcast, so their rows stay where they are; the
+    others meet by a shuffle. Reads left twice."""
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col("n_left") > least).drop("n_left"))
+    cold = right.where(F.col("n_left") <= least).drop("n_left")
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key, how))

@@ -1,19 +1,18 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the classes it forms.
 
 A document is the set of its word shingles. All shingles have one global order: first those
-in fewer than ``frequent_from`` sets, by hash, then the frequent ones by frequency. If two
-sets overlap enough to be linked, prefixes that are lengthened by l - 1 tokens share at
+that are not listed as frequent, by hash, then the frequent ones by frequency. If two sets overlap enough to be linked, prefixes that are lengthened by l - 1 tokens share at
 least l of them. Each document chooses its own l: a longer prefix reads more postings, but
 candidates must share more tokens before they are verified; it takes the l of least
 estimated cost. A pair is a candidate if its prefixes share at least the smaller l.
 
 Documents with the same set count once, from the first step on. Pairs come from two kinds
-of postings. A rare token has fewer than ``frequent_from`` sets, so all pairs of its
-posting are made. Postings of frequent tokens may hold a third of all documents: they are
+of postings. A short posting has fewer than ``frequent_from`` sets, so all its pairs are
+made. Long postings, of listed tokens or not, may hold a third of all documents: they are
 first put in order of size, only neighbours become pairs, and each document verifies its
 best partner, in a few rounds. What still lies in different classes is compared exactly, in
-blocks that share a frequent token. So no link between classes is lost and no group of
-copies makes a row for each of its pairs.
+blocks that share enough tokens with long postings. So no link between classes is lost and
+no group of copies makes a row for each of its pairs.
 
 Sets are compared by 48-bit hashes of their shingles.
 """
@@ -30,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buffers
-from .common import cut, picked
+from .common import cut, picked, spread_join
 from .components import components
 
 SIZE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Sets from which a shingle counts as frequent, and the most frequent ones that are broadcast
-#: (the threshold rises if there are more; the order of the others stays by hash).
+#: Sets from which a shingle counts as frequent, and how many of the most frequent ones are
+#: broadcast. Others stay in the order by hash; their postings are long or short all the same.
 FREQUENT_FROM = 16
 MAX_FREQUENT = 2_000_000
 #: Most tokens that a prefix is lengthened by, and what verifying a pair costs in postings.
@@ -49,26 +48,56 @@ ROUNDS = 2
 #: Tokens that a task gathers before it sorts and sends them, and tokens of a bucket.
 FLUSH_TOKENS = 1_500_000
 BUCKET_TOKENS = 2_000_000
-#: Sets of a block that meets other blocks whole.
+#: Most sets of a block that meets other blocks whole, and shingles from which it ends.
 BLOCK = 256
+BLOCK_TOKENS = 500_000
+#: Parts that the blocks of one token are dealt into when they meet.
+MEETINGS = 16
 #: Distinct sets that are asked for by a broadcast list; beyond it the sets are joined.
 MAX_WANTED = 4_000_000
 
 _U = np.uint64
 
 
-def shingle_sets(texts: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+def _grams(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of size words."""
+    k = max(len(h) - size + 1, 0)
+    grams = np.zeros(k, _U)
+    for j in range(size):
+        grams = grams * _U(0x9E3779B97F4A7C15) + h[j : j + k]
+    return grams
+
+
+def _long_set(raw: np.ndarray, size: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set of one long text, read in parts. The last words of a part go on to the next."""
+    found, before = [], np.zeros(0, _U)
+    for a, b in buffers.parts(raw, part):
+        low = buffers.LOWER[raw[a:b]]
+        starts, ends, _ = buffers.word_bounds(low, np.array([0, len(low)]))
+        h = np.concatenate([before, buffers.word_hashes(low, starts, ends)])
+        found.append(np.unique(buffers.mix(_grams(h, size))))
+        before = h[max(len(h) - size + 1, 0) :]
+    keys = np.unique(np.concatenate(found))
+    if not len(keys) and len(before):  # fewer words than a shingle
+        value = np.array([len(before)], _U)
+        for w in before:
+            value = value * _U(0x9E3779B97F4A7C15) + w
+        keys = buffers.mix(value + _U(0xABCDEF))
+    return keys, np.array([0, len(keys)])
+
+
+def shingle_sets(texts: pa.Array, size: int = SIZE, part: int = buffers.PART) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit shingle hashes of each text, ascending, and where each text's begin."""
     n = len(texts)
     raw, offsets = buffers.raw_of(texts)
+    if n == 1 and len(raw) > part:
+        return _long_set(raw, size, part)
     raw = buffers.LOWER[raw]
     starts, ends, doc = buffers.word_bounds(raw, offsets)
     h = buffers.word_hashes(raw, starts, ends)
     count = np.bincount(doc, minlength=n)
-    k = max(len(h) - size + 1, 0)
-    grams = np.zeros(k, _U)
-    for j in range(size):
-        grams = grams * _U(0x9E3779B97F4A7C15) + h[j : j + k]
+    grams = _grams(h, size)
+    k = len(grams)
     whole = doc[:k] == doc[size - 1 :] if k else np.zeros(0, bool)
     keys, owner = buffers.mix(grams[whole]), doc[:k][whole]
     short = np.flatnonzero((count > 0) & (count < size))
@@ -272,8 +301,11 @@ def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
             rare = t[order[: min(length, int((~often).sum()))]]
             tokens.append(np.unique(rare))
             sizes.append(len(tokens[-1]))
+            listed = np.unique(t[order[len(rare) : length]])
+            # Shingles of one token count once, so they cannot be asked for twice.
+            l = max(1, l - (length - len(tokens[-1]) - len(listed)))
             fps.append(fp), ns.append(len(t)), ls.append(l)
-            posts += [(int(x), fp, len(t), l) for x in np.unique(t[order[len(rare) : length]])]
+            posts += [(int(x), fp, len(t), l) for x in listed]
             held += sizes[-1] + len(posts) // 8
             if held >= FLUSH_TOKENS // 2 or len(posts) >= 200_000:
                 yield flush()
@@ -288,8 +320,12 @@ def _close(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def rare_pairs(prefix: DataFrame, percent: int) -> DataFrame:
-    """a, b, shared, l for all pairs of sets of near enough size that share rare tokens."""
+_RARE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("l", pa.int64()), ("token", pa.int64()), ("fp", pa.int64()), ("n", pa.int64())])
+
+
+def rare_pairs(prefix: DataFrame, percent: int, long_from: int = FREQUENT_FROM) -> tuple[DataFrame, DataFrame]:
+    """Of the packed tokens: a, b, shared, l for all pairs of sets of near enough size in
+    postings of fewer than long_from sets; and the longer postings (token, fp, n, l)."""
 
     def pairs(table: pa.Table) -> pa.Table:
         buffers.release()
@@ -300,9 +336,14 @@ def rare_pairs(prefix: DataFrame, percent: int) -> DataFrame:
                 part.append(v)
         t, fp, n, l = (np.concatenate(p) for p in parts)
         order = np.lexsort((fp, t))
-        t, fp, n, l = t[order], fp[order], n[order], l[order]
+        t, fp, n, l = t[order], fp[order], n[order], l[order].astype(np.int64)
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (fp[1:] != fp[:-1])])
         t, fp, n, l = t[new], fp[new], n[new], l[new]
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        length = np.diff(np.append(first, len(t)))
+        long = np.repeat(length >= long_from, length)
+        posts = pa.table({"token": pa.array(t[long].astype(np.int64)), "fp": pa.array(fp[long]), "n": pa.array(n[long]), "l": pa.array(l[long])})
+        t, fp, n, l = t[~long], fp[~long], n[~long], l[~long]
         out = []
         step = 1
         while True:  # postings are short: pairs at distance 1, 2, ... in a posting
@@ -310,17 +351,20 @@ def rare_pairs(prefix: DataFrame, percent: int) -> DataFrame:
             if not len(same):
                 break
             same = same[_close(n[same], n[same + step], percent)]
-            out.append(np.stack([fp[same], fp[same + step], np.minimum(l[same], l[same + step]).astype(np.int64)]))
+            out.append(np.stack([fp[same], fp[same + step], np.minimum(l[same], l[same + step])]))
             step += 1
         found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         order = np.lexsort(found[::-1])
         found = found[:, order]
         first = np.flatnonzero(np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0)])) if found.shape[1] else np.zeros(0, np.int64)
         shared = np.diff(np.append(first, found.shape[1]))
-        return pa.table({"a": pa.array(found[0][first]), "b": pa.array(found[1][first]), "shared": pa.array(shared), "l": pa.array(found[2][first])})
+        made = pa.table({"a": pa.array(found[0][first]), "b": pa.array(found[1][first]), "shared": pa.array(shared), "l": pa.array(found[2][first])})
+        return pa.concat_tables([made, posts], promote_options="default").select(_RARE.names).cast(_RARE)
 
-    packed = prefix.where("bucket IS NOT NULL").select("bucket", "size", "tokens", "at", "fps", "ns", "ls").groupBy("bucket").applyInArrow(pairs, "a long, b long, shared long, l long")
-    return packed.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l"))
+    packed = prefix.where("bucket IS NOT NULL").select("bucket", "size", "tokens", "at", "fps", "ns", "ls").groupBy("bucket")
+    both = cut(packed.applyInArrow(pairs, "a long, b long, shared long, l long, token long, fp long, n long"))
+    made = both.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l"))
+    return made, both.where("token IS NOT NULL").select("token", "fp", "n", F.col("l").cast("int").alias("l"))
 
 
 def neighbours(posts: DataFrame, percent: int, salt: int) -> DataFrame:
@@ -344,20 +388,21 @@ def neighbours(posts: DataFrame, percent: int, salt: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def _mixed(posts: DataFrame, known: DataFrame) -> DataFrame:
+def _mixed(posts: DataFrame, known: DataFrame, total: int) -> DataFrame:
     """posts with the component of each set, without the postings that lie in one component."""
-    labelled = posts.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    mixed = labelled.groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("token")
-    return labelled.join(mixed, "token")
+    labelled = cut(posts.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    tokens = labelled.groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed"), F.count(F.lit(1)).alias("n_left"))
+    return spread_join(labelled, tokens.where("mixed").drop("mixed"), "token", total)
 
 
-def hubs(labelled: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def hubs(labelled: DataFrame, links: DataFrame, percent: int, total: int) -> DataFrame:
     """a, b, shared: each set with the hub of its postings, the set with the most links so
     far, unless both are in one component."""
     ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("degree"))
-    ranked = labelled.join(ends, "fp", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    best = ranked.groupBy("token").agg(F.max_by(F.struct(F.col("fp").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")), F.struct("degree", "fp")).alias("h")).select("token", "h.*")
-    pairs = labelled.join(best, "token").where("component <> hub_component AND 100 * least(n, hub_n) >= %d * greatest(n, hub_n)" % percent)
+    ranked = cut(labelled.join(ends, "fp", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
+    hub = F.max_by(F.struct(F.col("fp").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")), F.struct("degree", "fp"))
+    best = ranked.groupBy("token").agg(hub.alias("h"), F.count(F.lit(1)).alias("n_left")).select("token", "h.*", "n_left")
+    pairs = spread_join(ranked, best, "token", total).where("component <> hub_component AND 100 * least(n, hub_n) >= %d * greatest(n, hub_n)" % percent)
     return pairs.groupBy(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
@@ -384,7 +429,8 @@ def wanted_sets(rows: DataFrame, wanted: DataFrame, size: int, most: int = MAX_W
             short = np.unique(keys >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             yield pa.RecordBatch.from_arrays([pa.array([fp], pa.int64()), pa.array([np.ascontiguousarray(short).tobytes()], pa.binary())], names=["fp", "keys"])
 
-    sets = rows.mapInArrow(run, "fp long, keys binary")
+    # A set that several tasks met is one row from here on.
+    sets = rows.mapInArrow(run, "fp long, keys binary").dropDuplicates(["fp"])
     return sets if listed is not None else sets.join(wanted, "fp", "left_semi")
 
 
@@ -416,23 +462,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _numbered(ordered: DataFrame) -> DataFrame:
-    """Adds place, the rank over all partitions of a frame that is range-partitioned and
-    sorted. One number for each partition passes through the driver."""
+def _summed_before(ordered: DataFrame, weight: str) -> DataFrame:
+    """Adds place, the sum of weight over all rows before, in all partitions, of a frame that
+    is range-partitioned and sorted. One number for each partition passes through the
+    driver."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int64)), pa.array(np.arange(at, at + n))], names=[*names, "part", "local"])
-            at += n
+            w = batch.column(names.index(weight)).to_numpy()
+            ends = at + np.cumsum(w)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(w), part, np.int64)), pa.array(ends - w)], names=[*names, "part", "local"])
+            at = int(ends[-1]) if len(w) else at
 
     names = ordered.columns
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema) + ", part long, local long"
     placed = cut(ordered.mapInArrow(local, ddl))
-    counts = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    sums = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.sum(weight).alias("n")).collect())
     base, bases = 0, []
-    for part, n in counts:
+    for part, n in sums:
         bases.append((part, base))
         base += n
     offsets = placed.sparkSession.createDataFrame(bases, "part long, base long")
@@ -458,18 +506,30 @@ def block_overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(labelled: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """The links between sets of different components that share a frequent prefix token.
+def block_links(labelled: DataFrame, sets: DataFrame, near: DataFrame, percent: int, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The links between sets of different components that share tokens of long postings.
 
-    The sets of mixed postings are put in order of their first token and dealt into blocks
-    of a fixed size; two blocks meet if they share a token, and all their pairs are
-    compared by one matrix product, so a pair is never a row."""
-    each = labelled.groupBy("fp").agg(F.min("token").alias("lead"), F.min("n").alias("n"), F.min("component").alias("component"))
+    labelled: the mixed postings (token, fp, n, l, component); near: the pairs (a, b) that
+    share tokens of short postings. The sets of mixed postings are put in order of their
+    first token and size and dealt into blocks of a bounded number of sets and shingles. Two
+    blocks meet if their sizes allow a link and they share as many tokens as the least l of
+    either asks for, or, if a pair between them shares tokens of short postings too, one.
+    All pairs of two blocks are compared by one matrix product, so a pair is never a row."""
+    each = labelled.groupBy("fp").agg(F.min("token").alias("lead"), F.min("n").alias("n"), F.min("l").alias("l"), F.min("component").alias("component"))
+    each = each.withColumn("weight", F.greatest("n", F.lit(block_tokens // block)))
     width = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered = _numbered(each.repartitionByRange(width, "lead", "n", "fp").sortWithinPartitions("lead", "n", "fp"))
-    dealt = cut(numbered.select("fp", "n", "component", F.floor(F.col("place") / block).alias("block")))
-    tokens = labelled.select("token", "fp").join(dealt.select("fp", "block"), "fp").select("token", "block").distinct()
-    met = tokens.select("token", F.col("block").alias("p")).join(tokens.select("token", F.col("block").alias("q")), "token").where("p <= q").select("p", "q").distinct()
+    placed = _summed_before(each.repartitionByRange(width, "lead", "n", "fp").sortWithinPartitions("lead", "n", "fp"), "weight")
+    dealt = cut(placed.select("fp", "n", "l", "component", F.floor(F.col("place") / block_tokens).alias("block")))
+    heads = dealt.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("l").alias("l"))
+    tokens = cut(labelled.select("token", "fp").join(dealt.select("fp", "block"), "fp").select("token", "block").distinct().join(heads, "block"))
+    side = lambda s: tokens.select("token", *(F.col(c).alias(s + c) for c in ("block", "low", "high", "l")))
+    left = side("p").withColumn("part", F.pmod(F.xxhash64("pblock"), F.lit(MEETINGS)).cast("int"))
+    right = side("q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(MEETINGS - 1))))
+    close = "pblock <= qblock AND 100 * phigh >= {0} * qlow AND 100 * qhigh >= {0} * plow".format(percent)
+    shared = left.join(right, ["token", "part"]).where(close).groupBy(F.col("pblock").alias("p"), F.col("qblock").alias("q")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("pl", "ql")).alias("l"))
+    where = dealt.select("fp", "block")
+    linked = near.join(where.select(F.col("fp").alias("a"), F.col("block").alias("x")), "a").join(where.select(F.col("fp").alias("b"), F.col("block").alias("y")), "b").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), F.lit(True).alias("near")).distinct()
+    met = shared.join(linked, ["p", "q"], "left").where("c >= l OR near").select("p", "q")
     bodies = dealt.join(sets, "fp").groupBy("block").agg(F.collect_list(F.struct("fp", "n", "component", "keys")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,27 +547,41 @@ def block_links(labelled: DataFrame, sets: DataFrame, percent: int, block: int =
     return pairs.select("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, frequent_from: int = FREQUENT_FROM, max_match: int = MAX_MATCH) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
+def _classes_of(table: DataFrame, final: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id from the rows (doc_id, fp, n) and the components of fps.
+    What many rows or fps share meets them without a shuffle."""
+    own = cut(table.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_left")).join(final.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    rows, fps = own.agg(F.coalesce(F.sum("n_left"), F.lit(0)), F.count(F.lit(1))).first()
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_left"))
+    named = cut(spread_join(own.select("fp", "component", F.col("n_left").alias("rows")), least, "component", fps).select("fp", "component_id", F.col("rows").alias("n_left")))
+    full = spread_join(table.where("n > 0"), named, "fp", rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return full.unionByName(table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, frequent_from: int = FREQUENT_FROM, max_match: int = MAX_MATCH, max_frequent: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs; other columns have no influence.
 
     Words are runs of characters that are no ASCII white space, with A-Z lower-cased. A
     text of fewer words than a shingle is one shingle; null, empty and blank texts have an
     empty set and are linked with nothing (component_id is their own doc_id). component_id is
     the least doc_id in a component (null doc_ids are passed over; null if there is no
-    other). Rows that repeat stay. Runs jobs; texts are read four times.
+    other). Rows that repeat stay; an empty table gives an empty frame. max_frequent bounds
+    the list of frequent tokens and with it the cost, not the result. Runs jobs; texts are
+    read four times.
     """
     rows = _text_rows(docs, id_col, text_col)
     table = cut(document_sets(docs, id_col, text_col, size))
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = int(total // BUCKET_TOKENS) + 1
-    frequent = frequent_tokens(rows, buckets, size, frequent_from, MAX_FREQUENT)
+    frequent = frequent_tokens(rows, buckets, size, frequent_from, MAX_FREQUENT if max_frequent is None else max_frequent)
     prefix = cut(prefixes(rows, frequent, buckets, size, percent, max_match))
-    posts = prefix.where("token IS NOT NULL").select("token", "fp", "n", "l").distinct()
-    posts = cut(posts)
-    rare = cut(rare_pairs(prefix, percent))
-    # Only sets with enough rare matches, or in postings of frequent tokens, can be candidates.
-    held = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    posts = cut(posts.join(held, "token"))
+    rare, long = rare_pairs(prefix, percent, frequent_from)
+    rare = cut(rare)
+    posts = cut(prefix.where("token IS NOT NULL").select("token", "fp", "n", "l").unionByName(long).distinct())
+    n_posts = posts.count()
+    # Only sets with enough rare matches, or in long postings, can be candidates.
+    lengths = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n_left")).where("n_left > 1")
+    posts = cut(spread_join(posts, lengths, "token", n_posts))
     enough = rare.where("shared >= l")
     ends = enough.select(F.col("a").alias("fp")).unionByName(enough.select(F.col("b").alias("fp"))).unionByName(posts.select("fp")).distinct()
     sets = cut(wanted_sets(rows, cut(ends), size))
@@ -515,9 +589,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     links = cut(verified(tried, sets, percent))
     known = cut(components(links))
     for step in range(1, ROUNDS + 1):
-        labelled = _mixed(posts, known)
+        labelled = cut(_mixed(posts, known, n_posts))
         if step % 2:
-            more = hubs(labelled, links, percent)
+            more = hubs(labelled, links, percent, n_posts)
         else:
             more = neighbours(labelled, percent, step)
         more = cut(_best_partners(more.join(tried, ["a", "b"], "left_anti")))
@@ -526,12 +600,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         known = cut(components(links))
     label = lambda side: known.select(F.col("node").alias(side), F.col("component").alias("c" + side))
     apart = enough.join(label("a"), "a", "left").join(label("b"), "b", "left").where("NOT coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b")
-    rest = cut(verified(apart.join(tried, ["a", "b"], "left_anti"), sets, percent).unionByName(block_links(_mixed(posts, known), sets, percent)))
-    final = components(links.unionByName(rest))
-    whole = table.join(final.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = whole.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    # A component may hold a third of all rows: its one row of least is salted.
-    salts = 16
-    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = whole.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(salts)).cast("int")).join(salted, ["component", "salt"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    rest = cut(verified(apart.join(tried, ["a", "b"], "left_anti"), sets, percent).unionByName(block_links(cut(_mixed(posts, known, n_posts)), sets, rare.where("shared < l"), percent)))
+    return _classes_of(table, components(links.unionByName(rest)))
