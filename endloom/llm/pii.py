@@ -20,7 +20,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 # The patterns of each type of entity, in order of precedence.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -45,16 +45,24 @@ _HINT = r"[0-9@=]|[DdTtNnYy][\"']? ?:|(?:sk|pk|gh[po]|xox[bp])[_\-]|(?:M(?:rs?|s
 NAMES = {
     "latin_f": "Ada Alma Anna Clara Diana Elena Emma Eva Flora Greta Helen Ida Irene Julia Laura Lena Lucia Maria Marta Nina Nora Olivia Paula Rosa Sara Sofia Stella Tessa Vera Viola".split(),
     "latin_m": "Adam Albert Alan Bruno Carl Daniel David Emil Erik Felix Frank George Hugo Ivan Jonas Karl Leo Lucas Marco Martin Max Nils Oscar Otto Paul Peter Robert Simon Thomas Victor".split(),
-    "latin": "Abel Arden Bauer Becker Blanc Castro Conti Dumas Ebert Ferrer Fischer Garnier Hale Holm Jansen Keller Lang Lopez Marin Meyer Moreau Navarro Novak Ortega Petit Reyes Rossi Silva Vidal Weber".split(),
+    "latin": "Bar Bel Ber Cal Cor Dal Dor Fer Gar Hal Har Kel Lan Lin Mar Mel Mon Nor Ober Pel Ran Ros Sal San Ster Tal Tor Val Ver Wal".split(),
     "cyrillic_f": "Алина Анна Вера Дарья Елена Ирина Мария Нина Ольга София".split(),
     "cyrillic_m": "Антон Борис Виктор Денис Игорь Максим Олег Павел Роман Сергей".split(),
-    "cyrillic": "Бондарь Ткач Гончар Дубко Зимич Кравец Лещук Мороз Савич Шевчук".split(),
+    "cyrillic": "Бал Бар Вер Гал Гор Дан Дуб Зар Кал Кар Кор Лав Мал Мар Мор Пал Пет Рад Сав Тар".split(),
 }
+# What family names are made of after their first syllable.
+MIDDLES = {"latin": "a ad an ar e ed el en er i il in ir o ol on or u ul um".split(), "cyrillic": "а ал ан ар е ел ен ер и ил ин ир о ол он ор у ул ум".split()}
+ENDS = {"latin": "ber den dorf feld gan lan lo man mer nez ni rano rell ron sen ski son ten ton ville".split(), "cyrillic": "бай вец вич дик ко ленко мак мяк ник нюк рец рчук сюк тар чак чук шук як".split()}
 #: Digits and letters of these types move into the mention's own places.
 _DIRECT = ("ip", "name")
-#: Exceptions up to this number are looked up in a broadcast map, beyond it by a join.
-MAP_ENTRIES = 50_000
+#: Exceptions up to this number are looked up in a broadcast array of so many small maps (a
+#: mention reads one of them through), beyond it by a join.
+MAP_ENTRIES, MAPS = 50_000, 4096
 SALTS = 16
+#: Attempts after which a surrogate gets one more character, of the types whose formats can
+#: grow (all but these, whose formats hold over 10**8 values each).
+GROW = 10
+_SIZED = ("ip", "ssn", "phone", "card", "iban", "name")
 
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 
@@ -155,13 +163,17 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
 
         if pool == "given":
             return F.when(cyrillic & female, of(NAMES["cyrillic_f"])).when(cyrillic, of(NAMES["cyrillic_m"])).when(female, of(NAMES["latin_f"])).otherwise(of(NAMES["latin_m"]))
-        return F.when(cyrillic, of(NAMES["cyrillic"])).otherwise(of(NAMES["latin"]))
+        table = {"family": NAMES, "middle": MIDDLES, "end": ENDS}[pool]
+        return F.when(cyrillic, of(table["cyrillic"])).otherwise(of(table["latin"]))
 
     two = F.instr(F.split_part(canon, F.lit("|"), F.lit(3)), " ") > 0
-    # Later attempts join ever more family names, so names never run out.
-    joined = F.when(attempt < 9, F.floor(attempt / 3).cast("int")).otherwise(attempt - 6)
-    more = F.when(attempt > 2, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(joined, F.lit(1))), lambda i: F.concat(F.lit("-"), name_part("family", i + 1))), "")).otherwise(F.lit(""))
-    name = F.concat(F.when(two, F.concat(name_part("given", F.lit(0)), F.lit(" "))).otherwise(F.lit("")), name_part("family", F.lit(1)), more)
+    # A family name has a first syllable, one middle more with each attempt, and an end, so
+    # names do not run out.
+    middles = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: name_part("middle", i + 3)), "")
+    family = F.concat(name_part("family", F.lit(1)), middles, name_part("end", F.lit(2)))
+    name = F.concat(F.when(two, F.concat(name_part("given", F.lit(0)), F.lit(" "))).otherwise(F.lit("")), family)
+    more = F.when(~kind.isin(*_SIZED) & (attempt >= GROW), F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.floor(attempt / GROW).cast("int"), F.lit(1))), lambda i: pick("abcdefghijklmnopqrstuvwxyz0123456789", i + 4096)), "")).otherwise(F.lit(""))
+    chars = F.concat(chars, more)
     return F.when(kind == "ip", ip).when(kind == "name", name).when(kind == "card", card).otherwise(chars)
 
 
@@ -175,7 +187,8 @@ def _rendered(s: Column, fake: Column) -> Column:
             d = F.substring(inner, F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^A-Za-z0-9]", "")), F.lit(1))
             return F.when(c.rlike("[A-Za-z0-9]"), F.when((kind == "email") & c.rlike("[A-Z]"), F.upper(d)).otherwise(d)).otherwise(c)
 
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), place), "")
+        own = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), place), "")
+        return F.concat(own, F.substring(inner, F.length(F.regexp_replace(value, "[^A-Za-z0-9]", "")) + 1, F.length(inner)))
 
     poured = _let(F.regexp_replace(fake, "[^A-Za-z0-9]", ""), pour)
     direct = F.when((kind == "name") & (F.upper(value) == value), F.upper(fake)).otherwise(fake)
@@ -191,9 +204,10 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def assign(found: DataFrame, key: str, rounds: int = 40) -> tuple[DataFrame, int]:
     """kind, canon, attempt with surrogates that are distinct and no real entity, and how
-    many are past their first attempt. Runs a job for each round of checks. Names take as
-    many rounds as they need; other types keep their format, and those that still clash
-    after so many rounds have run out of it."""
+    many are past their first attempt. Runs a job for each round of checks. Names get longer
+    with each attempt and most other types after GROW of them, so they take as many rounds
+    as they need; the types of fixed size that still clash after so many rounds have run
+    out of their format, which raises an error."""
     state = cut(found.select("kind", "canon", F.lit(0).alias("attempt")))
     real = state.select("kind", F.when(F.col("kind") == "name", F.concat(F.lit("name|"), F.split_part("canon", F.lit("|"), F.lit(3)))).otherwise(F.col("canon")).alias("fake_key")).distinct()
     moved = 0
@@ -204,7 +218,7 @@ def assign(found: DataFrame, key: str, rounds: int = 40) -> tuple[DataFrame, int
         clash = owners.where("n > 1").select("kind", "fake_key", "owner").unionByName(owners.join(real, ["kind", "fake_key"], "left_semi").select("kind", "fake_key", F.lit(None).cast("string").alias("owner")))
         clash = clash.groupBy("kind", "fake_key").agg(F.max(F.col("owner").isNull()).alias("taken"), F.max("owner").alias("owner"))
         bad = cut(fakes.join(clash, ["kind", "fake_key"]).where(F.col("taken") | (F.col("canon") != F.col("owner"))).select("kind", "canon", F.lit(1).alias("step")))
-        clashes, formats = bad.agg(F.count(F.lit(1)), F.count_if(F.col("kind") != "name")).first()
+        clashes, formats = bad.agg(F.count(F.lit(1)), F.count_if(F.col("kind").isin(*[k for k in _SIZED if k != "name"]))).first()
         if not clashes:
             return state, moved
         if formats and step >= rounds:
@@ -217,32 +231,45 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", map_entries:
     """docs with surrogates in text_col, and entities array<struct<kind, surrogate>> added
     (named ``pii_entities``; a column of that name in docs is replaced).
 
-    One row for every input row, all other columns as they were. A null text stays null
+    One row for every input row (repeated rows get equal results), all other columns as they
+    were; an empty table gives an empty frame. A null text stays null
     and has no entities, as do empty texts. Runs jobs over the distinct entities; with
     more than map_entries exceptions these are joined to the distinct texts that hold
     them, salted, else looked up in a broadcast map.
     """
     attempts, moved = assign(entities(docs, text_col), key)
     text = F.col(f"`{text_col}`").cast("string")
-    found = "__mentions"
+    free = lambda name: next(c for c in (f"{name}{'_' * k}" for k in count()) if c not in docs.columns)
+    found, tried, text_key = free("__mentions"), free("__attempts"), free("__text_key")
     out = docs.withColumn(found, mentions(text))
     exceptions = attempts.where("attempt > 0")
     if not moved:
         attempt_of = lambda s, i: F.lit(0)
     elif moved <= map_entries:
-        table = exceptions.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__attempts"))
-        out = out.crossJoin(F.broadcast(table))  # one row
-        attempt_of = lambda s, i: F.coalesce(F.element_at("__attempts", F.concat_ws("|", s["kind"], s["canon"])), F.lit(0))
+        entry = F.concat_ws("|", "kind", "canon")
+        maps = exceptions.groupBy(F.pmod(F.xxhash64(entry), F.lit(MAPS)).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(entry, "attempt"))).alias("m"))
+        every = docs.sparkSession.range(MAPS).join(maps, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("m", F.expr("map('', 0)")).alias("m")))).alias("a"))
+        out = out.crossJoin(F.broadcast(every.select(F.col("a.m").alias(tried))))  # one row
+
+        def attempt_of(s: Column, i: Column) -> Column:
+            own = F.concat_ws("|", s["kind"], s["canon"])
+            return F.coalesce(F.element_at(F.get(tried, F.pmod(F.xxhash64(own), F.lit(MAPS)).cast("int")), own), F.lit(0))
+
     else:
-        out = out.withColumn("__text_key", F.when(F.size(found) > 0, F.sha2(text, 256)))
-        held = out.where("__text_key IS NOT NULL").groupBy("__text_key").agg(F.first(found).alias("s")).select("__text_key", F.posexplode("s").alias("i", "e"))
-        held = held.select("__text_key", "i", F.col("e.kind").alias("kind"), F.col("e.canon").alias("canon"), F.pmod(F.xxhash64("__text_key"), F.lit(SALTS)).alias("salt"))
+        out = out.withColumn(text_key, F.when(F.size(found) > 0, F.sha2(text, 256)))
+        some = out.where(F.col(text_key).isNotNull())
+        texts = some.groupBy(text_key).agg(F.first(found).alias("s"), F.count(F.lit(1)).alias("n_left"))
+        held = texts.select(text_key, F.posexplode("s").alias("i", "e"))
+        held = held.select(text_key, "i", F.col("e.kind").alias("kind"), F.col("e.canon").alias("canon"), F.pmod(F.xxhash64(text_key), F.lit(SALTS)).alias("salt"))
         salted = exceptions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        per_text = held.join(salted, ["kind", "canon", "salt"]).groupBy("__text_key").agg(F.map_from_entries(F.collect_list(F.struct("i", "attempt"))).alias("__attempts"))
-        out = out.join(per_text, "__text_key", "left").drop("__text_key")
-        attempt_of = lambda s, i: F.coalesce(F.element_at("__attempts", i), F.lit(0))
+        per_text = held.join(salted, ["kind", "canon", "salt"]).groupBy(text_key).agg(F.map_from_entries(F.collect_list(F.struct("i", "attempt"))).alias(tried))
+        per_text = cut(per_text.join(texts.select(text_key, "n_left"), text_key))
+        # Texts without mentions are not joined, and a text that many rows share not shuffled.
+        none = out.where(F.col(text_key).isNull()).withColumn(tried, F.lit(None).cast(per_text.schema[tried].dataType))
+        out = spread_join(some, per_text, text_key, docs.count(), "left").unionByName(none).drop(text_key)
+        attempt_of = lambda s, i: F.coalesce(F.element_at(tried, i), F.lit(0))
     shown = F.transform(F.col(found), lambda s, i: F.struct(s["kind"].alias("kind"), _let(surrogate(s["kind"], s["canon"], attempt_of(s, i), key), lambda fake: _rendered(s, fake)).alias("surrogate")))
     out = out.withColumn("pii_entities", F.coalesce(shown, F.expr("CAST(array() AS array<struct<kind:string,surrogate:string>>)")))
     gaps = F.split(text, PATTERN, -1)
     woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("pii_entities", i)["surrogate"], F.lit("")))), "")
-    return out.withColumn(text_col, F.when(F.size("pii_entities") > 0, woven).otherwise(text)).drop(found, "__attempts")
+    return out.withColumn(text_col, F.when(F.size("pii_entities") > 0, woven).otherwise(text)).drop(found, tried)
