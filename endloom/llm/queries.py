@@ -75,7 +75,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = url_filter.mine_rules(url_filter.page_labels(pages, _table(spark, sf_dir, "labels")))
+    labelled = url_filter.page_labels(pages, _table(spark, sf_dir, "labels"), url_filter.POLICY)
+    rules = url_filter.mine_rules(labelled, verdicts=("block", "allow"))
     return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
 
 

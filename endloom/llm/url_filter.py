@@ -3,24 +3,33 @@ Spark's own FP-growth only).
 
 URLs become sets of tokens (scheme, host labels, path segments with digits folded, file
 extension, names of query parameters). FP-growth mines the token combinations that come
-with the label ``block`` among labelled pages; rules are pruned by support, confidence
-and redundancy (a rule goes if a part of it is at least as confident). Each rule is posted
-under its rarest token in an inverted index; a distinct token set fetches the rules of its
-tokens and keeps those it holds whole.
+with a label, ``block`` or ``allow``, among labelled pages. Rules are pruned by support, by
+confidence against the label's base rate (they must lift it, by more than chance among so
+many rules would) and by redundancy (a rule goes if a part of it is at least as confident).
+Each rule is posted under its rarest token in an inverted index; a distinct token set
+fetches the rules of its tokens, keeps those it holds whole, and the most confident one
+decides.
+
+A page is labelled by the policy where a policy rule fits, else by the document that it
+shows, where that document has labels.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
-#: The item that stands for the label; no token has this form.
-LABEL = "label=block"
+#: What the items that stand for labels begin with; no token has this form.
+LABEL = "label="
 MIN_SUPPORT = 0.004
 MIN_CONFIDENCE = 0.5
+#: The least ratio of a rule's confidence to its label's base rate.
+MIN_LIFT = 1.1
 #: No rule is kept that fewer labelled pages bear out.
 MIN_ROWS = 20
 
@@ -73,60 +82,98 @@ def policy_rule(host: Column, path: Column, policy: list[tuple[str, str, str]])
     return best
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
+_NO_RULES = "tokens array<string>, rarest string, verdict string, confidence double, support double"
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS, min_lift: float = MIN_LIFT, verdicts: tuple[str, ...] = ("block",)) -> DataFrame:
     """labelled: tokens array<string> (distinct), blocked boolean. Result: tokens (sorted),
-    rarest, confidence, support. No labelled rows, or none that is blocked, give no rules.
-    Runs jobs."""
-    transactions = labelled.where("tokens IS NOT NULL").select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(LABEL))).otherwise(F.col("tokens")).alias("items"))
-    n = transactions.count()
-    if not n:
-        return labelled.sparkSession.createDataFrame([], "tokens array<string>, rarest string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(transactions)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(LABEL))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = cut(rules)
+    rarest, verdict, confidence, support. Rows without tokens or label are left out; no
+    labelled rows, or none of a label, give no rules for it. Runs jobs.
+
+    A rule that n pages fit beats chance if its confidence is over the base rate by
+    sqrt(2 ln(rules)) standard deviations of a share of n pages."""
+    known = labelled.where("tokens IS NOT NULL AND blocked IS NOT NULL")
+    verdict = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
+    transactions = cut(known.select(F.array_append("tokens", F.concat(F.lit(LABEL), verdict)).alias("items"), verdict.alias("verdict")))
+    shares = {r["verdict"]: r["n"] for r in transactions.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(shares.values())
+    if len(shares) < 2:
+        return labelled.sparkSession.createDataFrame([], _NO_RULES)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(transactions.select("items"))
+    wanted = F.array(*[F.lit(LABEL + v) for v in verdicts])
+    rules = cut(model.associationRules.where(F.arrays_overlap("consequent", wanted)).select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 9).alias("verdict"), "confidence", "support"))
+    base = F.when(F.col("verdict") == "block", F.lit(shares["block"] / n)).otherwise(F.lit(shares["allow"] / n))
+    fits = F.col("support") * n / F.col("confidence")
+    above = (F.col("confidence") - base) * F.sqrt(fits / (base * (1 - base)))
+    telling = rules.where((F.col("confidence") >= min_lift * base) & (above >= F.lit(2 * math.log(max(rules.count(), 2))) ** 0.5))
     # A rule is redundant if one of its parts, a token fewer, is at least as confident. Each
     # part of a frequent set is frequent, so chains of single steps find all of them.
-    parts = rules.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("without")).select("tokens", "confidence", F.array_remove("tokens", F.col("without")).alias("part"))
-    redundant = parts.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c")), "part").where("c >= confidence").select("tokens").distinct()
-    kept = rules.join(redundant, "tokens", "left_anti")
+    parts = rules.where(F.size("tokens") > 1).select("tokens", "verdict", "confidence", F.explode("tokens").alias("without")).select("tokens", "verdict", "confidence", F.array_remove("tokens", F.col("without")).alias("part"))
+    redundant = parts.join(rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("c")), ["part", "verdict"]).where("c >= confidence").select("tokens", "verdict").distinct()
+    kept = telling.join(redundant, ["tokens", "verdict"], "left_anti")
     counts = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq"))
-    posted = kept.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(counts, "token")
-    return cut(posted.groupBy("tokens", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest")).select("tokens", "rarest", "confidence", "support"))
+    posted = kept.select("tokens", "verdict", "confidence", "support", F.explode("tokens").alias("token")).join(counts, "token")
+    return cut(posted.groupBy("tokens", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest")).select("tokens", "rarest", "verdict", "confidence", "support"))
 
 
 def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct token sets that hold a rule, with the most confident one (ties: the
-    higher support, then the first in order): tokens, mined_rule, confidence."""
+    higher support, then the first in order): tokens, mined_rule, mined_verdict, confidence.
+    Rules without a verdict block."""
     sets = token_sets.select("tokens").distinct()
-    index = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("rule"), "confidence", "support")
+    verdict = F.col("verdict") if "verdict" in rules.columns else F.lit("block")
+    index = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("rule"), verdict.alias("mined_verdict"), "confidence", "support")
     found = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("rule", "tokens")) == 0)
-    best = F.min_by(F.array_join("rule", " & "), F.struct(-F.col("confidence"), -F.col("support"), F.array_join("rule", " & ")))
-    return found.groupBy("tokens").agg(best.alias("mined_rule"), F.max("confidence").alias("confidence"))
+    name = F.array_join("rule", " & ")
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), name.alias("name"), "mined_verdict"))
+    return found.groupBy("tokens").agg(best.alias("b")).select("tokens", F.col("b.name").alias("mined_rule"), "b.mined_verdict", (-F.col("b.c")).alias("confidence"))
 
 
-def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """tokens, blocked for the pages of labelled documents. A page shows the document whose
-    number is in its path; a page counts as blocked if that document is of low quality or
-    toxic. Documents with several labels count as blocked if one says so."""
-    linked = pages.select(url_tokens(F.col("url")).alias("tokens"), F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS bigint)").alias("doc_id")).where("doc_id IS NOT NULL")
-    judged = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")).alias("bad"))
-    return linked.join(judged, "doc_id").select("tokens", (F.col("bad") == 1).alias("blocked"))
+def page_labels(pages: DataFrame, labels: DataFrame, policy: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """tokens, blocked (and the columns of pages) for the pages that have a label. Where a
+    rule of policy fits, its verdict is the label. Else a page shows the document whose number
+    is in its path, and counts as blocked if that document is of low quality or toxic.
+    Documents with several labels count as blocked if one says so."""
+    url = F.col("url").cast("string")
+    number = F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS bigint)")
+    own = pages.withColumns({"tokens": url_tokens(url), "__doc": number, "__policy": policy_rule(host_of(url), path_of(url), policy or [])["verdict"]})
+    judged = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__doc")).agg(F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")).alias("__bad"))
+    asked = own.where("__doc IS NOT NULL").groupBy("__doc").agg(F.count(F.lit(1)).alias("n_left"))
+    found = spread_join(own.where("__doc IS NOT NULL"), asked.join(judged, "__doc"), "__doc", pages.count(), "left")
+    both = found.unionByName(own.where("__doc IS NULL").withColumn("__bad", F.lit(None).cast("int")))
+    blocked = F.when(F.col("__policy").isNotNull(), F.col("__policy") == "block").otherwise(F.col("__bad") == 1)
+    return both.withColumn("blocked", blocked).where("blocked IS NOT NULL").drop("__doc", "__policy", "__bad")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, policy: list[tuple[str, str, str]] = POLICY) -> DataFrame:
     """pages with host, path, rule, verdict, mined_rule and confidence added.
 
-    One row for every input row; columns of these names in pages are replaced. Null URLs
-    have empty host and path, no rule, and are allowed. The policy's longest fitting rule
-    decides; else a page is blocked if a mined rule fits. Mined rules are matched once for
-    each distinct token set.
+    One row for every input row; columns of these names in pages are replaced, others stay.
+    Null URLs have empty host and path and no rule, and are allowed. The policy's longest
+    fitting rule decides; else the most confident mined rule; else a page is allowed. Mined
+    rules are matched once for each distinct token set; a set that many pages share meets
+    them without a shuffle. An empty table gives an empty frame.
     """
     url = F.col("url").cast("string")
     out = pages.withColumn("__tokens", url_tokens(url)).withColumn("host", host_of(url)).withColumn("path", path_of(url))
-    hits = match_rules(out.select(F.col("__tokens").alias("tokens")), rules).select(F.col("tokens").alias("__tokens"), F.col("mined_rule").alias("__rule"), F.col("confidence").alias("__confidence"))
-    out = out.join(hits, "__tokens", "left").withColumn("__policy", policy_rule(F.col("host"), F.col("path"), policy))
-    mined = F.when(F.col("__rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    sets = out.groupBy(F.col("__tokens").alias("tokens")).agg(F.count(F.lit(1)).alias("n_left"))
+    hits = match_rules(sets, rules).join(sets, "tokens")
+    hits = cut(hits.select(F.col("tokens").alias("__tokens"), F.col("mined_rule").alias("__rule"), F.col("mined_verdict").alias("__verdict"), F.col("confidence").alias("__confidence"), "n_left"))
+    out = spread_join(out, hits, "__tokens", pages.count(), "left").withColumn("__policy", policy_rule(F.col("host"), F.col("path"), policy))
     return (
-        out.withColumns({"rule": F.col("__policy.rule"), "verdict": F.coalesce(F.col("__policy.verdict"), mined), "mined_rule": F.col("__rule"), "confidence": F.col("__confidence")})
-        .drop("__tokens", "__policy", "__rule", "__confidence")
+        out.withColumns({"rule": F.col("__policy.rule"), "verdict": F.coalesce("__policy.verdict", "__verdict", F.lit("allow")), "mined_rule": F.col("__rule"), "confidence": F.col("__confidence")})
+        .drop("__tokens", "__policy", "__rule", "__verdict", "__confidence")
     )
+
+
+def held_out_figures(labelled: DataFrame, held_out: Column, **limits) -> DataFrame:
+    """One row about rules mined from the labelled pages that are not held out, judged on
+    those that are: pages, blocked (by label), decided (a mined rule fits), denied (a mined
+    rule blocks), hits (denied and blocked by label). Precision is hits / denied, recall
+    hits / blocked."""
+    marked = cut(labelled.select("tokens", "blocked", held_out.alias("held")))
+    rules = mine_rules(marked.where("NOT held"), **limits)
+    rest = marked.where("held")
+    seen = rest.join(match_rules(rest, rules), "tokens", "left")
+    denies = F.coalesce(F.col("mined_verdict") == "block", F.lit(False))
+    return seen.agg(F.count(F.lit(1)).alias("pages"), F.count_if("blocked").alias("blocked"), F.count("mined_rule").alias("decided"), F.count_if(denies).alias("denied"), F.count_if(denies & F.col("blocked")).alias("hits"))
