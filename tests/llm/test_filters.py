@@ -1,13 +1,17 @@
 """Exact dedup, decontamination, n-gram join, URL filter: against brute force on small tables."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from endloom.llm import components, decontaminate, exact_dedup, ngram_join, url_filter
+from endloom.llm import common, components, decontaminate, exact_dedup, ngram_join, url_filter
 
 DOCS = "doc_id long, text string, kind string, size long"
 
@@ -138,6 +142,95 @@ def test_ngram_join_against_brute_force(spark, frequent_from, max_match):
     assert sorted((tuple(r) for r in out), key=str) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("max_frequent", [0, 1])
+def test_long_postings_make_no_pairs(spark, monkeypatch, max_frequent):
+    """300 documents with one passage: their postings stay rows, whether listed or not."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(12))
+    texts = [passage + " " + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(2, 40))) for _ in range(300)]
+    made, seen = [], ngram_join.rare_pairs
+
+    def counted(*args):
+        pairs, long = seen(*args)
+        made.append((pairs.count(), long.groupBy("token").count().agg({"count": "min"}).first()[0]))
+        return pairs, long
+
+    monkeypatch.setattr(ngram_join, "rare_pairs", counted)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)
+    out = ngram_join.classes(df, max_frequent=max_frequent).collect()
+    assert sorted((tuple(r) for r in out), key=str) == brute_classes(rows)
+    assert made[0][0] < 300 and (made[0][1] or 16) >= 16
+
+
+@pytest.mark.parametrize("max_frequent,block", [(0, (4, 500)), (3, (2, 10**6)), (2_000_000, (4, 60))])
+def test_blocks_and_lists_do_not_change_the_classes(spark, monkeypatch, max_frequent, block):
+    rng = random.Random(17)
+    passages = [[f"p{k}x{i}" for i in range(25)] for k in range(3)]
+    texts = []
+    for _ in range(90):
+        words = [w for k in rng.sample(range(3), rng.randint(0, 2)) for w in passages[k]] + [f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 12))]
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = "z%d" % rng.randint(0, 30)
+        texts.append(" ".join(words))
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    links = ngram_join.block_links
+    monkeypatch.setattr(ngram_join, "block_links", lambda *args: links(*args, *block))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)
+    out = ngram_join.classes(df, frequent_from=3, max_frequent=max_frequent).collect()
+    assert sorted((tuple(r) for r in out), key=str) == brute_classes(rows)
+
+
+def test_a_set_is_one_row_whatever_tasks_meet_it(spark):
+    texts = ["a b c d e f g", "a b c d e f h"] * 20
+    rows = ngram_join._text_rows(frame(spark, texts).repartition(7), "doc_id", "text")
+    fps = ngram_join.document_sets(frame(spark, texts)).select("fp").distinct()
+    for most in (0, 100):  # by a join, by a broadcast list
+        assert ngram_join.wanted_sets(rows, fps, 5, most).count() == 2
+
+
+def test_sets_of_long_texts_in_parts():
+    rng = random.Random(2)
+    for text in (" ".join(rng.choice(["Alpha", "beta", "x", "y", "Gamma,", "日本"]) + rng.choice(["", "\n", "\t "]) for _ in range(3000)), "one two three", "abc " * 50 + "xyz"):
+        whole, _ = ngram_join.shingle_sets(pa.array([text]))
+        for part in (20, 300):
+            keys, bounds = ngram_join.shingle_sets(pa.array([text]), part=part)
+            assert keys.tolist() == whole.tolist() and bounds.tolist() == [0, len(whole)]
+
+
+def test_spread_join_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 1000)
+    left = spark.createDataFrame([("hot", i) for i in range(40)] + [("warm", 1), ("none", 2), (None, 3)], "k string, v int")
+    right = spark.createDataFrame([("hot", 40, "h"), ("warm", 1, "w"), ("other", 0, "o")], "k string, n_left long, x string")
+    inner = sorted((r["k"], r["v"], r["x"]) for r in common.spread_join(left, right, "k", 43).collect())
+    assert inner == sorted([("hot", i, "h") for i in range(40)] + [("warm", 1, "w")])
+    outer = common.spread_join(left, right, "k", 43, "left").collect()
+    assert len(outer) == 43 and {r["v"]: r["x"] for r in outer if r["k"] not in ("hot", "warm")} == {2: None, 3: None}
+
+
+def test_decontamination_of_empty_tables(spark):
+    docs, none = frame(spark, ["a b", None, ""]), spark.createDataFrame([], "item_id long, text string")
+    out = decontaminate.judged(decontaminate.contamination(docs, none)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in out) == [(0, 2, 0, 0, False), (1, 0, 0, 0, False), (2, 0, 0, 0, False)]
+    assert decontaminate.contamination(frame(spark, []), spark.createDataFrame([(1, "a b")], "item_id long, text string")).collect() == []
+    assert [r["text"] for r in decontaminate.remove_spans(docs, none).orderBy("doc_id").collect()] == ["a b", None, ""]
+
+
+def test_scanning_in_parts(monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice(["ab", "b", "cd", "é"]) for _ in range(n))
+    items = [(str(i), decontaminate.words(text(rng.randint(1, 9)))) for i in range(12)]
+    automaton = decontaminate.SuffixAutomaton(items, 4)
+    for _ in range(20):
+        long = text(200)
+        whole = automaton.scan_parts([decontaminate.words(long)])
+        for part in (1, 7, 50):
+            monkeypatch.setattr(decontaminate, "PART", part)
+            assert automaton.scan_parts(decontaminate.word_parts(long)) == whole
+
+
 def test_multi_match_prefixes_lose_no_pair():
     rng = np.random.default_rng(1)
     for _ in range(300):
@@ -181,3 +274,55 @@ def test_mined_rules_are_telling_and_not_redundant(spark):
     assert [r["tokens"] for r in rules if len(r["tokens"]) == 1] == [["h:spam"]]
     assert all("h:ok" not in r["tokens"] for r in rules)
     assert url_filter.mine_rules(spark.createDataFrame([], "tokens array<string>, blocked boolean")).collect() == []
+
+
+def brute_rules(rows, base, least, confidence, lift):
+    """All token sets that pass the limits for the label block, by enumeration."""
+    n, out = len(rows), {}
+    items = sorted({t for tokens, _ in rows for t in tokens})
+    sets = [frozenset(c) for k in (1, 2, 3) for c in itertools.combinations(items, k)]
+    for s in sets:
+        fit = [b for tokens, b in rows if s <= set(tokens)]
+        if sum(fit) >= least:
+            out[s] = (sum(fit) / len(fit), len(fit))
+    rules = {s: c for s, c in out.items() if c[0] >= confidence}
+    bar = (2 * math.log(max(len(rules), 2))) ** 0.5
+    good = {s for s, (c, k) in rules.items() if c >= lift * base and (c - base) * (k / (base * (1 - base))) ** 0.5 >= bar}
+    return {s for s in good if not any(s - {t} in rules and rules[s - {t}][0] >= rules[s][0] for t in s if len(s) > 1)}
+
+
+def test_rules_against_enumeration(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        tokens = sorted({f"h:{rng.choice('abc')}", f"p:{rng.choice('xyz')}", *rng.sample(["q:u", "q:v"], rng.randint(0, 2))})
+        rows.append((tokens, rng.random() < (0.9 if "h:a" in tokens and "p:x" in tokens else 0.5 if "q:u" in tokens else 0.1)))
+    got = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_support=0.01, min_rows=4, min_confidence=0.3).collect()
+    want = brute_rules(rows, sum(b for _, b in rows) / len(rows), 4, 0.3, url_filter.MIN_LIFT)
+    assert {frozenset(r["tokens"]) for r in got} == want and len(want) > 2
+    rules = [(frozenset(r["tokens"]), r["confidence"]) for r in got]
+    pages = spark.createDataFrame([(t,) for t, _ in rows], "tokens array<string>")
+    found = {tuple(r["tokens"]): r["confidence"] for r in url_filter.match_rules(pages, spark.createDataFrame(got)).collect()}
+    for t, _ in rows:
+        assert found.get(tuple(t)) == max((c for s, c in rules if s <= set(t)), default=None)
+
+
+def test_rules_of_both_labels_decide(spark):
+    rows = [(f"http://a{i % 9}.com/{'bad' if i % 3 == 0 else 'good'}/{i}", i) for i in range(300)]
+    pages = spark.createDataFrame([(i, u) for u, i in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1, 0) for _, i in rows], "doc_id long, quality int, toxic int")
+    labelled = url_filter.page_labels(pages, labels, [])
+    rules = url_filter.mine_rules(labelled, verdicts=("block", "allow"))
+    new = spark.createDataFrame([(1, "http://new.org/bad/900"), (2, "http://new.org/good/901"), (3, "http://new.org/x"), (4, None)], "page_id long, url string")
+    out = {r["page_id"]: (r["verdict"], r["mined_rule"]) for r in url_filter.filter_urls(new, rules, []).collect()}
+    assert out == {1: ("block", "p:bad"), 2: ("allow", "p:good"), 3: ("allow", None), 4: ("allow", None)}
+    figures = url_filter.held_out_figures(labelled, F.crc32(F.col("page_id").cast("string")) % 4 == 2).first()
+    assert figures["denied"] == figures["hits"] == figures["blocked"] > 0
+    assert url_filter.filter_urls(pages.limit(0), rules).collect() == []
+
+
+def test_policy_labels_pages_before_documents_do(spark):
+    pages = spark.createDataFrame([(1, "http://x.com/de/5"), (2, "http://x.net/de/5"), (3, "http://x.net/de/6"), (4, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(5, 1, 0), (5, 1, None), (6, 1, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["blocked"] for r in url_filter.page_labels(pages, labels, url_filter.POLICY).collect()}
+    assert got == {1: True, 2: False, 3: True}

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -261,9 +262,24 @@ def test_type_counts_collapses_only_copies(spark):
 
 
 def test_names_do_not_run_out(spark):
-    # More one-word names than there are runs of up to three of the ten family names.
-    n = 1200
+    n = 5000
     found = spark.range(n).selectExpr("'name' AS kind", "concat('cyrillic|m|имя', id) AS canon")
+    began = time.time()
     state, moved = pii.assign(found, "k")
     fakes = state.select(pii.surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), "k").alias("fake"))
-    assert moved > 0 and fakes.distinct().count() == n
+    assert moved > 0 and fakes.distinct().count() == n and time.time() - began < 120
+
+
+def test_small_formats_grow(spark):
+    """More addresses of one letter at one host than there are letters and digits."""
+    found = spark.createDataFrame([("email", f"{c}@{d}.co") for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"] + [("password", f"{k:06d}") for k in range(300)], "kind string, canon string")
+    state, _ = pii.assign(found, "k")
+    fakes = state.select("kind", pii.surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), "k").alias("fake"))
+    assert fakes.distinct().count() == found.count()
+
+
+def test_surrogates_keep_the_callers_columns(spark):
+    docs = spark.createDataFrame([(1, "Mail bob@mail.example.com", "m", "a")] * 2 + [(2, "none", "m", "a")], "doc_id long, text string, __mentions string, __attempts string")
+    for entries in (50_000, 0):
+        out = pii.pseudonymise(docs, "k", map_entries=entries).collect()
+        assert [r["__mentions"] + r["__attempts"] for r in out] == ["ma"] * 3 and len({r["text"] for r in out}) == 2
