@@ -4,7 +4,7 @@ Each input partition deals its rows into runs; a run is one partition's list of
 ascending order, with one partial result a digest. The runs meet in rounds of a butterfly (a
 binomial tree in which every node, not one root alone, ends with a share): a node has one
 digit of base ``fan_in`` for each round, and round r sends every entry of a run to the node
-whose digit r is the entry's digit of the digest. So a node receives parts of ``fan_in`` runs,
+whose digit r is the entry's, a hash of its digest and r. So a node receives parts of ``fan_in`` runs,
 merges them in order of the digest, and keeps the verified smallest identifier of every
 digest; after the last round a digest's node depends on the digest alone. In the plan a
 round is one exchange by run, one sort by run and digest and a sort aggregate; nothing is
@@ -54,7 +54,7 @@ def merge_runs(leaves: DataFrame, fan_in: int, rounds: int) -> DataFrame:
     level = leaves
     for r in range(rounds):
         place = fan_in**r
-        digit = F.pmod(F.floor(F.shiftrightunsigned(F.col("chk.h"), 1) / place), F.lit(fan_in))
+        digit = F.pmod(F.xxhash64("sha", F.lit(r)), F.lit(fan_in))
         own = F.pmod(F.floor(F.col("run") / place), F.lit(fan_in))
         node = (F.col("run") + (digit - own) * place).cast("long")
         level = merged(level.select(node.alias("run"), "sha", "chk", "best", "size"))

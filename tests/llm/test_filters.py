@@ -35,6 +35,32 @@ def test_exact_dedup_against_brute_force(spark):
     assert sorted(map(tuple, out), key=order) == sorted(want, key=order)
 
 
+def test_runs_are_merged_evenly_and_each_digest_on_one_node(spark):
+    rows = exact_dedup.digests(frame(spark, [f"t{i % 700}" for i in range(2100)])).withColumn("run", F.pmod(F.xxhash64("id"), F.lit(64)))
+    leaves = exact_dedup.merged(rows.select("run", "sha", "chk", F.struct("n", "id").alias("best"), F.lit(1).cast("long").alias("size")))
+    level = leaves
+    for r in range(1, 4):
+        level = exact_dedup.merge_runs(leaves, 4, r)
+        assert level.agg(F.sum("size")).first()[0] == 2100
+    assert level.count() == 700
+    plan = exact_dedup.merge_runs(leaves, 4, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(run") == 4 and plan.count("SortAggregate") >= 4 and "hashpartitioning(sha" not in plan
+    nodes = {}
+
+    def seen(entries):
+        out = keep(entries)
+        nodes.setdefault(len(nodes), [r["count"] for r in out.groupBy("run").count().collect()])
+        return out
+
+    keep, exact_dedup.merged = exact_dedup.merged, seen
+    try:
+        exact_dedup.merge_runs(leaves, 4, 3)
+    finally:
+        exact_dedup.merged = keep
+    for counts in nodes.values():
+        assert len(counts) == 64 and max(counts) <= 4 * min(counts) + 20
+
+
 @pytest.mark.parametrize("op", [exact_dedup.exact_dedup, ngram_join.classes])
 def test_empty_table(spark, op):
     assert op(frame(spark, [])).collect() == []
