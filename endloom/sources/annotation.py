@@ -95,15 +95,14 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(head.alias("chrom"), F.upper(body).alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq, quals of four-line records, one task a file. Records are cut at a line break before an @ that
-    a + line follows two lines later, so a quality line that begins with @ is no header.
-    Truncated records fail the row's check and are left out by ``complete``."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)(^@[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*)"), F.lit(1))).alias("r"))
-    lines = F.split("r", "\n")
-    out = rows.select(F.regexp_extract(lines[0], r"^@([^\s]+)", 1).alias("name"), lines[1].alias("seq"), F.rtrim(lines[3]).alias("quals"))
-    return out.withColumn("complete", F.length("seq") == F.length("quals"))
+def read_fastq(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
+    """name, seq, quals of four-line records, and complete: whether seq and quals are of one
+    length. Files are read in ranges of bytes, so one file takes many tasks; gzip files take
+    one each."""
+    from . import alignments
+
+    alignments.register(spark)
+    return spark.read.format("fastq").option("split", split or alignments.SPLIT).load(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

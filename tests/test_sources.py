@@ -1,5 +1,7 @@
 """Readers and writers on small files."""
 
+import gzip
+import random
 import struct
 import zlib
 
@@ -96,3 +98,66 @@ def test_udfs_in_sql(spark):
     udfs.register(spark)
     row = spark.sql("SELECT hp_edit_distance('GAAAT', 'GAAT') AS d, affine_cigar('ACGT', 'ACT').cigar AS c").first()
     assert row["d"] == 0.5 and row["c"].count("M") >= 1
+
+
+def _records(n, seed=1):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        length = rng.choice([1, 30, 200, 3000])
+        seq = "".join(rng.choice("ACGTN") for _ in range(length))
+        quals = rng.choice(["*", "".join(chr(33 + rng.randint(0, 60)) for _ in range(length))])
+        out.append((f"read{i}", rng.choice([0, 16, 256]), rng.choice(["c1", "c2"]), rng.randint(0, 5000), rng.randint(0, 60), f"{length}M" if length < 3000 else "1000M50N1990M10S", seq, quals, {"NM": str(i), "XA": f"t{i}", "XF": "0.5"}))
+    return out
+
+
+def test_bam_is_written_and_read_back_in_ranges(spark, tmp_path):
+    rows = _records(300) + [("un", 4, "*", -1, 0, "*", "ACG", "*", {})]
+    df = spark.createDataFrame(rows, alignments.SCHEMA)
+    alignments.write_bam(df, str(tmp_path / "out"), [("c1", 10_000), ("c2", 10_000)])
+    key = lambda r: r["name"]
+    plain = lambda frame: sorted((tuple(r[:8]) + (sorted(r["tags"].items()),) for r in frame.collect()), key=lambda r: r[0])
+    want = sorted((tuple(r[:8]) + (sorted(r[8].items()),) for r in rows), key=lambda r: r[0])
+    sorted_rows = alignments.read_bam(spark, str(tmp_path / "out")).collect()
+    places = [(r["chrom"] == "*", r["chrom"], r["start"]) for r in sorted_rows]
+    assert places == sorted(places) and len(sorted_rows) == len(rows)
+    alignments.write_bam(df.repartition(3), str(tmp_path / "three"), [("c1", 10_000), ("c2", 10_000)], by_place=False)
+    assert len(alignments.files_of(str(tmp_path / "three"), ".bam")) == 3 and plain(alignments.read_bam(spark, str(tmp_path / "three"))) == want
+    # One file of many blocks, cut anywhere.
+    one = str(tmp_path / "one")
+    alignments.write_bam(df.coalesce(1), one, [("c1", 10_000), ("c2", 10_000)], by_place=False)
+    (path, size), = alignments.files_of(one, ".bam")
+    refs, header = alignments.bam_references(path)
+    assert refs == [("c1", 10_000), ("c2", 10_000)]
+    for split in (size // 2 + 1, size // 5, 9_000):
+        got = [r for at in range(0, size, split) for r in alignments.read_range(path, at, min(at + split, size), [n for n, _ in refs], header)]
+        assert sorted(r[0] for r in got) == sorted(r[0] for r in rows)
+    split = alignments.read_bam(spark, one, split=20_000)
+    assert split.rdd.getNumPartitions() > 4 and plain(split) == want
+    parts = [alignments.read_bam(spark, one, region=("c1", a, a + 1000)).count() for a in range(0, 6000, 1000)]
+    assert sum(parts) == sum(r[2] == "c1" for r in rows) and key(split.first())
+    alignments.write_bam(df.limit(3), one, [("c1", 10_000), ("c2", 10_000)])  # overwrites
+    assert alignments.read_bam(spark, one).count() == 3
+
+
+def test_fastq_in_ranges(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"r{i}", "".join(rng.choice("ACGT") for _ in range(n)), "".join(rng.choice("@+IF5") for _ in range(n))) for i in range(400) for n in [rng.randint(1, 60)]]
+    text = "".join(f"@{n} x\n{s}\n+\n{q}\n" for n, s, q in rows)
+    (tmp_path / "a.fq").write_text(text)
+    with gzip.open(tmp_path / "b.fq.gz", "wt") as f:
+        f.write(text)
+    for split in (300, 5000, 1 << 20):
+        out = annotation.read_fastq(spark, str(tmp_path / "a.fq"), split).collect()
+        assert sorted(map(tuple, out)) == sorted((*r, True) for r in rows)
+    assert annotation.read_fastq(spark, str(tmp_path / "b.fq.gz"), 300).count() == len(rows)
+
+
+def test_corrected_records(spark, tmp_path):
+    from endloom.operators import correction
+
+    rows = [("a", 0, "c1", 10, 60, "10M5S", "A" * 15, "*", {"NM": "1"}), ("b", 16, "c1", 10, 60, "4S10M", "C" * 14, "*", {}), ("c", 0, "c1", 10, 60, "5M", "AAAAA", "*", {})]
+    ends = spark.createDataFrame([("a", 15), ("a", 16), ("b", 12), ("c", 14)], "read_id string, corrected long")
+    out = {r["name"]: r for r in correction.corrected_records(spark.createDataFrame(rows, alignments.SCHEMA), ends).collect()}
+    assert (out["a"]["start"], out["a"]["cigar"], out["a"]["tags"]) == (10, "6M9S", {"NM": "1", "cp": "15", "op": "19"})
+    assert (out["b"]["start"], out["b"]["cigar"]) == (12, "6S8M") and out["c"]["cigar"] == "5M" and out["c"]["tags"] == {}
