@@ -230,3 +230,49 @@ def vep_position(field: Column) -> Column:
     """The first _-token of the first comma item, if it is all digits, as a long."""
     token = F.split_part(F.split_part(field, F.lit(","), F.lit(1)), F.lit("_"), F.lit(1))
     return F.when(token.rlike("^[0-9]+$"), token.cast("long"))
+
+
+def tail_adapter(seq: Column, last: int = 150, peel: int = 15, least_peeled: int = 5) -> Column:
+    """struct<tail, adapter, pass> of the strict tail scan (no base but A in the tail), as
+    ``kernels.tail_adapter`` gives it, without Python."""
+
+    def of(window: Column) -> Column:
+        stub = F.length(F.regexp_extract(window, "T[CT]{0,10}$", 0))
+        body = F.substring(window, F.lit(1), F.length(window) - stub)
+        run = lambda s: F.length(s) - F.length(F.rtrim(s, F.lit("A")))
+        ks = F.filter(
+            F.sequence(F.lit(1), F.lit(peel)),
+            lambda k: (k < F.length(body)) & F.contains(F.substring(body, F.length(body) - k + 1, k), F.lit("T")) & (run(F.substring(body, F.lit(1), F.length(body) - k)) >= least_peeled),
+        )
+        k = F.get(ks, F.lit(0))
+        row = lambda t, a, p: F.struct(t.cast("int").alias("tail"), a.cast("int").alias("adapter"), p.cast("int").alias("pass"))
+        step = (stub > 0).cast("int")
+        return F.when(run(body) >= 1, row(run(body), stub, step)).when(k.isNotNull(), row(run(F.substring(body, F.lit(1), F.length(body) - k)), F.least(k + stub, F.lit(last)), F.lit(2))).otherwise(row(F.lit(0), stub, step))
+
+    return F.transform(F.array(F.substring(seq, F.greatest(F.length(seq) - last + 1, F.lit(1)), F.lit(last))), of)[0]
+
+
+def cigar_events(start: Column, ops: Column, kinds: str) -> Column:
+    """array<struct<op, len, read_pos, ref_pos>> of the operations of some kinds: D, I, S, N."""
+    each = F.transform(
+        ops,
+        lambda o, i: F.struct(o["op"].alias("op"), o["len"].alias("len"), cigar_sum(F.slice(ops, F.lit(1), i), "MIS=X").alias("read_pos"), (start + cigar_sum(F.slice(ops, F.lit(1), i), "MDN=X")).alias("ref_pos")),
+    )
+    return F.filter(each, lambda e: e["op"].isin(*kinds))
+
+
+def soft_clips(ops: Column, seq: Column) -> Column:
+    """array<struct<side, len, seq>> of the clipped ends."""
+    n = F.length(seq)
+    first, last = F.get(ops, F.lit(0)), F.element_at(ops, -1)
+    left = F.when(first["op"] == "S", F.struct(F.lit("left").alias("side"), first["len"].alias("len"), window(seq, F.lit(0), first["len"].cast("int")).alias("seq")))
+    right = F.when((F.size(ops) > 1) & (last["op"] == "S"), F.struct(F.lit("right").alias("side"), last["len"].alias("len"), window(seq, (n - last["len"]).cast("int"), n).alias("seq")))
+    return F.array_compact(F.array(left, right))
+
+
+# Names of control samples.
+CONTROL_PATTERNS = ["^wt$", "^wt_", "_wt$", "_wt_", "^wildtype", "wild_type", "wild-type", "^control", "^ctrl$", "^ctrl_", "_ctrl$", "^untreated", "^mock$", "^dmso$", "^reference", "^ref$"]
+
+
+def is_control(name: Column, patterns: list[str] = CONTROL_PATTERNS) -> Column:
+    return F.lower(name).rlike("|".join(f"(?:{p})" for p in patterns))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import kernels as K
 
@@ -37,12 +37,28 @@ def tail_adapter(seq: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([K.tail_adapter(s or "") for s in seq], columns=["tail", "adapter", "pass"])
 
 
+@F.pandas_udf(LongType())
+def walk_back(cigar: pd.Series, read: pd.Series, genome: pd.Series, start: pd.Series, strand: pd.Series) -> pd.Series:
+    """genome: the reference from start on, at least to the end of the alignment."""
+    out = []
+    for c, r, g, at, d in zip(cigar, read, genome, start, strand):
+        ok = not any(x is None or x is pd.NA for x in (c, r, g, d)) and at == at
+        out.append(K.walk_back([(o, int(n)) for n, o in K.CIGAR.findall(c)], r, g, int(at), d) if ok else None)
+    return pd.Series(out, dtype="Int64")
+
+
 @F.pandas_udf(IntegerType())
-def walk_back(read: pd.Series, genome: pd.Series, position: pd.Series) -> pd.Series:
-    return pd.Series([K.walk_back(r, g, int(p)) for r, g, p in zip(read, genome, position)], dtype="int32")
+def polya_boundary(seq: pd.Series, strand: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None or d is None else K.polya_boundary(s, d) for s, d in zip(seq, strand)], dtype="Int32")
+
+
+@F.pandas_udf(StructType([StructField("start", LongType()), StructField("cigar", StringType())]))
+def reclip(cigar: pd.Series, start: pd.Series, strand: pd.Series, end: pd.Series) -> pd.DataFrame:
+    rows = [(None, None) if c is None or d is None or at != at or e != e else K.reclip([(o, int(n)) for n, o in K.CIGAR.findall(c)], int(at), d, int(e)) for c, at, d, e in zip(cigar, start, strand, end)]
+    return pd.DataFrame(rows, columns=["start", "cigar"]).astype({"start": "Int64"})
 
 
 def register(spark: SparkSession) -> None:
     """Make the UDFs callable from SQL by their names."""
-    for f in (hp_edit_distance, affine_cigar, nnls_deconvolve, motif_scan, tail_adapter, walk_back):
+    for f in (hp_edit_distance, affine_cigar, nnls_deconvolve, motif_scan, tail_adapter, walk_back, polya_boundary, reclip):
         spark.udf.register(f.func.__name__, f)

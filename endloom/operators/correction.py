@@ -57,6 +57,39 @@ def deletion_artifact(length: Column, deleted: Column, seq: Column, at: Column,
     return (length <= most) & (F.length(deleted) > 0) & (count(deleted) < F.length(deleted)) & (F.length(seq) >= 2 * flank) & rich(left) & rich(right)
 
 
+def indel_correction(reads: DataFrame, genome: DataFrame, reach: int = 20, most: int = 3) -> DataFrame:
+    """reads (read_id, chrom, strand, start, cigar, seq) with three_prime, corrected,
+    correction_bp, n_deletions and n_insertions: each deletion near the 3' end (within reach
+    of the read's end) that is an error inside a tail moves the end upstream by its length;
+    short insertions there are counted only. The genome is joined by chromosome for reads
+    that have a deletion near their end."""
+    r = reads.withColumn("__ops", S.cigar_ops(F.col("cigar"))).withColumn("__end", S.reference_end(F.col("start"), F.col("__ops")))
+    plus = F.col("strand") == "+"
+    n = F.length("seq")
+    near = lambda e: F.when(plus, e["read_pos"] >= F.greatest(n - reach, F.lit(0))).otherwise(e["read_pos"] <= F.least(n, F.lit(reach)))
+    r = r.withColumn("__del", F.filter(S.cigar_events(F.col("start"), F.col("__ops"), "D"), lambda e: near(e) & (e["len"] <= most)))
+    r = r.withColumn("__ins", F.size(F.filter(S.cigar_events(F.col("start"), F.col("__ops"), "I"), lambda e: near(e) & (e["len"] <= most))))
+    held = r.where(F.size("__del") > 0).join(genome.select("chrom", F.col("seq").alias("__g")), "chrom", "left")
+    bad = F.filter("__del", lambda e: deletion_artifact(e["len"], F.coalesce(S.window(F.col("__g"), e["ref_pos"].cast("int"), (e["ref_pos"] + e["len"]).cast("int")), F.lit("")), F.col("seq"), e["read_pos"].cast("int"), F.col("strand"), most))
+    moved = held.withColumn("__bad", bad).drop("__g").unionByName(r.where(F.size("__del") == 0).withColumn("__bad", F.col("__del")))
+    size = F.aggregate("__bad", F.lit(0).cast("long"), lambda acc, e: acc + e["len"])
+    three = S.three_prime(F.col("start"), F.col("__end"), F.col("strand"))
+    step = F.when(plus, -size).otherwise(size)
+    return moved.withColumns({"three_prime": three, "corrected": three + step, "correction_bp": step, "n_deletions": F.size("__bad"), "n_insertions": F.col("__ins")}).drop("__ops", "__end", "__del", "__ins", "__bad")
+
+
+def walk_back_ends(reads: DataFrame, genome: DataFrame) -> DataFrame:
+    """reads (read_id, chrom, strand, start, cigar, seq) with the 3' end that the walk back
+    along the aligned bases gives (corrected). Reads of a chromosome that the genome lacks
+    keep theirs."""
+    from ..functions.udfs import walk_back
+
+    r = reads.withColumn("__end", S.reference_end(F.col("start"), S.cigar_ops(F.col("cigar"))))
+    r = r.join(genome.select("chrom", F.col("seq").alias("__g")), "chrom", "left").withColumn("__g", S.window(F.col("__g"), F.col("start").cast("int"), F.col("__end").cast("int")))
+    three = S.three_prime(F.col("start"), F.col("__end"), F.col("strand"))
+    return r.withColumn("corrected", F.coalesce(walk_back("cigar", "seq", "__g", "start", "strand"), three)).drop("__g", "__end")
+
+
 def oligo_a(ops: Column, seq: Column, strand: Column) -> Column:
     """As of an oligo(A) end that were aligned as explicit mismatches (X) at the 3' end."""
     trimmed = F.when(strand == "+", F.reverse(ops)).otherwise(ops)
@@ -154,3 +187,19 @@ def tract_regions(positions: DataFrame, keys: list[str], pos: str, gap: int = 20
 
     marked = islands(positions.where(F.col("a_count") >= least_as), keys, pos, gap, "__i")
     return marked.groupBy(*keys, "__i").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.sum("count").alias("total")).where(F.col("total") >= least_total).drop("__i")
+
+
+def corrected_records(records: DataFrame, ends: DataFrame) -> DataFrame:
+    """Alignment records (``sources.alignments.SCHEMA``) whose 3' ends are those of ends
+    (read_id, corrected): clipped or extended to them, with the tag cp and the old end in
+    op. Of several ends of a read the least counts; records without one stay as they are."""
+    from ..functions.udfs import reclip
+
+    one = ends.groupBy(F.col("read_id").alias("name")).agg(F.min("corrected").alias("__c"))
+    strand = F.when(F.col("flag").bitwiseAND(16) == 0, "+").otherwise("-")
+    r = records.join(one, "name", "left").withColumn("__s", strand)
+    r = r.withColumn("__old", S.three_prime(F.col("start"), S.reference_end(F.col("start"), S.cigar_ops(F.col("cigar"))), F.col("__s")))
+    moved = (F.col("__c").isNotNull()) & (F.col("__c") != F.col("__old"))
+    r = r.withColumn("__n", F.when(moved, reclip("cigar", "start", "__s", "__c")))
+    tags = F.map_concat(F.map_filter(F.coalesce("tags", F.expr("CAST(map() AS map<string,string>)")), lambda k, _: ~k.isin("cp", "op")), F.create_map(F.lit("cp"), F.col("__c").cast("string"), F.lit("op"), F.col("__old").cast("string")))
+    return r.withColumns({"start": F.coalesce("__n.start", "start"), "cigar": F.coalesce("__n.cigar", "cigar"), "tags": F.when(moved, tags).otherwise(F.col("tags"))}).drop("__c", "__s", "__old", "__n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,3 +105,11 @@ def tail_training(seqs: DataFrame, richness: str = "richness") -> DataFrame:
     """Moments of richness and length, and the threshold: the 10th percentile less 0.05,
     kept between 0.6 and 0.95."""
     return seqs.agg(F.count(F.lit(1)).alias("n"), F.avg(richness).alias("mean_richness"), F.stddev_samp(richness).alias("sd_richness"), F.avg("length").alias("mean_length"), F.greatest(F.lit(0.6), F.least(F.lit(0.95), F.expr(f"percentile({richness}, 0.1)") - 0.05)).alias("threshold"))
+
+
+def homopolymer_penalties(runs: DataFrame) -> DataFrame:
+    """runs: base, length, deleted (whether a read shortened the run). base, length, n, rate
+    (with half a case of either kind) and penalty: the cost of a deletion there against one
+    that happens once in a hundred."""
+    g = runs.groupBy("base", "length").agg(F.count(F.lit(1)).alias("n"), ((F.count_if("deleted") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias("rate"))
+    return g.withColumn("penalty", -F.log("rate") / F.lit(-math.log(0.01)))

@@ -67,3 +67,11 @@ def trimmed_mean(df: DataFrame, keys: list[str], value: str, share: float) -> Da
 
 def replicate_sem(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(F.lit(1)))).alias("sem"))
+
+
+def proportional_split(sites: DataFrame, unsure: DataFrame, keys: list[str], value: str, ambiguous: str) -> DataFrame:
+    """sites with assigned: their value and, by its share among the sites of their keys, what
+    is ambiguous there (unsure: keys, ambiguous)."""
+    w = Window.partitionBy(*keys)
+    joined = sites.withColumn("__total", F.sum(value).over(w)).join(unsure.select(*keys, ambiguous), keys, "left")
+    return joined.withColumn("assigned", F.col(value) + F.coalesce(ambiguous, F.lit(0)) * F.col(value) / F.col("__total")).drop("__total", ambiguous)

@@ -288,17 +288,16 @@ def validation_metrics(s, d) -> DataFrame:
 
 
 def variant_frequency(s, d) -> DataFrame:
-    r = reads(s, d).where("position % 3 = 0")
+    r = reads(s, d)
     mism = r.where("line <= 5").select("chrom", "position", F.substring("aligner", 8, 1).alias("base"))
     return G.variant_frequency(mism, r.groupBy("chrom", "position").agg(F.count(F.lit(1)).alias("depth")), ["chrom", "position"], 3, 0.5).withColumn("fraction", F.round("fraction", 6))
 
 
 _VARIANT = _WITH + """,
-r AS (SELECT * FROM reads WHERE position % 3 = 0),
-m AS (SELECT chrom, position, substring(aligner, 8, 1) AS base, count(*) AS n FROM r WHERE line <= 5 GROUP BY ALL),
+m AS (SELECT chrom, position, substring(aligner, 8, 1) AS base, count(*) AS n FROM reads WHERE line <= 5 GROUP BY ALL),
 t AS (SELECT *, row_number() OVER (PARTITION BY chrom, position ORDER BY n DESC, base DESC) AS k FROM m)
 SELECT t.chrom, t.position, base, n AS n_mismatch, depth, round(n / depth, 6) AS fraction
-FROM t JOIN (SELECT chrom, position, count(*) AS depth FROM r GROUP BY ALL) c USING (chrom, position) WHERE k = 1 AND depth >= 3 AND n / depth >= 0.5
+FROM t JOIN (SELECT chrom, position, count(*) AS depth FROM reads GROUP BY ALL) c USING (chrom, position) WHERE k = 1 AND depth >= 3 AND n / depth >= 0.5
 """
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..functions import udfs as U
 from ..operators import clustering as C
+from ..operators import evidence as E
 from ..operators import genes as G
 from ..operators import signal as X
 from .analogs import DNA_SQL, GENES_SQL, READS_SQL, dna, genes, reads, table
@@ -96,7 +97,20 @@ def motif_scan(s, d) -> DataFrame:
 
 
 def tail_scan(s, d) -> DataFrame:
-    return dna(s, d).select("doc_id", U.tail_adapter("seq").alias("t")).select("doc_id", "t.tail", "t.adapter", "t.pass")
+    return dna(s, d).select("doc_id", S.tail_adapter(F.col("seq")).alias("t")).select("doc_id", "t.tail", "t.adapter", "t.pass")
+
+
+_TAIL = _DNA + """,
+w AS (SELECT doc_id, right(seq, 150) AS w, length(regexp_extract(right(seq, 150), 'T[CT]{0,10}$')) AS stub FROM dna),
+b AS (SELECT doc_id, stub, left(w, length(w) - stub) AS body FROM w),
+t AS (
+  SELECT doc_id, stub, body, length(body) - length(rtrim(body, 'A')) AS own,
+         list_filter(range(1, 16), lambda k: k < length(body) AND contains(right(body, k), 'T') AND length(left(body, length(body) - k)) - length(rtrim(left(body, length(body) - k), 'A')) >= 5)[1] AS k FROM b
+)
+SELECT doc_id, CAST(CASE WHEN own > 0 THEN own WHEN k IS NOT NULL THEN length(left(body, length(body) - k)) - length(rtrim(left(body, length(body) - k), 'A')) ELSE 0 END AS INT) AS tail,
+       CAST(CASE WHEN own = 0 AND k IS NOT NULL THEN least(k + stub, 150) ELSE stub END AS INT) AS adapter,
+       CAST(CASE WHEN own = 0 AND k IS NOT NULL THEN 2 WHEN stub > 0 THEN 1 ELSE 0 END AS INT) AS pass FROM t
+"""
 
 
 def splice_motifs(s, d) -> DataFrame:
@@ -129,10 +143,11 @@ def affine(s, d) -> DataFrame:
 
 
 def walk_back(s, d) -> DataFrame:
-    """Whole sequences with a tail of 20 As, from the tail's last position; a sequence without
-    a base other than A (an empty one too) keeps that position."""
+    """Whole sequences with a tail of 20 As, aligned to a genome that goes on with As; a
+    sequence without a base other than A (an empty one too) keeps the mapped end."""
     read = F.concat("seq", F.rpad(F.lit(""), 20, "A"))
-    return dna(s, d).select("doc_id", U.walk_back(read, F.col("seq"), F.length("seq") + 19).alias("position"))
+    cigar = F.concat(F.length(read).cast("string"), F.lit("M"))
+    return dna(s, d).select("doc_id", U.walk_back(cigar, read, read, F.lit(0).cast("long"), F.lit("+")).alias("position"))
 
 
 def confidence_flags(s, d) -> DataFrame:
@@ -226,13 +241,13 @@ def nnls(s, d) -> DataFrame:
     return X.refine(w, KEYS, "site", 10, [0.54, 0.26, 0.12, 0.08]).withColumn("fraction", F.round("fraction", 6))
 
 
+_CORES = (["ACGTAC", "TTGCAG", "GTACGT", "AAAGTT"], ["CATACG", "GGTACC", "TACGTA", "CCGGAA"])
+
+
 def spikein_vote(s, d) -> DataFrame:
     """Documents by votes of two sets of 6-mers: at least two hits of one and fewer of the other."""
-    a, b = ["ACGTAC", "TTGCAG", "GTACGT", "AAAGTT"], ["CATACG", "GGTACC", "TACGTA", "CCGGAA"]
-    hits = lambda cores: sum((F.col("seq").contains(c)).cast("int") for c in cores)
-    v = dna(s, d).select("doc_id", hits(a).cast("long").alias("x"), hits(b).cast("long").alias("y"))
-    kind = F.when((F.col("x") >= 2) & (F.col("y") < 2), "spikein").when((F.col("x") < 2) & (F.col("y") >= 2), "genomic").when((F.col("x") < 2) & (F.col("y") < 2), "none").when(F.col("x") > F.col("y"), "spikein").when(F.col("y") > F.col("x"), "genomic").otherwise("ambiguous")
-    return v.withColumn("kind", kind)
+    v = dna(s, d).select("doc_id", E.spikein_votes(F.col("seq"), *_CORES).alias("v"))
+    return v.select("doc_id", F.col("v.spikein").alias("x"), F.col("v.genomic").alias("y"), "v.kind")
 
 
 def _votes(cores: list[str]) -> str:
@@ -244,8 +259,48 @@ _SPIKE = _DNA + f", v AS (SELECT doc_id, {_votes(['ACGTAC', 'TTGCAG', 'GTACGT',
 
 def spikein_infer(s, d) -> DataFrame:
     """The most frequent 12 bases after an anchor, with their support (ties: the first)."""
-    hit = dna(s, d).select(F.explode(F.regexp_extract_all("seq", F.lit("GTACG([ACGT]{12})"), F.lit(1))).alias("tail"))
-    return hit.groupBy("tail").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "tail").limit(1)
+    return E.spikein_signature(dna(s, d), "seq", "GTACG")
+
+
+def adapter_regex(s, d) -> DataFrame:
+    return dna(s, d).select("doc_id", S.has_adapter(F.col("seq")).alias("adapter"), F.length(F.regexp_extract("seq", "T[CT]{0,10}$", 0)).cast("long").alias("stub"))
+
+
+def hp_calibration(s, d) -> DataFrame:
+    """Share of runs of each length and base that the next document's run of the same place
+    makes shorter: deletions in homopolymers."""
+    runs = dna(s, d).select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit("(A+|C+|G+|T+)"), F.lit(1))).alias("place", "run"))
+    r = runs.select("doc_id", "place", F.substring("run", 1, 1).alias("base"), F.length("run").alias("n"))
+    pairs = r.join(r.select((F.col("doc_id") - 1).alias("doc_id"), "place", F.col("base").alias("other"), F.col("n").alias("m")), ["doc_id", "place"]).where("base = other")
+    return G.homopolymer_penalties(pairs.select("base", F.least("n", F.lit(8)).alias("length"), (F.col("m") < F.col("n")).alias("deleted"))).select("base", F.col("length").cast("long").alias("length"), "n", F.round("rate", 6).alias("rate"), F.round("penalty", 6).alias("penalty"))
+
+
+_HP = _DNA + """,
+l AS (SELECT doc_id, regexp_extract_all(seq, '(A+|C+|G+|T+)') AS a FROM dna),
+r AS (SELECT doc_id, unnest(range(len(a))) AS place, unnest(a) AS run FROM l),
+p AS (
+  SELECT x.run[1] AS base, least(length(x.run), 8) AS length, length(y.run) < length(x.run) AS deleted
+  FROM r x JOIN r y ON y.doc_id = x.doc_id + 1 AND y.place = x.place AND y.run[1] = x.run[1]
+),
+g AS (SELECT base, length, count(*) AS n, (count(*) FILTER (deleted) + 1.0) / (count(*) + 2.0) AS rate FROM p GROUP BY ALL)
+SELECT base, length, n, round(rate, 6) AS rate, round(-ln(rate) / -ln(0.01), 6) AS penalty FROM g
+"""
+
+
+def proportional_split(s, d) -> DataFrame:
+    """Counts of ambiguous positions split over the cluster sites of their locus by share."""
+    c = _counted(s, d).withColumn("locus", F.floor(F.col("position") / 370))
+    unsure = c.where("n < 3").groupBy(*KEYS, "locus").agg(F.sum("n").alias("ambiguous"))
+    sites = c.where("n >= 3")
+    return X.proportional_split(sites, unsure, [*KEYS, "locus"], "n", "ambiguous").select(*KEYS, "position", F.round("assigned", 6).alias("assigned"))
+
+
+_SPLIT = _READS + """,
+c AS (SELECT chrom, strand, position, position // 370 AS locus, count(*) AS n FROM reads GROUP BY ALL),
+u AS (SELECT chrom, strand, locus, sum(n) AS ambiguous FROM c WHERE n < 3 GROUP BY ALL)
+SELECT s.chrom, s.strand, s.position, round(s.n + coalesce(u.ambiguous, 0) * s.n / sum(s.n) OVER (PARTITION BY s.chrom, s.strand, s.locus), 6) AS assigned
+FROM (SELECT * FROM c WHERE n >= 3) s LEFT JOIN u ON s.chrom = u.chrom AND s.strand = u.strand AND s.locus = u.locus
+"""
 
 
 QUERIES = {
@@ -256,12 +311,15 @@ QUERIES = {
     "polya_score": (polya_score, _POLYA),
     "splice_motifs": (splice_motifs, _SPLICE),
     "motif_scan": (motif_scan, None),
-    "polya_tail_scan": (tail_scan, None),
+    "polya_tail_scan": (tail_scan, _TAIL),
+    "adapter_regex": (adapter_regex, _DNA + " SELECT doc_id, regexp_matches(seq, 'TTTTTT|TC') AS adapter, length(regexp_extract(seq, 'T[CT]{0,10}$')) AS stub FROM dna"),
+    "hp_calibration": (hp_calibration, _HP),
+    "proportional_split": (proportional_split, _SPLIT),
     "levenshtein_names": (levenshtein, "SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part"),
     "sliding_edit": (sliding_edit, "SELECT p_partkey, list_min(list_transform(range(1, greatest(length(p_type) - 4, 1) + 1), lambda i: levenshtein('brass', substring(lower(p_type), i, 5)))) AS distance FROM part"),
     "hp_edit": (hp_edit, None),
     "affine_cigar": (affine, None),
-    "walkback": (walk_back, None),
+    "walkback": (walk_back, _DNA + " SELECT doc_id, CAST(CASE WHEN length(rtrim(seq, 'A')) > 0 THEN length(rtrim(seq, 'A')) - 1 ELSE length(seq) + 19 END AS BIGINT) AS position FROM dna"),
     "confidence_flags": (confidence_flags, _READS + " SELECT CASE WHEN weight * 15 > 1 THEN 'high' WHEN weight * 15 > 0.5 THEN 'medium' WHEN span % 5 = 0 THEN 'high' WHEN span % 5 <= 2 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM reads GROUP BY 1"),
     "full_length": (full_length, _FULL),
     "tail_training": (tail_training, _TRAIN),
