@@ -7,13 +7,18 @@ cluster can cross, so a group is a locus and never a chromosome.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .grouped import map_groups
+from .intervals import carried, in_stretches
 
 
 def position_counts(df: DataFrame, keys: list[str], weight: str | None = None, name: str = "count") -> DataFrame:
@@ -24,10 +29,15 @@ def position_counts(df: DataFrame, keys: list[str], weight: str | None = None, n
 
 def islands(df: DataFrame, keys: list[str], pos: str, gap: int, name: str) -> DataFrame:
     """Adds the number of the island of each row: a new one where the step to the row before
-    is larger than gap."""
-    w = Window.partitionBy(*keys).orderBy(pos)
+    is larger than gap. Windows run over stretches, so no task takes a whole chromosome."""
+    w = Window.partitionBy(*keys, "__wide").orderBy(pos)
     step = F.when(F.col(pos) - F.lag(pos).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("__step", step).withColumn(name, F.sum("__step").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__step")
+    rows = in_stretches(df, pos).withColumn("__step", step)
+    before, so_far = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Window.currentRow)
+    seam = lambda w: (F.col("__first") - F.lag("__last").over(w) > gap).cast("int")
+    base = lambda w: F.coalesce(F.sum("__steps").over(w.rowsBetween(*before)), F.lit(0)) + F.coalesce(F.sum("__seam").over(w.rowsBetween(*so_far)), F.lit(0))
+    rows = carried(rows, keys, [F.min(pos).alias("__first"), F.max(pos).alias("__last"), F.sum("__step").alias("__steps")], {"__seam": seam}, {"__base": base})
+    return rows.withColumn(name, F.col("__base") + F.sum("__step").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__step", "__base", "__wide")
 
 
 def cluster_fixed(positions: DataFrame, keys: list[str], pos: str = "position", distance: int = 25, min_reads: int = 5) -> DataFrame:
@@ -59,37 +69,87 @@ def number(clusters: DataFrame, order: list[str], name: str = "cluster_id", pref
     return clusters.withColumn("__rank", rank).join(before, first).withColumn(name, F.concat(F.lit(prefix), F.lpad((F.col("__base") + F.col("__rank")).cast("string"), 6, "0"))).drop("__rank", "__base")
 
 
+def anchored(batches: Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]], window: int) -> Iterator[tuple]:
+    """(group, start, end, mode, n) of clusters over batches of (names of the groups, group of
+    each row, positions, counts), sorted by group and position; the cluster that is open at
+    a batch's end goes on in the next."""
+    held: list | None = None  # group, start, end, mode, its count, n
+    for names, group, pos, count in batches:
+        edges = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+        i = 0
+        while i < len(pos):
+            stop, name = int(edges[np.searchsorted(edges, i, side="right")]), names[int(group[i])]
+            if held and held[0] == name and pos[i] - held[1] <= window:
+                start = held[1]
+            else:
+                if held:
+                    yield (held[0], *held[1:4], held[5])
+                start, held = int(pos[i]), None
+            j = i + int(np.searchsorted(pos[i:stop], start + window, side="right"))
+            top = int(np.argmax(count[i:j])) + i
+            if held:
+                held[2], held[5] = int(pos[j - 1]), held[5] + int(count[i:j].sum())
+                if count[top] > held[4]:
+                    held[3:5] = int(pos[top]), int(count[top])
+            else:
+                held = [name, start, int(pos[j - 1]), int(pos[top]), int(count[top]), int(count[i:j].sum())]
+            i = j
+    if held:
+        yield (held[0], *held[1:4], held[5])
+
+
 def cluster_anchored(positions: DataFrame, keys: list[str], pos: str = "position", window: int = 10) -> DataFrame:
     """Clusters whose members lie within ``window`` of their first position: keys, start, end,
     mode (most rows, lowest position), n_reads. A fold over the distinct positions of an
-    island at whose edges every cluster starts anew."""
+    island, at whose edges every cluster starts anew; batch by batch, so an island of any
+    length is never held whole."""
     counted = positions.where(F.col(pos).isNotNull()).groupBy(*keys, pos).agg(F.count(F.lit(1)).alias("c"))
     marked = islands(counted, keys, pos, window, "__island")
-    arrays = marked.groupBy(*keys, "__island").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("c")))).alias("a"))
-    anchors = F.aggregate(
-        "a",
-        F.expr("CAST(array() AS array<bigint>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["p"] - F.element_at(acc, -1) <= window), acc).otherwise(F.concat(acc, F.array(x["p"].cast("long")))),
-    )
-    rows = arrays.withColumn("anchors", anchors).select(*keys, F.explode(F.transform("anchors", lambda s: F.struct(s.alias("start"), F.filter("a", lambda x: (x["p"] >= s) & (x["p"] - s <= window)).alias("m")))).alias("k"))
-    best = F.array_max(F.transform("k.m", lambda x: F.struct(x["c"].alias("c"), (-x["p"]).alias("neg"))))
-    return rows.select(
-        *keys,
-        F.col("k.start").alias("start"),
-        F.array_max(F.col("k.m.p")).cast("long").alias("end"),
-        (-best["neg"]).cast("long").alias("mode"),
-        F.aggregate(F.col("k.m.c"), F.lit(0).cast("long"), lambda acc, c: acc + c).alias("n_reads"),
-    )
+    n = len(keys)
+    types = {f.name: f.dataType for f in positions.schema}
+    schema = StructType([*(StructField(k, types[k]) for k in keys), *(StructField(c, LongType()) for c in ("start", "end", "mode", "n_reads"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+
+        def shown():
+            for batch in batches:
+                if batch.num_rows:
+                    new = np.zeros(batch.num_rows, bool)
+                    for i in range(n + 1):
+                        codes = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                        new[1:] |= codes[1:] != codes[:-1]
+                    first = np.append(0, np.flatnonzero(new))
+                    names = list(zip(*(batch.column(i).take(pa.array(first)).to_pylist() for i in range(n + 1))))
+                    yield names, np.cumsum(new), batch.column(n + 1).to_numpy(), batch.column(n + 2).to_numpy()
+
+        rows: list[tuple] = []
+        for name, *values in anchored(shown(), window):
+            rows.append((*name[:n], *values))
+            if len(rows) == 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
+
+    ordered = marked.select(*keys, "__island", F.col(pos).cast("long").alias("__p"), F.col("c").alias("__c"))
+    return ordered.repartition(*keys, "__island").sortWithinPartitions(*keys, "__island", "__p").mapInArrow(run, schema)
 
 
 def greedy_peaks(pos: np.ndarray, count: np.ndarray, min_sep: int) -> list[int]:
     """Indices of peaks by count, largest first (ties: higher position), at least min_sep
     from every peak before; in order of position."""
-    taken: list[int] = []
-    for i in np.lexsort((-pos, -count)):
-        if all(abs(int(pos[i]) - int(pos[j])) >= min_sep for j in taken):
-            taken.append(int(i))
-    return sorted(taken)
+    taken: list[int] = []  # positions, ascending
+    chosen: list[int] = []
+    for i in np.lexsort((-pos, -count)).tolist():
+        p = int(pos[i])
+        at = bisect_left(taken, p)
+        if (at == 0 or p - taken[at - 1] >= min_sep) and (at == len(taken) or taken[at] - p >= min_sep):
+            taken.insert(at, p)
+            chosen.append(i)
+    return sorted(chosen)
 
 
 def adaptive_bounds(pos: np.ndarray, count: np.ndarray, peaks: list[int], radius: int) -> list[tuple[int, int]]:
@@ -129,18 +189,22 @@ def cluster_adaptive(positions: DataFrame, keys: list[str], pos: str = "position
 
 
 def centroid_groups(starts: np.ndarray, ends: np.ndarray, tolerance: int) -> np.ndarray:
-    """Greedy grouping in order: a pair joins the first group whose running means are both
+    """Greedy grouping in order of ascending starts: a pair joins the first group whose running means are both
     within tolerance, else it founds one."""
     sums: list[list[float]] = []
+    live: list[int] = []  # groups that a later start may still join
     out = np.zeros(len(starts), np.int64)
     for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
-        for g, (a, b, n) in enumerate(sums):
+        live = [g for g in live if s - sums[g][0] / sums[g][2] <= tolerance]
+        for g in live:
+            a, b, n = sums[g]
             if abs(s - a / n) <= tolerance and abs(e - b / n) <= tolerance:
                 sums[g] = [a + s, b + e, n + 1]
                 out[i] = g
                 break
         else:
             out[i] = len(sums)
+            live.append(len(sums))
             sums.append([float(s), float(e), 1])
     return out
 

@@ -8,11 +8,15 @@ correctness. Skewed bins are split by adaptive execution, as both sides are plai
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 BIN = 4096
+#: Positions of a stretch whose rows one window takes; stretches are stitched by one row each.
+WIDE = 1 << 20
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
@@ -20,6 +24,27 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.greatest(F.floor(end / width), F.floor(start / width))))
 
 
+def in_stretches(df: DataFrame, pos: str) -> DataFrame:
+    """Adds __wide, the stretch of WIDE positions of each row: what runs over a whole
+    chromosome is found within stretches and carried between them by ``carried``."""
+    return df.withColumn("__wide", F.floor(F.col(pos) / WIDE))
+
+
+def carried(df: DataFrame, keys: list[str], sums: list[Column], *levels: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """Adds to each row of a stretch what the last of levels gives for it: windows over the one
+    row of ``sums`` of each stretch of the keys; a level may use the columns of those before.
+    Null keys are a group like any other."""
+    w = Window.partitionBy(*keys).orderBy("__wide")
+    rows = df.groupBy(*keys, "__wide").agg(*sums)
+    for level in levels:
+        rows = rows.select("*", *(f(w).alias(name) for name, f in level.items()))
+    rows = rows.select(*(F.col(k).alias(f"__of_{k}") for k in [*keys, "__wide"]), *levels[-1])
+    on = F.lit(True)
+    for k in [*keys, "__wide"]:
+        on &= F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return df.join(rows, on).drop(*[f"__of_{k}" for k in [*keys, "__wide"]])
+
+
 def point_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, end: str, half_open: bool = False, how: str = "inner", width: int = BIN) -> DataFrame:
     """points joined to the intervals that hold them; interval columns keep their names, so
     they must not clash with those of points (beyond keys). how: inner, left, left_semi or left_anti.
@@ -92,19 +117,27 @@ def band_match(a: DataFrame, b: DataFrame, keys: list[str], a_ends: tuple[str, s
     return joined.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+_BEFORE = (Window.unboundedPreceding, -1)
+_SO_FAR = (Window.unboundedPreceding, Window.currentRow)
+
+
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
     """Union of intervals by key, joining those at most gap apart: keys, start, end, n."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    group = F.sum(F.when(F.col(start) > seen + gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("__g", group)
+    rows = in_stretches(df.where(F.col(start).isNotNull() & F.col(end).isNotNull()), start)
+    rows = carried(rows, keys, [F.max(end).alias("__e")], {"__reach": lambda w: F.max("__e").over(w.rowsBetween(*_BEFORE))})
+    w = Window.partitionBy(*keys, "__wide").orderBy(start, end)
+    seen = F.greatest(F.max(end).over(w.rowsBetween(*_BEFORE)), F.col("__reach"))
+    rows = rows.withColumn("__new", F.when(F.col(start) > seen + gap, 1).otherwise(0))
+    rows = carried(rows, keys, [F.sum("__new").alias("__n")], {"__base": lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(*_BEFORE)), F.lit(0))})
+    marked = rows.withColumn("__g", F.col("__base") + F.sum("__new").over(w.rowsBetween(*_SO_FAR)))
     return marked.groupBy(*keys, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("__g")
 
 
 def gaps(merged: DataFrame, keys: list[str], start: str, end: str, least: int) -> DataFrame:
     """Stretches of at least so many positions between merged intervals: keys, gap_start, gap_end."""
-    w = Window.partitionBy(*keys).orderBy(start)
-    after = merged.withColumn("gap_end", F.lead(start).over(w)).withColumn("gap_start", F.col(end))
+    rows = carried(in_stretches(merged, start), keys, [F.min(start).alias("__first")], {"__next": lambda w: F.lead("__first").over(w)})
+    w = Window.partitionBy(*keys, "__wide").orderBy(start)
+    after = rows.withColumn("gap_end", F.coalesce(F.lead(start).over(w), F.col("__next"))).withColumn("gap_start", F.col(end))
     return after.where(F.col("gap_end") - F.col("gap_start") >= least).select(*keys, "gap_start", "gap_end")
 
 
@@ -112,9 +145,11 @@ def depth(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Coverage as runs: keys, start, end, depth, from +1/-1 events and a running sum; a
     position is never expanded to a row."""
     events = df.select(*keys, F.col(start).alias("pos"), F.lit(1).alias("d")).unionByName(df.select(*keys, F.col(end).alias("pos"), F.lit(-1).alias("d")))
-    steps = events.groupBy(*keys, "pos").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    runs = steps.select(*keys, F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    steps = in_stretches(events.groupBy(*keys, "pos").agg(F.sum("d").alias("d")), "pos")
+    over = {"__next": lambda w: F.lead("__first").over(w), "__base": lambda w: F.coalesce(F.sum("__d").over(w.rowsBetween(*_BEFORE)), F.lit(0))}
+    steps = carried(steps, keys, [F.min("pos").alias("__first"), F.sum("d").alias("__d")], over)
+    w = Window.partitionBy(*keys, "__wide").orderBy("pos")
+    runs = steps.select(*keys, F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(w), F.col("__next")).alias("end"), (F.col("__base") + F.sum("d").over(w.rowsBetween(*_SO_FAR))).alias("depth"))
     return runs.where("depth > 0")
 
 

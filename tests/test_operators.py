@@ -1,8 +1,12 @@
 """Every query with SQL against DuckDB, streaming against batch, and invariants."""
 
 import os
+import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from endloom.operators import clustering as C
@@ -144,3 +148,93 @@ def test_affine_cigar_aligns_whole_types(spark, tmp_path):
 
     spark.createDataFrame([(1, "Brand#1", "STANDARD BRUSHED Brand#1")], "p_partkey long, p_brand string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
     assert [tuple(r) for r in affine(spark, str(tmp_path)).collect()] == [(1, 2 * 7 - 4 - 17, "17D7M")]
+
+
+def _runs(rows, gap):
+    """Island numbers of sorted (key, position) rows, by a loop."""
+    out, last = {}, {}
+    for k, p in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        number, before = last.get(k, (0, None))
+        number += before is not None and p - before > gap
+        last[k] = (number, p)
+        out[k, p] = number
+    return out
+
+
+@pytest.mark.parametrize("wide", [7, 50, 1 << 20])
+def test_stretches_are_stitched(spark, monkeypatch, wide):
+    """What runs along a chromosome does not depend on where it is cut."""
+    monkeypatch.setattr(I, "WIDE", wide)
+    rng = random.Random(13)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(-40, 400)) for _ in range(150)]
+    df = spark.createDataFrame(rows, "k string, p long")
+    assert {(r["k"], r["p"]): r["n"] for r in C.islands(df, ["k"], "p", 6, "n").collect()} == _runs(rows, 6)
+
+    spans = [(k, p, p + rng.randint(0, 30)) for k, p in rows]
+    frame = spark.createDataFrame(spans, "k string, s long, e long")
+    want = []
+    for k in {k for k, _ in rows}:
+        for s, e in sorted((s, e) for x, s, e in spans if x == k):
+            if want and want[-1][0] == k and s <= want[-1][2] + 2:
+                want[-1][2], want[-1][3] = max(want[-1][2], e), want[-1][3] + 1
+            else:
+                want.append([k, s, e, 1])
+    merged = I.merge_intervals(frame, ["k"], "s", "e", 2)
+    key = lambda r: (r[0] or "", *r[1:])
+    assert sorted((list(r) for r in merged.collect()), key=key) == sorted(want, key=key)
+    holes = [(a[0], a[2], b[1]) for a, b in zip(sorted(want, key=key), sorted(want, key=key)[1:]) if a[0] == b[0] and b[1] - a[2] >= 4]
+    assert sorted((tuple(r) for r in I.gaps(merged, ["k"], "s", "e", 4).collect()), key=key) == sorted(holes, key=key)
+
+    covered = {}
+    for k, s, e in spans:
+        for x in range(s, e):
+            covered[k, x] = covered.get((k, x), 0) + 1
+    got = {}
+    for k, s, e, d in I.depth(frame, ["k"], "s", "e").collect():
+        got |= {(k, x): d for x in range(s, e)}
+    assert got == covered
+
+
+def test_anchored_clusters_against_a_loop(spark):
+    rng = random.Random(14)
+    rows = [(rng.choice(["a", None]), rng.choice("+-"), rng.randint(0, 300)) for _ in range(400)]
+    want = []
+    for k, s in {(k, s) for k, s, _ in rows}:
+        counts = {}
+        for x in (p for a, b, p in rows if (a, b) == (k, s)):
+            counts[x] = counts.get(x, 0) + 1
+        for p in sorted(counts):
+            if want and want[-1][0] == (k, s) and p - want[-1][1][0] <= 4:
+                want[-1][1].append(p)
+            else:
+                want.append(((k, s), [p], counts))
+    key = lambda r: str(r)
+    shown = [(*g, m[0], m[-1], min(m, key=lambda p: (-c[p], p)), sum(c[p] for p in m)) for g, m, c in want]
+    out = C.cluster_anchored(spark.createDataFrame(rows, "chrom string, strand string, position long"), ["chrom", "strand"], window=4)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(shown, key=key)
+    # Batches may end anywhere.
+    pos, count, group = np.array([1, 3, 5, 9, 2, 4]), np.array([2, 9, 1, 1, 5, 5]), np.array([0, 0, 0, 0, 1, 1])
+    whole = list(C.anchored(iter([(["x", "y"], group, pos, count)]), 4))
+    assert whole == [("x", 1, 5, 3, 12), ("x", 9, 9, 9, 1), ("y", 2, 4, 2, 10)]
+    single = [([["x", "y"][g]], np.array([0]), pos[i : i + 1], count[i : i + 1]) for i, g in enumerate(group)]
+    assert list(C.anchored(iter(single), 4)) == whole
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 5)), min_size=1, max_size=25, unique_by=lambda x: x[0]), st.integers(1, 9))
+@settings(deadline=None, max_examples=80)
+def test_greedy_kernels_against_loops(rows, reach):
+    rows.sort()
+    pos, count = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    taken = []
+    for i in np.lexsort((-pos, -count)):
+        if all(abs(int(pos[i]) - int(pos[j])) >= reach for j in taken):
+            taken.append(int(i))
+    assert C.greedy_peaks(pos, count, reach) == sorted(taken)
+    sums, want = [], []
+    for s, e in zip(pos.tolist(), (pos + count).tolist()):
+        g = next((g for g, (a, b, n) in enumerate(sums) if abs(s - a / n) <= reach and abs(e - b / n) <= reach), len(sums))
+        if g == len(sums):
+            sums.append((0.0, 0.0, 0))
+        sums[g] = (sums[g][0] + s, sums[g][1] + e, sums[g][2] + 1)
+        want.append(g)
+    assert C.centroid_groups(pos, pos + count, reach).tolist() == want
