@@ -48,7 +48,7 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
 
 
 #: Rows from which a key of a join may count as hot, and the most keys that do.
-HOT_ROWS, HOT_KEYS = 10_000, 10_000
+HOT_ROWS, HOT_KEYS = 500, 10_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
