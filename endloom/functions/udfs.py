@@ -27,6 +27,22 @@ def nnls_deconvolve(signal: pd.Series, psf: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or p is None else [{"offset": o, "share": f} for o, f in K.deconvolve(np.asarray(s, float), np.asarray(p, float))] for s, p in zip(signal, psf)])
 
 
+_PEAK = StructType([StructField("offset", IntegerType()), StructField("height", DoubleType()), StructField("fraction", DoubleType()), StructField("confidence", DoubleType())])
+_FIT = StructType([StructField("solution", ArrayType(DoubleType())), StructField("r_squared", DoubleType()), StructField("rmse", DoubleType()), StructField("recovery", DoubleType()), StructField("peaks", ArrayType(_PEAK))])
+
+
+@F.pandas_udf(_FIT)
+def deconvolved_region(signal: pd.Series, psf: pd.Series, ridge: pd.Series, least: pd.Series) -> pd.DataFrame:
+    rows = []
+    for s, p, r, t in zip(signal, psf, ridge, least):
+        if s is None or p is None:
+            rows.append((None, None, None, None, None))
+            continue
+        x, r_squared, rmse, recovery, peaks = K.fitted(np.asarray(s, float), np.asarray(p, float), r, t)
+        rows.append((x.tolist(), r_squared, rmse, recovery, [dict(zip(_PEAK.names, k)) for k in peaks]))
+    return pd.DataFrame(rows, columns=_FIT.names)
+
+
 @F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("strand", StringType())])))
 def motif_scan(seq: pd.Series, motif: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or m is None else [{"start": a, "end": b, "strand": c} for a, b, c in K.motif_hits(s, m)] for s, m in zip(seq, motif)])
@@ -60,5 +76,5 @@ def reclip(cigar: pd.Series, start: pd.Series, strand: pd.Series, end: pd.Series
 
 def register(spark: SparkSession) -> None:
     """Make the UDFs callable from SQL by their names."""
-    for f in (hp_edit_distance, affine_cigar, nnls_deconvolve, motif_scan, tail_adapter, walk_back, polya_boundary, reclip):
+    for f in (hp_edit_distance, affine_cigar, nnls_deconvolve, motif_scan, tail_adapter, walk_back, polya_boundary, reclip, deconvolved_region):
         spark.udf.register(f.func.__name__, f)

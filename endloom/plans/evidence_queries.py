@@ -12,7 +12,10 @@ from ..operators import evidence as E
 from ..operators import genes as G
 from ..operators import intervals as I
 from ..operators import junctions as J
+from ..operators import netseq as N
+from ..operators import signal as X
 from ..operators import stats as T
+from ..sources.references import normalise_yeast
 from .analogs import DNA_SQL, GENES_SQL, genes, reads, table
 from .gene_queries import _COUNTS, _J, _KNOWN, _SHIFT, _WITH, KEYS, _counts, junctions, known, shift_jsd, support
 
@@ -269,7 +272,56 @@ SELECT CAST(-moved AS BIGINT) AS correction_bp, count(*) AS n, count(*) FILTER (
 """
 
 
+def _site_windows(s, d) -> DataFrame:
+    counted = C.position_counts(reads(s, d), [*KEYS, "position"], name="n")
+    return X.windows(_sites(s, d), counted, KEYS, "site", "position", "n", 10)
+
+
+def reference_refine(s, d) -> DataFrame:
+    """Ends by the peaks of the signal round the nearest annotated end."""
+    out = N.refine_by_reference(_ends(s, d), _site_windows(s, d), KEYS, [*KEYS, "position"], reach=20)
+    return out.select(*KEYS, "position", "refined", F.round("fraction", 6).alias("fraction"), "shift", "method")
+
+
+_REFINE = _ENDS + """,
+c AS (SELECT chrom, strand, position, count(*) AS n FROM reads GROUP BY ALL),
+near AS (SELECT * FROM (SELECT e.chrom, e.strand, position, site, row_number() OVER (PARTITION BY e.chrom, e.strand, position ORDER BY abs(position - site), site) AS k FROM ends e LEFT JOIN sites s ON e.chrom = s.chrom AND e.strand = s.strand AND abs(position - site) <= 20) WHERE k = 1),
+w AS (SELECT n.chrom, n.strand, n.position, site + o AS refined, coalesce(c.n, 0) AS v FROM (SELECT *, unnest(range(-10, 11)) AS o FROM near WHERE site IS NOT NULL) n LEFT JOIN c ON c.chrom = n.chrom AND c.strand = n.strand AND c.position = site + o),
+p AS (SELECT *, max(v) OVER (PARTITION BY chrom, strand, position) AS m FROM w),
+q AS (SELECT *, sum(v) OVER (PARTITION BY chrom, strand, position) AS t FROM p WHERE v >= 0.1 * m)
+SELECT chrom, strand, position, refined, round(CASE WHEN t > 0 THEN v / t ELSE 0.0 END, 6) AS fraction, refined - position AS shift, 'raw' AS method FROM q
+UNION ALL SELECT chrom, strand, position, position, 1.0, 0, 'no_reference' FROM near WHERE site IS NULL
+"""
+
+
+def region_deconvolution(s, d) -> DataFrame:
+    """Regions of tracts with their deconvolved peaks."""
+    regions = C.cluster_fixed(reads(s, d), KEYS, distance=5, min_reads=5).select(*KEYS, F.col("start"), (F.col("end") + 1).alias("end"))
+    counted = C.position_counts(reads(s, d), [*KEYS, "position"], name="n")
+    out = N.deconvolve_regions(N.region_signal(regions, counted, KEYS, "start", "end", "position", "n"), [0.54, 0.26, 0.12, 0.08], "start")
+    return out.select(*KEYS, "start", "end", "position", F.round("fraction", 6).alias("fraction"), F.round("r_squared", 6).alias("r_squared"), "flag")
+
+
+def sampled_assignment(s, d) -> DataFrame:
+    """Reads dealt to the peaks of their locus by share: how many each peak gets."""
+    r = reads(s, d).withColumn("locus", F.floor(F.col("position") / 370)).withColumn("read", F.concat_ws("/", "read_id", "line"))
+    c = C.position_counts(r, [*KEYS, "locus", "position"], name="n")
+    peaks = c.where("n >= 3").withColumn("fraction", F.col("n").cast("double"))
+    out = N.sampled(r.select(*KEYS, "locus", "read"), peaks, [*KEYS, "locus"], "read")
+    return out.groupBy(*KEYS, "locus", "assigned").agg(F.count(F.lit(1)).alias("n"))
+
+
+def chromosome_names(s, d) -> DataFrame:
+    """Names of yeast chromosomes in three forms, brought to one."""
+    n = table(s, d, "supplier").select("s_suppkey", F.element_at(F.array(*[F.lit(x) for x in ("chrIV", "IV", "ref|NC_001136|", "BK006938.2", "chrM", "ref|NC_001224|", "scaffold_7")]), (F.col("s_suppkey") % 7 + 1).cast("int")).alias("chrom"))
+    return normalise_yeast(n)
+
+
 QUERIES = {
+    "reference_refine": (reference_refine, _REFINE),
+    "region_deconvolution": (region_deconvolution, None),
+    "sampled_assignment": (sampled_assignment, None),
+    "chromosome_names": (chromosome_names, "SELECT s_suppkey, ['chrIV', 'chrIV', 'chrIV', 'chrIV', 'chrM', 'chrMito', 'scaffold_7'][s_suppkey % 7 + 1] AS chrom FROM supplier"),
     "junction_evidence": (evidence, _EVIDENCE),
     "ambiguous_counts": (ambiguous, _AMBIGUOUS),
     "read_lists": (read_lists, _WITH + " SELECT chrom, position % 5000 AS place, md5(string_agg(DISTINCT CAST(read_id AS VARCHAR), ',' ORDER BY read_id)) AS digest, count(DISTINCT read_id) AS n FROM reads GROUP BY ALL".replace("string_agg(DISTINCT CAST(read_id AS VARCHAR), ',' ORDER BY read_id)", "array_to_string(list_sort(list_distinct(list(read_id))), ',')")),
