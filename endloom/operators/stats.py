@@ -156,3 +156,26 @@ def _two_sided(z):
 
 def log2_counts(counts: DataFrame) -> DataFrame:
     return counts.withColumn("v", F.log2(F.col("count") + 1))
+
+
+def kmer_enrichment(sequences: DataFrame, k: int = 6, seq: str = "seq", chosen: str = "chosen") -> DataFrame:
+    """sequences: seq, chosen (boolean). kmer, hit (chosen sequences that hold it), marked (all
+    that do), p (one-sided) and padj. A sequence counts once for each of its k-mers."""
+    kmers = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i, F.lit(k))))
+    each = sequences.where(F.length(seq) >= k).select(F.explode(kmers).alias("kmer"), chosen)
+    total = sequences.agg(F.count(F.lit(1)).alias("total"), F.count_if(chosen).alias("drawn"))
+    sets = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("marked"), F.count_if(chosen).alias("hit")).crossJoin(F.broadcast(total))
+    tested = fisher_greater(sets, "hit", "drawn", "marked", "total").withColumn("p", F.round("p", 10))
+    return benjamini_hochberg(tested, "p", "kmer").select("kmer", "hit", "marked", "p", "padj")
+
+
+def flanks(sites: DataFrame, genome: DataFrame, upstream: int = 100, downstream: int = 50, least: float = 0.8) -> DataFrame:
+    """sites (chrom, strand, position) with flank: the bases from upstream before to downstream
+    after the position, along the strand; sites with less than a share of them go."""
+    from ..functions import sequence as S
+
+    j = sites.join(genome.select("chrom", F.col("seq").alias("__g")), "chrom")
+    plus = F.col("strand") == "+"
+    left = S.window(F.col("__g"), (F.col("position") - upstream).cast("int"), (F.col("position") + downstream).cast("int"))
+    right = S.revcomp(S.window(F.col("__g"), (F.col("position") - downstream + 1).cast("int"), (F.col("position") + upstream + 1).cast("int")))
+    return j.withColumn("flank", F.when(plus, left).otherwise(right)).where(F.length("flank") >= least * (upstream + downstream)).drop("__g")

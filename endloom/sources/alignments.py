@@ -32,9 +32,19 @@ SCHEMA = "name string, flag int, chrom string, start long, mapq int, cigar strin
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignment lines of SAM text; header lines are skipped."""
+    return sam_records(spark.read.text(path))
+
+
+def stream_sam(spark: SparkSession, path: str, files_at_once: int = 8) -> DataFrame:
+    """The same as a stream of the SAM files that come into a folder: the filters and columns of
+    this module serve both, and a checkpoint makes a stream resume where it stopped."""
+    return sam_records(spark.readStream.option("maxFilesPerTrigger", files_at_once).text(path))
+
+
+def sam_records(text: DataFrame) -> DataFrame:
     cells = F.split("value", "\t")
     get = lambda i: F.get(cells, F.lit(i))
-    lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(cells) >= 11))
+    lines = text.where(~F.col("value").startswith("@") & (F.size(cells) >= 11))
     tags = F.transform(F.slice(cells, 12, F.greatest(F.size(cells) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.regexp_replace(t, "^..:.:", "").alias("v")))
     return lines.select(
         get(0).alias("name"), get(1).try_cast("int").alias("flag"), get(2).alias("chrom"), (get(3).try_cast("long") - 1).alias("start"),

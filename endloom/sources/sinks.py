@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +80,48 @@ def provenance(spark: SparkSession, step: str, inputs: list[str], parameters: di
         digests[path] = h.hexdigest()
     row = (step, time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), json.dumps(parameters, sort_keys=True), json.dumps(digests, sort_keys=True))
     return spark.createDataFrame([row], "step string, written string, parameters string, inputs string")
+
+
+def write_step(spark: SparkSession, out: str, step: str, inputs: list[str], parameters: dict, frames: Callable[[], dict[str, DataFrame]], fmt: str = "parquet", again: bool = False) -> bool:
+    """Writes the frames of a step below out/step and, last, its provenance; a step whose
+    inputs (paths, sizes, times) and parameters are those of its provenance is not run
+    again. True if it ran. A step that failed has no provenance, so it runs anew."""
+    now = provenance(spark, step, inputs, parameters).first()
+    place = f"{out.rstrip('/')}/{step}"
+    if not again:
+        try:
+            known = spark.read.json(f"{place}/_provenance.json").select("parameters", "inputs").first()
+        except AnalysisException:
+            known = None
+        if known and (known["parameters"], known["inputs"]) == (now["parameters"], now["inputs"]):
+            return False
+    for name, df in frames().items():
+        write_table(df, f"{place}/{name}", fmt)
+    spark.createDataFrame([now]).coalesce(1).write.mode("overwrite").json(f"{place}/_provenance.json")
+    return True
+
+
+def by_region(spark: SparkSession, regions: list[tuple[str, int, int]], part: Callable[[tuple[str, int, int]], DataFrame], path: str) -> DataFrame:
+    """part(region) for each of disjoint regions, each written to a folder of its own; regions
+    that an earlier run wrote are not done again. The rows of all regions."""
+    names = [f"region={c}_{a}_{b}" for c, a, b in regions]
+    for region, name in zip(regions, names):
+        try:
+            spark.read.text(f"{path}/{name}/_SUCCESS").schema  # noqa: B018
+        except AnalysisException:
+            part(region).write.mode("overwrite").parquet(f"{path}/{name}")
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{n}" for n in names]).drop("region")
+
+
+def summary_tables(results: DataFrame, alpha: float = 0.05, fold: float = 1.0) -> dict[str, DataFrame]:
+    """up and down: significant features by falling effect; summary: how many of each kind."""
+    from ..operators.evidence import result_tables
+
+    told = result_tables(results, alpha, fold)
+    kind = F.coalesce("direction", F.lit("none"))
+    marked = results.join(told.select("feature", "direction"), "feature", "left")
+    return {
+        "up": told.where("direction = 'up'").orderBy(F.col("log2fc").desc(), "feature"),
+        "down": told.where("direction = 'down'").orderBy("log2fc", "feature"),
+        "summary": marked.groupBy(kind.alias("direction")).agg(F.count(F.lit(1)).alias("n"), F.avg("log2fc").alias("mean_log2fc")),
+    }
