@@ -189,6 +189,55 @@ def tract_regions(positions: DataFrame, keys: list[str], pos: str, gap: int = 20
     return marked.groupBy(*keys, "__i").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.sum("count").alias("total")).where(F.col("total") >= least_total).drop("__i")
 
 
+def _common_prefix(a: Column, b: Column) -> Column:
+    """How many first characters two strings share."""
+    n = F.least(F.length(a), F.length(b))
+    same = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)))
+    first = F.array_position(same, F.lit(False))
+    return F.when(n == 0, F.lit(0)).when(first > 0, first.cast("int") - 1).otherwise(n)
+
+
+def rescue_clips(reads: DataFrame, genome: DataFrame, end: str = "three_prime", least: int = 3, most_prefix: int = 5) -> DataFrame:
+    """reads (read_id, chrom, strand, cigar, seq and the 3' end in ``end``) with rescued (the
+    end moved outwards), rescued_bases, extension and rescue (homopolymer, prefix or null).
+
+    homopolymer: the alignment ends in a run of at least ``least`` equal bases; what is left of
+    that run in the genome is skipped (extension), and the clip is matched from there until
+    it differs or its first run of ``least`` As begins, which is the tail. A rescued end is
+    never a genomic A. prefix: else, where a clip of five or more is seven tenths As, up to
+    most_prefix As that genome and clip share count to the transcript. All is seen along the
+    strand, so both strands have one rule.
+    """
+    plus = F.col("strand") == "+"
+    ops = S.cigar_ops(F.col("cigar"))
+    clip = F.filter(S.soft_clips(ops, F.col("seq")), lambda c: c["side"] == F.when(plus, "right").otherwise("left"))
+    r = reads.withColumn("__clip", F.coalesce(F.upper(F.get(clip, F.lit(0))["seq"]), F.lit("")))
+    held = r.where(F.length("__clip") > 0).join(genome.select("chrom", F.upper("seq").alias("__g")), "chrom", "left")
+    at, n = F.col(end).cast("int"), F.length("__clip")
+    reach = 2 * n + 10
+    out = F.when(plus, S.window(F.col("__g"), at + 1, at + 1 + reach)).otherwise(S.revcomp(S.window(F.col("__g"), at - reach, at)))
+    into = F.when(plus, S.window(F.col("__g"), at - least + 1, at + 1)).otherwise(S.revcomp(S.window(F.col("__g"), at, at + least)))
+    held = held.withColumns({"__clip": F.when(plus, F.col("__clip")).otherwise(S.revcomp(F.col("__clip"))), "__out": F.coalesce(out, F.lit("")), "__in": F.coalesce(into, F.lit(""))})
+    base = F.substring("__in", -1, 1)
+    run = (F.length("__in") == least) & (F.length(F.ltrim(F.col("__in"), base)) == 0)
+    held = held.withColumn("__ext", F.when(run, F.least(F.length("__out") - F.length(F.ltrim(F.col("__out"), base)), n + 9)).otherwise(0))
+    held = held.withColumn("__rest", F.substring(F.col("__out"), F.col("__ext") + 1, F.length("__out")))
+    held = held.withColumn("__same", F.when(run, _common_prefix(F.col("__clip"), F.col("__rest"))).otherwise(0)).withColumn("__tail", F.instr(F.col("__clip"), "A" * least) - 1)
+    matched = F.when((F.col("__tail") >= 0) & (F.col("__same") >= F.col("__tail") + least - 1), F.col("__tail")).otherwise(F.col("__same"))
+    kept = F.length(F.rtrim(F.substring(F.col("__rest"), F.lit(1), matched), F.lit("A")))
+    held = held.withColumn("__kept", kept)
+    first = lambda c: F.length(c) - F.length(F.ltrim(F.col(c), F.lit("A")))
+    tail = (n >= 5) & (S.count_base(F.col("__clip"), "A") >= 0.7 * n)
+    prefix = F.when((F.col("__kept") == 0) & tail, F.least(first("__clip"), first("__out"), F.lit(most_prefix))).otherwise(0)
+    held = held.withColumn("__prefix", prefix)
+    shift = F.when(F.col("__kept") > 0, F.col("__ext") + F.col("__kept")).otherwise(F.col("__prefix"))
+    kind = F.when(F.col("__kept") > 0, "homopolymer").when(F.col("__prefix") > 0, "prefix")
+    done = held.withColumns({"rescued": (F.col(end) + F.when(plus, shift).otherwise(-shift)).cast("long"), "rescued_bases": shift, "extension": F.when(F.col("__kept") > 0, F.col("__ext")).otherwise(0), "rescue": kind})
+    none = r.where(F.length("__clip") == 0).withColumns({"rescued": F.col(end).cast("long"), "rescued_bases": F.lit(0), "extension": F.lit(0), "rescue": F.lit(None).cast("string")})
+    columns = [*reads.columns, "rescued", "rescued_bases", "extension", "rescue"]
+    return done.select(columns).unionByName(none.select(columns))
+
+
 def corrected_records(records: DataFrame, ends: DataFrame) -> DataFrame:
     """Alignment records (``sources.alignments.SCHEMA``) whose 3' ends are those of ends
     (read_id, corrected): clipped or extended to them, with the tag cp and the old end in

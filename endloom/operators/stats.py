@@ -122,26 +122,6 @@ def pca_samples(counts: DataFrame, components: int = 2) -> DataFrame:
     return counts.sparkSession.createDataFrame([(n, *map(float, s)) for n, s in zip(names, scores)], schema)
 
 
-def differential(counts: DataFrame, conditions: DataFrame, reference: str) -> DataFrame:
-    """feature, base_mean, log2_fold_change, se, p by a negative-binomial Wald test on counts
-    scaled by size factors: moments give the dispersion, the delta method the error of the
-    log ratio. conditions: sample, condition (two of them); a small table."""
-    scaled = counts.join(size_factors(counts), "sample").join(conditions, "sample").withColumn("v", F.col("count") / F.col("factor"))
-    ref = F.col("condition") == reference
-    agg = scaled.groupBy("feature").agg(
-        F.avg("v").alias("base_mean"),
-        F.avg(F.when(ref, F.col("v"))).alias("ma"), F.avg(F.when(~ref, F.col("v"))).alias("mb"),
-        F.coalesce(F.var_samp(F.when(ref, F.col("v"))), F.lit(0.0)).alias("va"), F.coalesce(F.var_samp(F.when(~ref, F.col("v"))), F.lit(0.0)).alias("vb"),
-        F.count_if(ref).alias("na"), F.count_if(~ref).alias("nb"),
-    )
-    alpha = F.greatest(F.lit(1e-8), ((F.col("va") + F.col("vb")) / 2 - F.col("base_mean")) / F.pow(F.greatest("base_mean", F.lit(1e-8)), F.lit(2)))
-    half = lambda m: F.col(m) + 0.5
-    var = lambda m, n: (1 / half(m) + alpha) / F.col(n)
-    se = F.sqrt(var("ma", "na") + var("mb", "nb"))
-    z = F.ln(half("mb") / half("ma")) / se
-    return agg.select("feature", "base_mean", (F.log2(half("mb") / half("ma"))).alias("log2_fold_change"), (se / float(np.log(2))).alias("se"), _two_sided(z).alias("p"))
-
-
 def _two_sided(z):
     """2 * (1 - normal cdf(|z|)) by a rational approximation with relative error 1.2e-7."""
     x = F.abs(z) / float(np.sqrt(2))

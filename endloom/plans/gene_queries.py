@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import clustering as C
 from ..operators import consensus as K
+from ..operators import differential as D
 from ..operators import genes as G
 from ..operators import intervals as I
 from ..operators import junctions as J
@@ -261,7 +262,7 @@ def pca(s, d) -> DataFrame:
 
 def differential(s, d) -> DataFrame:
     names = [(f"s{i}", "a" if i < 3 else "b") for i in range(6)]
-    return T.differential(_counts(s, d), s.createDataFrame(names, "sample string, condition string"), "a")
+    return D.differential(_counts(s, d), s.createDataFrame(names, "sample string, condition string"), "a")
 
 
 def rpm(s, d) -> DataFrame:

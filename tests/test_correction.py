@@ -1,5 +1,7 @@
 """Corrections on hand-made reads, and mirrored between strands."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from endloom.functions import kernels as K
@@ -57,3 +59,56 @@ def test_effective_clip_psf_and_regions(spark):
     assert {r["offset"]: r["weight"] for r in C.empirical_psf(w).collect()} == {0: 0.375, 1: 0.625}
     p = spark.createDataFrame([("c", 1, 5, 6.0), ("c", 15, 4, 6.0), ("c", 80, 9, 3.0), ("c", 16, 0, 99.0)], "chrom string, pos long, a_count int, count double")
     assert [tuple(r) for r in C.tract_regions(p, ["chrom"], "pos").collect()] == [("c", 1, 15, 12.0)]
+
+
+def _rescued(clip, genome, at, least=3):
+    """The plus strand, base by base: (shift, kind)."""
+    inside = genome[at - least + 1 : at + 1]
+    shift = 0
+    if len(inside) == least and len(set(inside)) == 1:
+        ext = 0
+        while ext < len(clip) + 9 and at + ext + 1 < len(genome) and genome[at + ext + 1] == inside[0]:
+            ext += 1
+        got, run = 0, 0
+        for i, base in enumerate(clip):
+            place = at + ext + 1 + i
+            run = run + 1 if base == "A" else 0
+            if place >= len(genome):
+                break
+            if run >= least:
+                got -= run - 1
+                break
+            if genome[place] != base:
+                break
+            got += 1
+        while got > 0 and genome[at + ext + got] == "A":
+            got -= 1
+        if got > 0:
+            return ext + got, "homopolymer"
+    if len(clip) >= 5 and clip.count("A") >= 0.7 * len(clip):
+        while shift < 5 and at + shift + 1 < len(genome) and clip[shift : shift + 1] == genome[at + shift + 1] == "A":
+            shift += 1
+    return shift, "prefix" if shift else None
+
+
+def test_clip_rescue_against_brute_force_on_both_strands(spark):
+    rng = random.Random(31)
+    text = "".join(rng.choice("AACGT") * rng.choice([1, 1, 2, 4, 6]) for _ in range(120))
+    mirrored, n, rows, want = K.reverse_complement(text), len(text), [], {}
+    for i in range(250):
+        at = rng.randint(20, n - 12)
+        ahead = text[at + 1 :].lstrip(text[at]) if rng.random() < 0.6 else text[at + 1 :]
+        clip = ahead[: rng.randint(0, 6)] + rng.choice(["", "A" * rng.randint(1, 12), "G", "CAAAAAAA"])
+        want[f"p{i}"] = _rescued(clip, text, at)
+        body = text[at - 9 : at + 1]
+        rows.append((f"p{i}", "c", "+", at, f"10M{len(clip)}S" if clip else "10M", body + clip))
+        want[f"m{i}"] = want[f"p{i}"]
+        rows.append((f"m{i}", "m", "-", n - 1 - at, f"{len(clip)}S10M" if clip else "10M", K.reverse_complement(body + clip)))
+    rows.append(("none", "x", "+", 5, "3M4S", "ACGAAAA"))
+    want["none"] = (0, None)
+    g = spark.createDataFrame([("c", text), ("m", mirrored)], "chrom string, seq string")
+    out = C.rescue_clips(spark.createDataFrame(rows, "read_id string, chrom string, strand string, three_prime long, cigar string, seq string"), g).collect()
+    got = {r["read_id"]: (r["rescued_bases"], r["rescue"]) for r in out}
+    assert got == want and {k for _, k in got.values()} == {None, "homopolymer", "prefix"}
+    for r in out:
+        assert r["rescued"] - r["three_prime"] == (r["rescued_bases"] if r["strand"] == "+" else -r["rescued_bases"])
