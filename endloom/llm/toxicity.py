@@ -145,6 +145,16 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(doc, size, chars, stop)
 
 
+def word_parts(texts: pa.Array, part: int = buffers.PART) -> Iterator[Words]:
+    """The words of texts; of one long text part by part."""
+    raw, offsets = buffers.raw_of(texts)
+    if len(texts) == 1 and len(raw) > part:
+        for a, b in buffers.parts(raw, part):
+            yield words_of(raw[a:b], np.array([0, b - a]))
+    else:
+        yield words_of(raw, offsets)
+
+
 def bare(piece: str) -> str:
     """The form of a word that the kernel sees."""
     raw = np.frombuffer(piece.encode("utf-8", "surrogatepass"), np.uint8)
@@ -320,9 +330,9 @@ def _runs_of(ids: np.ndarray, size: int) -> np.ndarray:
 _FACTORS = np.random.default_rng(7).integers(2**63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def min_hashes(words: list[str], bounds: np.ndarray) -> list[bytes]:
-    """HASHES min-hashes of 32 bits of the runs of SHINGLE words of each text; shorter texts
-    are one run, those without words have none."""
+def min_hashes(words: list[str], bounds: np.ndarray) -> np.ndarray:
+    """HASHES min-hashes of 32 bits of the runs of SHINGLE words of each text, a row each;
+    shorter texts are one run, those without words have none."""
     known = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1 for w in set(words)}
     ids = np.array([known[w] for w in words], np.uint64)
     runs, out = _runs_of(ids, SHINGLE), np.full((len(bounds) - 1, HASHES), 0xFFFFFFFF, np.uint32)
@@ -335,7 +345,28 @@ def min_hashes(words: list[str], bounds: np.ndarray) -> list[bytes]:
     for i in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < SHINGLE)).tolist():
         one = _runs_of(ids[bounds[i] : bounds[i + 1]], int(bounds[i + 1] - bounds[i]))
         out[i] = (one[0] * _FACTORS) >> np.uint64(32)
-    return [row.tobytes() for row in out]
+    return out
+
+
+def _read_texts(texts: pa.Array, part: int = buffers.PART) -> tuple[list[set[str]], list[int], np.ndarray]:
+    """(words, hash of the whole sequence of words, min-hashes) of each text; a long text is
+    read in parts, whose last words go on to the next."""
+    n = len(texts)
+    words: list[set[str]] = [set() for _ in range(n)]
+    hashes = [hashlib.blake2b(digest_size=8) for _ in range(n)]
+    least, before = np.full((n, HASHES), 0xFFFFFFFF, np.uint32), []
+    parts = 0
+    for found in word_parts(texts, part):
+        forms = [w for w in found.strings() if w]
+        bounds = np.searchsorted(found.doc[found.size > 0], np.arange(n + 1))
+        for i, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            words[i].update(w for w in forms[s:e] if len(w) >= 2)
+            hashes[i].update("".join(w + " " for w in forms[s:e]).encode("utf-8", "surrogatepass"))
+        joined = before + forms if n == 1 else forms
+        now = min_hashes(joined, np.array([0, len(joined)]) if n == 1 else bounds)
+        least = np.minimum(least, now) if not parts or len(joined) >= SHINGLE else least
+        before, parts = joined[1 - SHINGLE :] if n == 1 else [], parts + 1
+    return words, [int.from_bytes(h.digest(), "little", signed=True) for h in hashes], least
 
 
 def near_copies(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
@@ -370,13 +401,9 @@ def type_counts(labelled: DataFrame) -> DataFrame:
         buffers.release()
         for batch in batches:
             for a, b in buffers.slices(batch.column(0)):
-                found = words_of(*buffers.raw_of(batch.column(0).slice(a, b - a)))
-                forms = [w for w in found.strings() if w]
-                bounds = np.searchsorted(found.doc[found.size > 0], np.arange(b - a + 1))
-                per_text = [forms[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                words = [[*{w for w in own if len(w) >= 2}, ""] for own in per_text]
-                sign = [int.from_bytes(hashlib.blake2b(" ".join(own).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for own in per_text]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1).slice(a, b - a), pa.array(sign, pa.int64()), pa.array(min_hashes(forms, bounds), pa.binary())], names=["words", "toxic", "sign", "least"])
+                words, sign, least = _read_texts(batch.column(0).slice(a, b - a))
+                lists = pa.array([[*own, ""] for own in words], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(a, b - a), pa.array(sign, pa.int64()), pa.array([row.tobytes() for row in least], pa.binary())], names=["words", "toxic", "sign", "least"])
 
     read = cut(labelled.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "words array<string>, toxic int, sign long, least binary"))
     different = read.groupBy("toxic", "sign").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("n")).collect()
@@ -440,16 +467,20 @@ def toxic_sentences(labelled: DataFrame, evidence: dict[str, float]) -> list[tup
         known: dict[str, float] = {}
         for batch in batches:
             for a, b in buffers.slices(batch.column(0)):
-                words = words_of(*buffers.raw_of(batch.column(0).slice(a, b - a)))
-                sentence = np.cumsum(np.concatenate([[False], words.stop[:-1] | (words.doc[1:] != words.doc[:-1])])) if len(words.doc) else words.doc
                 found: dict[tuple[int, int], dict[str, float]] = {}
                 best: dict[int, float] = {}
-                for d, s, w in zip(words.doc.tolist(), sentence.tolist(), words.strings()):
-                    if w not in known:
-                        known[w] = max([tells.get(w, 0.0), *(tells.get(" " + r, 0.0) for r in _runs(w))]) if len(w) >= 2 else 0.0
-                    if known[w]:
-                        found.setdefault((d, s), {})[w] = known[w]
-                        best[d] = max(best.get(d, 0.0), known[w])
+                number = 0
+                for words in word_parts(batch.column(0).slice(a, b - a)):
+                    if not len(words.doc):
+                        continue
+                    sentence = number + np.cumsum(np.concatenate([[False], words.stop[:-1] | (words.doc[1:] != words.doc[:-1])]))
+                    for d, s, w in zip(words.doc.tolist(), sentence.tolist(), words.strings()):
+                        if w not in known:
+                            known[w] = max([tells.get(w, 0.0), *(tells.get(" " + r, 0.0) for r in _runs(w))]) if len(w) >= 2 else 0.0
+                        if known[w]:
+                            found.setdefault((d, s), {})[w] = known[w]
+                            best[d] = max(best.get(d, 0.0), known[w])
+                    number = int(sentence[-1]) + bool(words.stop[-1])
                 kept = ((d, f, [w for w in f if f[w] >= HALF * best[d]]) for (d, _), f in found.items())
                 rows = [sorted(told, key=lambda w: (-f[w], w)) for d, f, told in kept if told]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["words"])

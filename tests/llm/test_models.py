@@ -220,6 +220,17 @@ def test_sentence_features_do_not_depend_on_parts():
     assert np.allclose(toxicity.features(many, m), np.vstack([toxicity.features(many.slice(i, 1), m) for i in range(len(many))]))
 
 
+def test_training_texts_do_not_depend_on_parts():
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["alpha", "beta.", "gamma", "de", "x", "Ünd,"]) for _ in range(800))
+    whole = toxicity._read_texts(pa.array([text]))
+    for part in (40, 500):
+        words, sign, least = toxicity._read_texts(pa.array([text]), part)
+        assert words == whole[0] and sign == whole[1] and (least == whole[2]).all()
+    many = toxicity._read_texts(pa.array(["a bb", text, None, ""]))
+    assert many[1][1] == whole[1][0] and (many[2][1] == whole[2][0]).all() and many[0][2] == set()
+
+
 def test_toxicity_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
