@@ -25,11 +25,14 @@ def _row() -> Column:
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without the rows whose key is in rejected (key)."""
-    return docs.withColumn("__row", _row()).join(rejected.distinct(), F.col("__row") == F.col("key"), "left_anti").drop("__row")
+    gone = rejected.select(F.col("key").alias("__key")).distinct()
+    return docs.withColumn("__row", _row()).join(gone, F.col("__row") == F.col("__key"), "left_anti").drop("__row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of TOXIC_FROM or more go."""
+    """Documents with a toxicity score of TOXIC_FROM or more go. Repeated rows stay or go
+    together; a null text counts as empty. Without labels of both kinds the score is the share
+    of toxic labels, so all rows share one fate."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(docs.select("doc_id", "text"), labels, learn_from=lambda i: ~queries.held_out(i), by_row=True)
     toxic = scored.where(F.col("score") >= TOXIC_FROM).select("doc_id", "row_key").distinct()
@@ -39,7 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with the same text (white space aside) one stays, and one of rows that
-    repeat."""
+    repeat. Null, empty and blank texts are one text."""
     found = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct()
     own = docs.withColumn("__own", F.unhex(F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)))
     kept = own.join(found, (own["__own"] == found["__sha"]) & own["doc_id"].eqNullSafe(found["__id"]), "left_semi")
@@ -51,7 +54,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents that the n-gram Jaccard join links, the one with the least
-    doc_id stays (null ones last)."""
+    doc_id stays (null ones last). Empty texts are in no class and stay; rows that repeat share
+    a key, so they stay or go together."""
     classes = ngram_join.classes(docs.select(_row().alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
     named = cut(classes.join(docs.select(_row().alias("key"), "doc_id").distinct(), "key"))
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key"))
@@ -59,13 +63,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go of whose words a twentieth or more lie in windows of benchmark items."""
+    """Documents go of whose words a twentieth or more lie in windows of benchmark items.
+    Texts without words stay; with an empty benchmark all do. Repeated rows share one fate."""
     found = decontaminate.contamination(docs.select(_row().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, decontaminate.judged(found).where("contaminated").select(F.col("doc_id").alias("key")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their places in sequences."""
+    """Pieces of at most 4096 tokens with their places in sequences. Every row gives pieces,
+    repeated ones and those with a null doc_id too; a null text counts as empty."""
     return packing.pack(packing.pieces(docs.select("doc_id", "text"), queries.tokenizer("word_bpe_49k.json"), end_id=1))
 
 
