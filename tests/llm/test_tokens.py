@@ -210,3 +210,31 @@ def test_pipeline_rejects_rows_not_identifiers(spark, tmp_path):
     assert left(corpus_pipeline.drop_toxic) == {t for t in everything if "idiot" not in t}
     assert left(corpus_pipeline.drop_near_copies) == everything - {shared + " sita"}
     assert left(corpus_pipeline.drop_contaminated) == {t for t in everything if item not in t}
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], docs).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_stages_on_nulls_and_repeats(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, "x y"), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "one two three four five six", None), (1, "one two three four five six", None), (None, None, "x"), (None, "", "x"), (2, None, None), (3, "word " * 40_000, "x"), (4, "solo", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = lambda stage: sorted(((r["doc_id"], r["text"], r["key"]) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+    everything = sorted(rows, key=str)
+    assert kept(corpus_pipeline.drop_toxic) == everything
+    assert kept(corpus_pipeline.drop_contaminated) == everything
+    assert kept(corpus_pipeline.drop_near_copies) == everything
+    once = kept(corpus_pipeline.drop_copies)
+    assert [r[0] for r in once if r[1] and r[1] != ""] == [1, 3, 4] and sum(not r[1] for r in once) == 1
+    packed = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(rows) and sum(r["doc_id"] == 3 for r in packed) > 1
