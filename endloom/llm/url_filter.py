@@ -27,7 +27,7 @@ from .common import cut, spread_join
 #: What the items that stand for labels begin with; no token has this form.
 LABEL = "label="
 MIN_SUPPORT = 0.004
-MIN_CONFIDENCE = 0.5
+MIN_CONFIDENCE = 0.8
 #: The least ratio of a rule's confidence to its label's base rate.
 MIN_LIFT = 1.1
 #: No rule is kept that fewer labelled pages bear out.
