@@ -180,3 +180,48 @@ def splice_boundary(reads: DataFrame, sites: DataFrame, tolerance: int = 5, leas
     own = reads.where(F.col("clip") >= least_clip).withColumnRenamed("boundary", "position")
     found = _band(own, sites.withColumnRenamed("three_ss", "site"), ["chrom", "strand"], max(tolerance, 1), ["intron_id", "five_ss"])
     return found.where((F.abs(F.col("site") - F.col("position")) <= tolerance) & F.col("five_ss").isNotNull()).select("read_id", "chrom", "strand", F.col("position").alias("boundary"), "clip", "intron_id", F.col("site").alias("three_ss"), "five_ss")
+
+
+def junction_proximity(errors: DataFrame, junctions: DataFrame, reach: int = 5) -> DataFrame:
+    """read_id, near: the errors of a read (read_id, pos, in_homopolymer) within reach of either
+    end of one of its junctions (read_id, j_start, j_end); one in a homopolymer counts a half,
+    and an error near several ends once."""
+    near = (F.abs(F.col("pos") - F.col("j_start")) <= reach) | (F.abs(F.col("pos") - F.col("j_end")) <= reach)
+    hit = errors.join(junctions.select("read_id", "j_start", "j_end"), "read_id").where(near).select("read_id", "pos", "in_homopolymer").distinct()
+    return hit.groupBy("read_id").agg(F.sum(F.when(F.col("in_homopolymer"), 0.5).otherwise(1.0)).alias("near"))
+
+
+def mismatch_windows(errors: DataFrame, read: list[str], pos: str = "pos", reach: int = 15, least: int = 3, density: float = 0.2) -> DataFrame:
+    """read, start, end of the greedy dense spans of each read's errors."""
+    from ..functions.kernels import mismatch_clusters
+    from .grouped import map_groups
+
+    types = {f.name: f.dataType.simpleString() for f in errors.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in read) + ", start long, end long"
+    rows = errors.select(*read, F.col(pos).cast("long").alias("__p")).distinct()
+    return map_groups(rows, read, ["__p"], lambda group, c: [(*group, a, b) for a, b in mismatch_clusters(c["__p"].tolist(), reach, least, density)], schema)
+
+
+def packed_rows(intervals: DataFrame, keys: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
+    """intervals of each of keys with row: the first line of a drawing in which each fits, in
+    order of start."""
+    from ..functions.kernels import pack_rows
+    from .grouped import map_groups
+
+    types = {f.name: f.dataType.simpleString() for f in intervals.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {start} long, {end} long, row int"
+
+    def run(group: tuple, c: dict) -> list[tuple]:
+        spans = list(zip(c[start].tolist(), c[end].tolist()))
+        return [(*group, *s, r) for s, r in zip(spans, pack_rows(spans, gap))]
+
+    return map_groups(intervals.select(*keys, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end)), keys, [start, end], run, schema)
+
+
+def read_context(reads: DataFrame, genome: DataFrame, size: int = 20) -> DataFrame:
+    """reads (chrom, strand, three_prime, ...) with context: the genome's bases behind the 3'
+    end along the strand; distinct ends meet the genome once."""
+    keys = ["chrom", "strand", "three_prime"]
+    sites = reads.select(*keys).distinct().join(genome.select("chrom", F.col("seq").alias("__g")), "chrom")
+    known = sites.select(*keys, S.downstream(F.col("__g"), F.col("three_prime").cast("int"), F.col("strand"), size).alias("context"))
+    return reads.join(known, keys, "left")

@@ -113,3 +113,19 @@ def homopolymer_penalties(runs: DataFrame) -> DataFrame:
     that happens once in a hundred."""
     g = runs.groupBy("base", "length").agg(F.count(F.lit(1)).alias("n"), ((F.count_if("deleted") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias("rate"))
     return g.withColumn("penalty", -F.log("rate") / F.lit(-math.log(0.01)))
+
+
+def cluster_genes(assigned: DataFrame, keys: list[str], cluster: str = "cluster_id") -> DataFrame:
+    """assigned: keys of a cluster, gene_id (null: none), n. keys, attribution, primary_gene (most
+    reads, then the first; none if there is no gene), primary_fraction (of the reads with a
+    gene, to three decimals; 1 if there is none), n_intergenic."""
+    n = assigned.groupBy(*keys, "gene_id").agg(F.sum("n").alias("n"))
+    genic = F.col("gene_id").isNotNull()
+    best = n.groupBy(*keys).agg(
+        F.min_by("gene_id", F.when(genic, F.struct((-F.col("n")).alias("n"), "gene_id"))).alias("primary_gene"),
+        F.max(F.when(genic, F.col("n"))).alias("__top"), F.sum(F.when(genic, F.col("n"))).alias("__genic"), F.coalesce(F.sum(F.when(~genic, F.col("n"))), F.lit(0)).alias("n_intergenic"),
+    )
+    named = n.withColumn("__key", F.struct(*keys)).withColumn("genes", F.when(genic, F.array("gene_id")).otherwise(F.array().cast("array<string>")))
+    text = attribution_string(named, "__key").select("__key.*", "attribution")
+    shown = best.select(*keys, F.coalesce("primary_gene", F.lit("none")).alias("primary_gene"), F.coalesce(F.round(F.col("__top") / F.col("__genic"), 3), F.lit(1.0)).alias("primary_fraction"), "n_intergenic")
+    return shown.join(text, keys)

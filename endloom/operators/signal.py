@@ -75,3 +75,43 @@ def proportional_split(sites: DataFrame, unsure: DataFrame, keys: list[str], val
     w = Window.partitionBy(*keys)
     joined = sites.withColumn("__total", F.sum(value).over(w)).join(unsure.select(*keys, ambiguous), keys, "left")
     return joined.withColumn("assigned", F.col(value) + F.coalesce(ambiguous, F.lit(0)) * F.col(value) / F.col("__total")).drop("__total", ambiguous)
+
+
+def scaled_profile(loci: DataFrame, signal: DataFrame, keys: list[str], pos: str, value: str, upstream: int, downstream: int, width: int = 20, least: float = 0.0, normalise: bool = True) -> DataFrame:
+    """column, mean, sem, n over loci (keys, start, end, both inclusive): the bases upstream, the
+    body drawn out or together to ``width`` columns by linear interpolation, the bases
+    downstream, along the strand (columns -upstream to width + downstream - 1).
+
+    Loci with less signal than ``least`` in their columns go; normalise: each locus counts as
+    shares of its own signal. A column is a weighted sum of at most two positions, so no
+    locus, however long, is gathered."""
+    locus = [*keys, "start", "end"]
+    each = loci.select(*locus).distinct().where("end >= start").withColumn("__n", (F.col("end") - F.col("start") + 1).cast("long"))
+    n = F.col("__n")
+    cell = lambda column, place, weight: F.struct(column.cast("int").alias("column"), place.cast("long").alias("place"), weight.cast("double").alias("weight"))
+    at = lambda o: o * (n - 1) / max(width - 1, 1)
+    body = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda o: F.when(n == 1, F.array(cell(o, F.lit(0), F.lit(1 / width)))).otherwise(F.array(cell(o, F.floor(at(o)), 1 - (at(o) - F.floor(at(o)))), cell(o, F.least(F.floor(at(o)) + 1, n - 1), at(o) - F.floor(at(o))))))
+    parts = [F.flatten(body)]
+    if upstream:
+        parts.append(F.transform(F.sequence(F.lit(-upstream), F.lit(-1)), lambda i: cell(i, i, F.lit(1.0))))
+    if downstream:
+        parts.append(F.transform(F.sequence(F.lit(0), F.lit(downstream - 1)), lambda i: cell(i + width, n + i, F.lit(1.0))))
+    cells = each.withColumn("__c", F.explode(F.concat(*parts)))
+    place = F.when(F.col("strand") == "+", F.col("start") + F.col("__c.place")).otherwise(F.col("end") - F.col("__c.place"))
+    summed = signal.groupBy(*keys, pos).agg(F.sum(value).cast("double").alias("__v"))
+    hit = cells.withColumn(pos, place).join(summed, [*keys, pos], "left")
+    columns = hit.groupBy(*locus, F.col("__c.column").alias("column")).agg(F.sum(F.col("__c.weight") * F.coalesce("__v", F.lit(0.0))).alias("v"))
+    own = columns.withColumn("__t", F.sum("v").over(Window.partitionBy(*locus))).where(F.col("__t") >= least)
+    if normalise:
+        own = own.withColumn("v", F.when(F.col("__t") > 0, F.col("v") / F.col("__t")).otherwise(0.0))
+    return own.groupBy("column").agg(F.avg("v").alias("mean"), (F.stddev_pop("v") / F.sqrt(F.count(F.lit(1)))).alias("sem"), F.count(F.lit(1)).alias("n"))
+
+
+def strand_check(loci: DataFrame, signal: DataFrame, keys: list[str], center: str, pos: str, value: str, radius: int, most: int = 2) -> DataFrame:
+    """One row: the offset of the highest mean on either strand (the lowest of equals), and
+    whether they differ by at most ``most``, as they should where coordinates are right."""
+    peaks = []
+    for strand, name in (("+", "plus"), ("-", "minus")):
+        m = metagene(loci.where(F.col("strand") == strand), signal, keys, center, pos, value, radius)
+        peaks.append(m.agg(F.max_by("offset", F.struct(F.col("mean"), -F.col("offset"))).alias(name)))
+    return peaks[0].crossJoin(F.broadcast(peaks[1])).withColumn("agree", F.coalesce(F.abs(F.col("plus") - F.col("minus")) <= most, F.lit(True)))

@@ -159,3 +159,42 @@ def flanks(sites: DataFrame, genome: DataFrame, upstream: int = 100, downstream:
     left = S.window(F.col("__g"), (F.col("position") - upstream).cast("int"), (F.col("position") + downstream).cast("int"))
     right = S.revcomp(S.window(F.col("__g"), (F.col("position") - downstream + 1).cast("int"), (F.col("position") + upstream + 1).cast("int")))
     return j.withColumn("flank", F.when(plus, left).otherwise(right)).where(F.length("flank") >= least * (upstream + downstream)).drop("__g")
+
+
+def set_enrichment(chosen: DataFrame, universe: DataFrame, sets: DataFrame, gene: str = "gene_id", term: str = "go_id", smallest: int = 3, largest: int = 500) -> DataFrame:
+    """term, hit, marked, expected, fold, p, padj (one-sided Fisher tests) of the sets (term,
+    gene) that have smallest to largest genes of the universe. Sets without a hit are tested,
+    as they count for padj, but not shown."""
+    genes = universe.select(gene).distinct()
+    picked = chosen.select(gene).distinct().join(genes, gene, "left_semi").withColumn("__in", F.lit(1))
+    total = genes.join(picked, gene, "left").agg(F.count(F.lit(1)).alias("total"), F.count("__in").alias("drawn"))
+    members = sets.select(term, gene).distinct().join(genes, gene, "left_semi").join(picked, gene, "left")
+    sizes = members.groupBy(term).agg(F.count(F.lit(1)).alias("marked"), F.count("__in").alias("hit")).where(F.col("marked").between(smallest, largest))
+    tested = fisher_greater(sizes.crossJoin(F.broadcast(total)), "hit", "drawn", "marked", "total").withColumn("p", F.round("p", 10))
+    expected = F.col("drawn") * F.col("marked") / F.col("total")
+    out = benjamini_hochberg(tested, "p", term).withColumns({"expected": expected, "fold": F.when(expected > 0, F.col("hit") / expected)})
+    return out.where("hit > 0").select(term, "hit", "marked", "expected", "fold", "p", "padj")
+
+
+def sample_linkage(counts: DataFrame, most: int = 2000) -> DataFrame:
+    """step, a, b, height, size: the merges of samples by average linkage of one less their
+    correlation. Clusters are named by their first sample. Of at most ``most`` samples, the
+    matrix of pairs reaches the driver."""
+    names = [r["sample"] for r in counts.select("sample").distinct().orderBy("sample").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError("too many samples for a dense matrix of distances")
+    at = {n: i for i, n in enumerate(names)}
+    d = np.full((len(names), len(names)), np.inf)
+    for r in sample_correlation(counts).collect():
+        d[at[r["a"]], at[r["b"]]] = d[at[r["b"]], at[r["a"]]] = 1.0 if r["r"] is None else 1 - r["r"]
+    size, rows = np.ones(len(names)), []
+    for step in range(len(names) - 1):
+        a, b = divmod(int(np.argmin(d)), len(names))
+        a, b = min(a, b), max(a, b)
+        height = float(d[a, b])
+        rows.append((step, names[a], names[b], height, int(size[a] + size[b])))
+        d[a] = np.where(np.isinf(d[a]) | np.isinf(d[b]), np.inf, (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b]))
+        d[:, a] = d[a]
+        d[a, a] = d[b] = d[:, b] = np.inf
+        size[a] += size[b]
+    return counts.sparkSession.createDataFrame(rows, "step int, a string, b string, height double, size int")

@@ -96,11 +96,26 @@ def read_paf(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split("value", "\t")
     cs = F.regexp_extract("value", r"\tcs:Z:([^\t]*)", 1)
     get = lambda i: F.get(cells, F.lit(i))
-    rows = spark.read.text(path).where(F.size(cells) >= 12).select(get(0).alias("name"), get(4).alias("strand"), get(5).alias("chrom"), get(7).try_cast("long").alias("start"), get(8).try_cast("long").alias("end"), get(11).try_cast("int").alias("mapq"), cs_to_cigar(cs).alias("cigar"))
+    rows = spark.read.text(path).where(F.size(cells) >= 12).select(get(0).alias("name"), get(4).alias("strand"), get(5).alias("chrom"), get(7).try_cast("long").alias("start"), get(8).try_cast("long").alias("end"), get(11).try_cast("int").alias("mapq"), cs_to_cigar(cs).alias("cigar"), get(2).try_cast("long").alias("q_before"), (get(1).try_cast("long") - get(3).try_cast("long")).alias("q_after"))
     w = Window.partitionBy("name").orderBy(F.col("mapq").desc(), (F.col("end") - F.col("start")).desc(), "chrom", "start")
     return rows.withColumn("is_primary", F.row_number().over(w) == 1)
 
 
+def paf_records(paf: DataFrame, reads: DataFrame) -> DataFrame:
+    """Records of SCHEMA's columns from read_paf() rows and their reads (name, seq, quals):
+    reverse strand 16, secondary 256; bases outside the alignment are soft-clipped where the
+    PAF row says how many."""
+    minus = F.col("strand") == "-"
+    r = paf.join(reads.select("name", "seq", "quals"), "name", "left")
+    flag = F.when(minus, 16).otherwise(0) + F.when(F.col("is_primary"), 0).otherwise(256)
+    seq = F.when(minus, S.revcomp(F.col("seq"))).otherwise(F.col("seq"))
+    quals = F.when(minus, F.reverse("quals")).otherwise(F.col("quals"))
+    left, right = F.when(minus, F.col("q_after")).otherwise(F.col("q_before")), F.when(minus, F.col("q_before")).otherwise(F.col("q_after"))
+    clip = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
+    cigar = F.concat(clip(left), F.col("cigar"), clip(right))
+    return r.select("name", flag.cast("int").alias("flag"), "chrom", "start", "mapq", cigar.alias("cigar"), F.coalesce(seq, F.lit("*")).alias("seq"), F.coalesce(quals, F.lit("*")).alias("quals"), F.expr("CAST(map() AS map<string,string>)").alias("tags"))
+
+
 _SEQ = "=ACMGRSVTWYHKDBN"
 _OPS = "MIDNSHP=X"
 
