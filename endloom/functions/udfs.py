@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -22,6 +23,59 @@ def affine_cigar(query: pd.Series, target: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["score", "cigar"])
 
 
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a batch of strings and where each begins (with the end); nulls are empty."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(data) else np.empty(0, np.uint8)
+    return raw, offsets - offsets[0]
+
+
+@F.arrow_udf(DoubleType())
+def max_richness(seq: pa.Array) -> pa.Array:
+    """The greatest share of As in ten bases, as ``sequence.max_richness`` gives it: one
+    running sum over a whole batch."""
+    raw, offsets = _bytes(seq)
+    sums = np.concatenate([[0], np.cumsum(raw == 0x41)])
+    n = np.diff(offsets)
+    share = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1)
+    long = np.flatnonzero(n > 10)
+    if len(long):
+        window = np.append(sums[10:] - sums[:-10], 0)
+        edges = np.stack([offsets[long], offsets[long + 1] - 9], axis=1).reshape(-1)
+        share[long] = np.maximum.reduceat(window, edges)[::2] / 10
+    return pa.array(share, mask=np.asarray(seq.is_null()))
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))
+def cigar_junctions(start: pa.Array, cigar: pa.Array) -> pa.Array:
+    """The skipped stretches of alignments, as ``sequence.junctions`` gives them: the CIGARs of a
+    batch are read as one array of bytes."""
+    raw, offsets = _bytes(cigar)
+    at = np.flatnonzero(raw > 0x39)  # operations stand behind digits
+    first = np.searchsorted(at, offsets)
+    begin = np.append(0, at[:-1] + 1) if len(at) else at
+    begin[first[:-1][np.diff(first) > 0]] = offsets[:-1][np.diff(first) > 0]
+    # Digit k before its operation counts 10 ** (k - 1): whole columns of digits at a time.
+    size = np.zeros(len(at), np.int64)
+    for k in range(1, int((at - begin).max(initial=0)) + 1):
+        has = np.flatnonzero(at - begin >= k)
+        size[has] += (raw[at[has] - k].astype(np.int64) - 0x30) * 10 ** (k - 1)
+    op = raw[at]
+    moves = np.where(np.isin(op, np.frombuffer(b"MDN=X", np.uint8)), size, 0)
+    ends = np.cumsum(moves)
+    row = np.repeat(np.arange(len(cigar)), np.diff(first))
+    base = np.concatenate([[0], ends])[first[:-1]]
+    origin = np.asarray(start.fill_null(0).cast(pa.int64()))
+    stop = origin[row] + ends - base[row]
+    skip = np.flatnonzero(op == 0x4E)
+    pairs = pa.StructArray.from_arrays([pa.array(stop[skip] - size[skip]), pa.array(stop[skip])], names=["start", "end"])
+    bounds = np.searchsorted(row[skip], np.arange(len(cigar) + 1)).astype(np.int32)
+    none = np.asarray(start.is_null()) | np.asarray(cigar.is_null())
+    return pa.ListArray.from_arrays(pa.array(bounds, mask=np.append(none, False)), pairs)
+
+
 @F.pandas_udf(ArrayType(StructType([StructField("offset", IntegerType()), StructField("share", DoubleType())])))
 def nnls_deconvolve(signal: pd.Series, psf: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or p is None else [{"offset": o, "share": f} for o, f in K.deconvolve(np.asarray(s, float), np.asarray(p, float))] for s, p in zip(signal, psf)])
@@ -76,5 +130,5 @@ def reclip(cigar: pd.Series, start: pd.Series, strand: pd.Series, end: pd.Series
 
 def register(spark: SparkSession) -> None:
     """Make the UDFs callable from SQL by their names."""
-    for f in (hp_edit_distance, affine_cigar, nnls_deconvolve, motif_scan, tail_adapter, walk_back, polya_boundary, reclip, deconvolved_region):
+    for f in (hp_edit_distance, affine_cigar, nnls_deconvolve, motif_scan, tail_adapter, walk_back, polya_boundary, reclip, deconvolved_region, max_richness, cigar_junctions):
         spark.udf.register(f.func.__name__, f)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sequence as S
+from ..functions.udfs import cigar_junctions
 from .intervals import band_match
 
 JKEYS = ["chrom", "strand", "j_start", "j_end"]
@@ -14,7 +15,7 @@ JKEYS = ["chrom", "strand", "j_start", "j_end"]
 
 def read_junctions(reads: DataFrame, start: str = "position", cigar: str = "cigar", keep: list[str] = ()) -> DataFrame:
     """One row for each skipped stretch of each read: chrom, strand, kept columns, j_start, j_end."""
-    found = reads.select("chrom", "strand", *keep, F.explode(S.junctions(F.col(start), S.cigar_ops(F.col(cigar)))).alias("j"))
+    found = reads.select("chrom", "strand", *keep, F.explode(cigar_junctions(start, cigar)).alias("j"))
     return found.select("chrom", "strand", *keep, F.col("j.start").alias("j_start"), F.col("j.end").alias("j_end"))
 
 

@@ -70,7 +70,7 @@ FROM v
 
 
 def richness(s, d) -> DataFrame:
-    return dna(s, d).select("doc_id", F.round(S.max_richness(F.col("seq")), 6).alias("richness"), S.has_adapter(F.col("seq")).alias("adapter"))
+    return dna(s, d).select("doc_id", F.round(U.max_richness("seq"), 6).alias("richness"), S.has_adapter(F.col("seq")).alias("adapter"))
 
 
 _RICH = _DNA + """
@@ -169,7 +169,7 @@ SELECT is_full_length, count(*) AS n, round(avg(c), 6) AS confidence FROM f GROU
 
 
 def tail_training(s, d) -> DataFrame:
-    q = dna(s, d).select(S.max_richness(F.col("seq")).alias("richness"), F.length("seq").alias("length"))
+    q = dna(s, d).select(U.max_richness("seq").alias("richness"), F.length("seq").alias("length"))
     t = G.tail_training(q)
     return t.select("n", *[F.round(c, 6).alias(c) for c in ("mean_richness", "sd_richness", "mean_length", "threshold")])
 

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from endloom.functions import sequence as S
+from endloom.functions import udfs as U
 from endloom.operators import clustering as C
 from endloom.operators import evidence as E
 from endloom.operators import genes as G
@@ -133,3 +135,16 @@ def test_adaptive_clusters_and_centroids_of_frames(spark):
     pairs = spark.createDataFrame([("c", 1, 50), ("c", 3, 52), ("c", 20, 70), ("d", 2, 50)], "chrom string, s long, e long")
     assert {tuple(r) for r in C.centroid_dedup(pairs, ["chrom"], "s", "e").collect()} == {("c", 2, 51, 2), ("c", 20, 70, 1), ("d", 2, 50, 1)}
     assert pairs.agg(F.count(F.lit(1))).first()[0] == 4
+
+
+def test_batch_kernels_agree_with_columns(spark):
+    rng = random.Random(12)
+    rows = [(None, "5M"), (3, None), (7, "*"), (0, ""), (5, "12N")] + [(rng.randint(0, 10**6), "".join(f"{rng.randint(1, 12000)}{rng.choice('MIDNSHP=X')}" for _ in range(rng.randint(1, 9)))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "start long, cigar string").where("start IS NOT NULL AND cigar IS NOT NULL")
+    both = df.select(S.junctions(F.col("start"), S.cigar_ops(F.col("cigar"))).alias("a"), U.cigar_junctions("start", "cigar").alias("b"))
+    assert both.where("NOT a <=> b").count() == 0 and both.where("size(b) > 0").count() > 100
+    odd = spark.createDataFrame(rows[:4], "start long, cigar string").select(U.cigar_junctions("start", "cigar").alias("b")).collect()
+    assert [r["b"] for r in odd] == [None, None, [], []]
+    texts = [("".join(rng.choice("AAACGT") for _ in range(rng.randint(0, 40))),) for _ in range(200)] + [("",), ("A" * 10,), ("C" * 300 + "A" * 9,)]
+    seqs = spark.createDataFrame(texts, "seq string").select(S.max_richness(F.col("seq")).alias("a"), U.max_richness("seq").alias("b"))
+    assert seqs.where("abs(a - b) > 1e-12").count() == 0
