@@ -17,6 +17,16 @@ def hp_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else K.homopolymer_edit_distance(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def hp_edit_distance_by(penalties: dict[str, dict[int, float]]):
+    """hp_edit_distance whose gaps cost what a table says (``operators.netseq.penalty_table``)."""
+
+    @F.pandas_udf(DoubleType())
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else K.homopolymer_edit_distance(x, y, penalties) for x, y in zip(a, b)], dtype="float64")
+
+    return distance
+
+
 @F.pandas_udf(StructType([StructField("score", IntegerType()), StructField("cigar", StringType())]))
 def affine_cigar(query: pd.Series, target: pd.Series) -> pd.DataFrame:
     rows = [(None, None) if x is None or y is None else K.affine_align(x, y) for x, y in zip(query, target)]

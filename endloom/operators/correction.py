@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sequence as S
-from ..functions.udfs import hp_edit_distance
+from ..functions.udfs import hp_edit_distance, hp_edit_distance_by
 
 
 def _query_before(ops: Column, n: Column) -> Column:
@@ -106,14 +106,15 @@ def canonical_tier(five: Column, three: Column) -> Column:
     return F.when((five == "GT") & (three == "AG"), 0).when((five == "GC") & (three == "AG"), 1).when((five == "AT") & (three == "AC"), 2).when((five == "GT") | (three == "AG"), 3).otherwise(4)
 
 
-def refine_junctions(reads: DataFrame, pool: DataFrame, genome: DataFrame, radius: int = 10, flank: int = 12) -> DataFrame:
+def refine_junctions(reads: DataFrame, pool: DataFrame, genome: DataFrame, radius: int = 10, flank: int = 12, penalties: dict[str, dict[int, float]] | None = None) -> DataFrame:
     """The best candidate for each junction of each read: read_id, chrom, strand, j_start,
     j_end, new_start, new_end.
 
     reads: read_id, chrom, strand, j_start, j_end, before, after (query flanks); pool:
     chrom, strand, p_start, p_end, annotated. Candidates have both ends within radius of the
     read's; the read's own junction is always one. Score: homopolymer-aware distance of the
-    query's flanks to the exon ends. Where the current junction is canonical it wins ties,
+    query's flanks to the exon ends, with gaps in runs by a table of penalties where one is
+    given. Where the current junction is canonical it wins ties,
     else canonical candidates win with a discount of one half.
     """
     own = reads.select("chrom", "strand", F.col("j_start").alias("p_start"), F.col("j_end").alias("p_end"), F.lit(False).alias("annotated"))
@@ -126,7 +127,8 @@ def refine_junctions(reads: DataFrame, pool: DataFrame, genome: DataFrame, radiu
     binned = sites.withColumn("bin", F.explode(F.array(*[F.floor(F.col("p_start") / radius) + k for k in (-1, 0, 1)])))
     q = reads.withColumn("bin", F.floor(F.col("j_start") / radius))
     pairs = q.join(binned, ["chrom", "strand", "bin"]).where((F.abs(F.col("p_start") - F.col("j_start")) <= radius) & (F.abs(F.col("p_end") - F.col("j_end")) <= radius))
-    scored = pairs.withColumn("score", hp_edit_distance(F.substring("before", -flank, flank), "exon1") + hp_edit_distance(F.substring("after", 1, flank), "exon2"))
+    distance = hp_edit_distance if penalties is None else hp_edit_distance_by(penalties)
+    scored = pairs.withColumn("score", distance(F.substring("before", -flank, flank), "exon1") + distance(F.substring("after", 1, flank), "exon2"))
     mine = (F.col("p_start") == F.col("j_start")) & (F.col("p_end") == F.col("j_end"))
     w = Window.partitionBy("read_id", "chrom", "strand", "j_start", "j_end")
     current = F.max(F.when(mine, F.col("tier"))).over(w)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..operators import chimeric as H
 from ..operators import clustering as C
 from ..operators import correction as R
 from ..operators import evidence as E
@@ -317,7 +318,29 @@ def chromosome_names(s, d) -> DataFrame:
     return normalise_yeast(n)
 
 
+def chimeric_stitch(s, d) -> DataFrame:
+    """Each read in two versions, one of which clips the last exon: the stitched one has it."""
+    name = F.concat_ws("/", "read_id", "line", "position", "cigar")
+    r = reads(s, d).select(name.alias("read_id"), *KEYS, F.col("position").alias("start"), "cigar").distinct().withColumn("known", F.expr("CAST(array() AS array<string>)"))
+    tail = F.regexp_extract("cigar", "N8M([0-9]+)S$", 1).cast("int") + 8
+    short = r.withColumn("cigar", F.concat(F.regexp_replace("cigar", "[0-9]+N8M[0-9]+S$", ""), tail.cast("string"), F.lit("S")))
+    both = r.withColumn("aligner", F.lit("a")).unionByName(short.withColumn("aligner", F.lit("b")))
+    return H.stitch_reads(both).select("read_id", F.concat("chrom", "strand").alias("place"), "start", "cigar", "aligners", "n_segments")
+
+
+def junction_refine(s, d) -> DataFrame:
+    """Junctions that were read off by up to two bases, brought back by the bases beside them.
+    Documents of 200 letters or more are the chromosomes."""
+    g = dna_reads(s, d).select(F.col("doc_id").cast("string").alias("chrom"), "seq", "doc_id").where(F.length("seq") >= 200)
+    off = (F.col("doc_id") % 5 - 2).cast("long")
+    r = g.select(F.col("chrom").alias("read_id"), "chrom", F.lit("+").alias("strand"), (60 + off).alias("j_start"), (140 + off).alias("j_end"), F.substring("seq", 41, 20).alias("before"), F.substring("seq", 141, 20).alias("after"))
+    pool = g.select("chrom", F.lit("+").alias("strand"), F.lit(60).cast("long").alias("p_start"), F.lit(140).cast("long").alias("p_end"), F.lit(True).alias("annotated"))
+    return R.refine_junctions(r, pool, g).select("read_id", "j_start", "new_start", "new_end")
+
+
 QUERIES = {
+    "chimeric_stitch": (chimeric_stitch, _WITH + " SELECT DISTINCT read_id || '/' || line || '/' || position || '/' || cigar AS read_id, chrom || strand AS place, position AS start, regexp_replace(cigar, 'M0S$', 'M') AS cigar, 'a' AS aligners, CAST(1 AS INT) AS n_segments FROM reads"),
+    "junction_refine": (junction_refine, None),
     "reference_refine": (reference_refine, _REFINE),
     "region_deconvolution": (region_deconvolution, None),
     "sampled_assignment": (sampled_assignment, None),
