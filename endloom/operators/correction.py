@@ -162,6 +162,36 @@ def rescue_five_prime(reads: DataFrame, known: DataFrame, genome: DataFrame, rea
     return scored.groupBy("read_id").agg(F.min(key).alias("k")).select("read_id", F.col("k.five_prime").alias("five_prime"), F.col("k.k_start").alias("intron_start"), F.col("k.k_end").alias("intron_end"), F.col("k.distance").alias("distance"))
 
 
+def five_prime_cases(reads: DataFrame, known: DataFrame, genome: DataFrame, reach: int = 10, least: int = 4) -> DataFrame:
+    """reads (read_id, chrom, strand, start, end, clip, junctions) with five_prime, the 5' end
+    (inclusive), intron_start, intron_end and kind.
+
+    softclip: the clip continues in the exon beyond a known junction (``rescue_five_prime``).
+    intronic_snap: else, an end inside a known intron that none of the read's own junctions
+    spans moves to the intron's other edge, the last base of the exon before it. proximity:
+    else, an end within reach of a known 3' splice site keeps its place, and the junction is
+    named. none: all others. Of several introns the lowest start, then end, counts."""
+    from .intervals import point_in_interval
+
+    plus = F.col("strand") == "+"
+    five = S.five_prime(F.col("start"), F.col("end"), F.col("strand"))
+    own = reads.withColumn("__five", five)
+    introns = known.select("chrom", "strand", "k_start", "k_end").distinct()
+    first = rescue_five_prime(reads.drop("junctions"), introns, genome, reach, least).select("read_id", F.struct("five_prime", "intron_start", "intron_end").alias("__a"))
+    least_of = lambda df, name: df.groupBy("read_id").agg(F.min(F.struct("k_start", "k_end")).alias(name))
+    spanned = F.exists("junctions", lambda j: (j["start"] <= F.col("__five")) & (F.col("__five") < j["end"]))
+    inside = point_in_interval(own.where(~spanned).select("read_id", "chrom", "strand", "__five"), introns, ["chrom", "strand"], "__five", "k_start", "k_end", half_open=True)
+    edge = own.withColumn("__edge", F.when(plus, F.col("start")).otherwise(F.col("end"))).withColumn("__bin", F.floor(F.col("__edge") / reach))
+    sites = introns.withColumn("__near", F.when(plus, F.col("k_end")).otherwise(F.col("k_start"))).withColumn("__bin", F.explode(F.array(*[F.floor(F.col("__near") / reach) + i for i in (-1, 0, 1)])))
+    close = edge.select("read_id", "chrom", "strand", "__edge", "__bin").join(sites, ["chrom", "strand", "__bin"]).where(F.abs(F.col("__near") - F.col("__edge")) <= reach)
+    out = own.join(first, "read_id", "left").join(least_of(inside, "__b"), "read_id", "left").join(least_of(close, "__c"), "read_id", "left")
+    snapped = F.when(plus, F.col("__b.k_start") - 1).otherwise(F.col("__b.k_end"))
+    kind = F.when(F.col("__a").isNotNull(), "softclip").when(F.col("__b").isNotNull(), "intronic_snap").when(F.col("__c").isNotNull(), "proximity").otherwise("none")
+    return out.withColumns(
+        {"five_prime": F.coalesce(F.col("__a.five_prime").cast("long"), snapped, F.col("__five").cast("long")), "intron_start": F.coalesce("__a.intron_start", "__b.k_start", "__c.k_start"), "intron_end": F.coalesce("__a.intron_end", "__b.k_end", "__c.k_end"), "kind": kind}
+    ).drop("__five", "__a", "__b", "__c")
+
+
 def effective_clip(errors: Column, clip: Column, scan: int = 25, size: int = 8, density: float = 0.4, least: int = 2) -> Column:
     """Clipped bases plus the error-rich stretch behind them. errors: array of 0/1 for the
     first aligned bases from the 5' end. Windows step inwards while so dense; the stretch ends

@@ -112,3 +112,18 @@ def test_clip_rescue_against_brute_force_on_both_strands(spark):
     assert got == want and {k for _, k in got.values()} == {None, "homopolymer", "prefix"}
     for r in out:
         assert r["rescued"] - r["three_prime"] == (r["rescued_bases"] if r["strand"] == "+" else -r["rescued_bases"])
+
+
+def test_five_prime_cases(spark):
+    n = len(GENOME)
+    known = spark.createDataFrame([("c", "+", 10, 28), ("m", "-", n - 28, n - 10)], "chrom string, strand string, k_start long, k_end long")
+    g = spark.createDataFrame([("c", GENOME), ("m", K.reverse_complement(GENOME))], "chrom string, seq string")
+    junction = "array<struct<start:bigint,end:bigint>>"
+    plus = [("clip", 28, 40, GENOME[4:10], []), ("inside", 20, 40, "", []), ("spans", 20, 60, "", [(15, 30)]), ("near", 31, 40, "", []), ("far", 45, 60, "", [])]
+    rows = [(f"+{k}", "c", "+", a, b, clip, j) for k, a, b, clip, j in plus]
+    rows += [(f"-{k}", "m", "-", n - b, n - a, K.reverse_complement(clip), [(n - y, n - x) for x, y in j]) for k, a, b, clip, j in plus]
+    out = {r["read_id"]: (r["five_prime"], r["kind"], r["intron_start"]) for r in C.five_prime_cases(spark.createDataFrame(rows, f"read_id string, chrom string, strand string, start long, end long, clip string, junctions {junction}"), known, g).collect()}
+    want = {"clip": (4, "softclip", 10), "inside": (9, "intronic_snap", 10), "spans": (20, "proximity", 10), "near": (31, "proximity", 10), "far": (45, "none", None)}
+    assert {k[1:]: v for k, v in out.items() if k[0] == "+"} == want
+    assert {k[1:]: v[0] for k, v in out.items() if k[0] == "-"} == {k: n - 1 - v[0] for k, v in want.items()}
+    assert {k[1:]: v[1] for k, v in out.items() if k[0] == "-"} == {k: v[1] for k, v in want.items()}
