@@ -26,11 +26,12 @@ def kept(cache: dict) -> dict:
     return cache
 
 
-def release() -> None:
-    """Gives back what earlier tasks of this worker keep: other operators' caches, Arrow's
-    pool and the free pages of the C library."""
+def release(but: dict | None = None) -> None:
+    """Gives back what earlier tasks of this worker keep: other operators' caches (all but
+    one that the caller goes on with), Arrow's pool and the free pages of the C library."""
     for cache in _caches:
-        cache.clear()
+        if cache is not but:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

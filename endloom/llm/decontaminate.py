@@ -179,7 +179,7 @@ class SuffixAutomaton:
 
 
 #: The automaton that this Python worker built last.
-_built: dict[tuple[str, int], SuffixAutomaton] = {}
+_built: dict[tuple[str, int], SuffixAutomaton] = buffers.kept({})
 
 
 class Shard:
@@ -218,7 +218,7 @@ _SCAN_DDL = "doc_id long, row_hash long, n_words long, spans array<array<long>>,
 
 def _scan(docs: DataFrame, shard: Shard, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffers.release()
+        buffers.release(_built)
         automaton = shard.automaton(window)
         for batch in batches:
             out: dict[str, list] = {name: [] for name in _SCAN.names}
