@@ -127,6 +127,16 @@ def walk_back(cigar: pd.Series, read: pd.Series, genome: pd.Series, start: pd.Se
     return pd.Series(out, dtype="Int64")
 
 
+@F.pandas_udf(LongType())
+def mismatch_in_run(cigar: pd.Series, read: pd.Series, genome: pd.Series, start: pd.Series, strand: pd.Series, outside: pd.Series) -> pd.Series:
+    """genome: the reference from start on; outside: from the mapped 3' end on, along the strand."""
+    out = []
+    for c, r, g, at, d, o in zip(cigar, read, genome, start, strand, outside):
+        ok = not any(x is None or x is pd.NA for x in (c, r, g, d, o)) and at == at
+        out.append(K.mismatch_in_run([(k, int(n)) for n, k in K.CIGAR.findall(c)], r, g, int(at), d, o) if ok else None)
+    return pd.Series(out, dtype="Int64")
+
+
 @F.pandas_udf(IntegerType())
 def polya_boundary(seq: pd.Series, strand: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or d is None else K.polya_boundary(s, d) for s, d in zip(seq, strand)], dtype="Int32")
@@ -140,5 +150,5 @@ def reclip(cigar: pd.Series, start: pd.Series, strand: pd.Series, end: pd.Series
 
 def register(spark: SparkSession) -> None:
     """Make the UDFs callable from SQL by their names."""
-    for f in (hp_edit_distance, affine_cigar, nnls_deconvolve, motif_scan, tail_adapter, walk_back, polya_boundary, reclip, deconvolved_region, max_richness, cigar_junctions):
+    for f in (hp_edit_distance, affine_cigar, nnls_deconvolve, motif_scan, tail_adapter, walk_back, polya_boundary, reclip, deconvolved_region, max_richness, cigar_junctions, mismatch_in_run):
         spark.udf.register(f.func.__name__, f)

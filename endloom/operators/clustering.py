@@ -60,13 +60,20 @@ def cluster_fixed(positions: DataFrame, keys: list[str], pos: str = "position",
 
 
 def number(clusters: DataFrame, order: list[str], name: str = "cluster_id", prefix: str = "cluster_") -> DataFrame:
-    """Ids 0, 1, ... in the given order, padded to six digits. Ranks within the first key,
-    then adds the counts of the keys before, so no task sorts all clusters."""
-    first, rest = order[0], order[1:]
-    totals = clusters.groupBy(first).agg(F.count(F.lit(1)).alias("__n"))
-    before = totals.select(F.col(first), (F.sum("__n").over(Window.orderBy(first)) - F.col("__n")).alias("__base"))
-    rank = F.row_number().over(Window.partitionBy(first).orderBy(*rest)) - 1
-    return clusters.withColumn("__rank", rank).join(before, first).withColumn(name, F.concat(F.lit(prefix), F.lpad((F.col("__base") + F.col("__rank")).cast("string"), 6, "0"))).drop("__rank", "__base")
+    """Ids 0, 1, ... in the given order, whose last column is a position, padded to six digits.
+    Ranks within stretches, then adds the counts of the stretches before: one task takes one
+    row a stretch, none takes all clusters."""
+    *keys, pos = order
+    place = [*keys, "__wide"]
+    rows = in_stretches(clusters, pos)
+    totals = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("__n"))
+    before = totals.select(*(F.col(k).alias(f"__of_{k}") for k in place), (F.sum("__n").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__base"))
+    on = F.lit(True)
+    for k in place:
+        on &= F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy(pos)) - 1
+    ranked = rows.withColumn("__rank", rank).join(before, on)
+    return ranked.withColumn(name, F.concat(F.lit(prefix), F.lpad((F.col("__base") + F.col("__rank")).cast("string"), 6, "0"))).drop("__rank", "__base", "__wide", *(f"__of_{k}" for k in place))
 
 
 def anchored(batches: Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]], window: int) -> Iterator[tuple]:

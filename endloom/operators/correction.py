@@ -221,6 +221,22 @@ def tract_regions(positions: DataFrame, keys: list[str], pos: str, gap: int = 20
     return marked.groupBy(*keys, "__i").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.sum("count").alias("total")).where(F.col("total") >= least_total).drop("__i")
 
 
+def rescue_mismatches(reads: DataFrame, genome: DataFrame, least: int = 3) -> DataFrame:
+    """reads (read_id, chrom, strand, start, cigar, seq) with corrected: where an alignment that
+    was forced to its end stops inside a genomic run of at least ``least`` equal bases, the
+    read's first other base inwards is its 3' end. Others, and reads of a chromosome that the
+    genome lacks, keep theirs."""
+    from ..functions.udfs import mismatch_in_run
+
+    plus = F.col("strand") == "+"
+    r = reads.withColumn("__end", S.reference_end(F.col("start"), S.cigar_ops(F.col("cigar"))))
+    three = S.three_prime(F.col("start"), F.col("__end"), F.col("strand")).cast("int")
+    r = r.join(genome.select("chrom", F.upper("seq").alias("__all")), "chrom", "left")
+    ahead = F.when(plus, S.window(F.col("__all"), three, three + least)).otherwise(S.revcomp(S.window(F.col("__all"), three - least + 1, three + 1)))
+    r = r.withColumns({"__g": S.window(F.col("__all"), F.col("start").cast("int"), F.col("__end").cast("int")), "__out": F.when(F.length(ahead) == least, ahead).otherwise("")})
+    return r.withColumn("corrected", F.coalesce(mismatch_in_run("cigar", "seq", "__g", "start", "strand", "__out"), three.cast("long"))).drop("__all", "__g", "__out", "__end")
+
+
 def _common_prefix(a: Column, b: Column) -> Column:
     """How many first characters two strings share."""
     n = F.least(F.length(a), F.length(b))

@@ -127,3 +127,34 @@ def test_five_prime_cases(spark):
     assert {k[1:]: v for k, v in out.items() if k[0] == "+"} == want
     assert {k[1:]: v[0] for k, v in out.items() if k[0] == "-"} == {k: n - 1 - v[0] for k, v in want.items()}
     assert {k[1:]: v[1] for k, v in out.items() if k[0] == "-"} == {k: v[1] for k, v in want.items()}
+
+
+def _mismatched(columns, raw, run):
+    """Real columns (place, read, genome) from the end inwards."""
+    for place, r, g in columns:
+        if r != run:
+            return place
+        if g != run:
+            return raw
+    return raw
+
+
+def test_mismatches_in_runs_on_both_strands(spark):
+    rng = random.Random(41)
+    text = "".join(rng.choice("ACGT") * rng.choice([1, 1, 3, 7]) for _ in range(90))
+    n, rows, want = len(text), [], {}
+    for i in range(200):
+        end = rng.randint(30, n - 8)
+        body = list(text[end - 19 : end + 1])
+        for _ in range(rng.randint(0, 2)):
+            body[rng.randint(10, 19)] = rng.choice("ACGT")
+        read, outside = "".join(body), text[end : end + 3]
+        columns = [(end - k, read[-1 - k], text[end - k]) for k in range(20)]
+        want[i] = _mismatched(columns, end, outside[0]) if len(set(outside)) == 1 else end
+        rows.append((f"+{i}", "c", "+", end - 19, "20M", read))
+        rows.append((f"-{i}", "m", "-", n - 1 - end, "20M", K.reverse_complement(read)))
+    g = spark.createDataFrame([("c", text), ("m", K.reverse_complement(text))], "chrom string, seq string")
+    out = {r["read_id"]: r["corrected"] for r in C.rescue_mismatches(spark.createDataFrame(rows + [("x", "no", "+", 5, "4M", "ACGT")], "read_id string, chrom string, strand string, start long, cigar string, seq string"), g).collect()}
+    assert {i: out[f"+{i}"] for i in want} == want and out["x"] == 8
+    assert {i: n - 1 - out[f"-{i}"] for i in want} == want
+    assert sum(out[f"+{i}"] != rows[2 * i][3] + 19 for i in want) > 3
