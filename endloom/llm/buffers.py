@@ -29,9 +29,12 @@ def kept(cache: dict) -> dict:
 def release(but: dict | None = None) -> None:
     """Gives back what earlier tasks of this worker keep: other operators' caches (all but
     one that the caller goes on with), Arrow's pool and the free pages of the C library."""
+    global _pow, _inv
     for cache in _caches:
         if cache is not but:
             cache.clear()
+    if len(_pow) > 1 << 16:
+        _pow, _inv = _pow[: 1 << 16].copy(), _inv[: 1 << 16].copy()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

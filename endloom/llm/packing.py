@@ -48,6 +48,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
     named have no influence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for batch in batches:
             rows = []
             for i, ids in tokens.encoded(tokenizer_path, batch.column(1), special_as_text=special_as_text):

@@ -80,6 +80,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     ordered = base.repartitionByRange(parts, "doc_id", "row_hash").sortWithinPartitions("doc_id", "row_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         part, block = TaskContext.get().partitionId(), 0
         keys: list = []
         arrays: list[np.ndarray] = []

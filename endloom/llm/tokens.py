@@ -22,11 +22,11 @@ from . import buffers
 
 #: Most pieces that the cache of one worker holds. Beyond that only the third that came
 #: first stays, as frequent pieces come early.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 700_000
 #: New pieces that are encoded in one call.
 TOGETHER = 1000
 #: Bytes of text that are cut and joined at a time; longer texts are cut into parts.
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 5_000_000
 
 
 #: Lower-cases A-Z and makes every ASCII blank a space.
@@ -234,6 +234,11 @@ def _joined(parts: list[np.ndarray], dtype: np.dtype) -> tuple[np.ndarray, np.nd
 _encoders: dict[tuple[str, bool], Encoder] = buffers.kept({})
 
 
+def release() -> None:
+    """Gives back what tasks of other operators keep in this worker; encoders stay."""
+    buffers.release(_encoders)
+
+
 def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder for each file and Python worker, kept from task to task."""
     key = path, special_as_text
