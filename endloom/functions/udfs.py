@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import kernels as K
 
@@ -127,6 +127,19 @@ def walk_back(cigar: pd.Series, read: pd.Series, genome: pd.Series, start: pd.Se
     return pd.Series(out, dtype="Int64")
 
 
+_MISMATCH = StructType([StructField("position", LongType()), StructField("base", StringType()), StructField("in_homopolymer", BooleanType())])
+
+
+@F.pandas_udf(ArrayType(_MISMATCH))
+def mismatches(cigar: pd.Series, read: pd.Series, genome: pd.Series, start: pd.Series) -> pd.Series:
+    """genome: the reference from start on."""
+    out = []
+    for c, r, g, at in zip(cigar, read, genome, start):
+        ok = not any(x is None or x is pd.NA for x in (c, r, g)) and at == at
+        out.append([dict(zip(_MISMATCH.names, m)) for m in K.mismatches([(k, int(n)) for n, k in K.CIGAR.findall(c)], r, g, int(at))] if ok else None)
+    return pd.Series(out)
+
+
 @F.pandas_udf(LongType())
 def mismatch_in_run(cigar: pd.Series, read: pd.Series, genome: pd.Series, start: pd.Series, strand: pd.Series, outside: pd.Series) -> pd.Series:
     """genome: the reference from start on; outside: from the mapped 3' end on, along the strand."""
@@ -150,5 +163,5 @@ def reclip(cigar: pd.Series, start: pd.Series, strand: pd.Series, end: pd.Series
 
 def register(spark: SparkSession) -> None:
     """Make the UDFs callable from SQL by their names."""
-    for f in (hp_edit_distance, affine_cigar, nnls_deconvolve, motif_scan, tail_adapter, walk_back, polya_boundary, reclip, deconvolved_region, max_richness, cigar_junctions, mismatch_in_run):
+    for f in (hp_edit_distance, affine_cigar, nnls_deconvolve, motif_scan, tail_adapter, walk_back, polya_boundary, reclip, deconvolved_region, max_richness, cigar_junctions, mismatch_in_run, mismatches):
         spark.udf.register(f.func.__name__, f)

@@ -225,3 +225,15 @@ def read_context(reads: DataFrame, genome: DataFrame, size: int = 20) -> DataFra
     sites = reads.select(*keys).distinct().join(genome.select("chrom", F.col("seq").alias("__g")), "chrom")
     known = sites.select(*keys, S.downstream(F.col("__g"), F.col("three_prime").cast("int"), F.col("strand"), size).alias("context"))
     return reads.join(known, keys, "left")
+
+
+def read_mismatches(reads: DataFrame, genome: DataFrame) -> DataFrame:
+    """read_id, chrom, strand, position, base, in_homopolymer: the aligned bases of reads
+    (read_id, chrom, strand, start, cigar, seq) that differ from the genome, as
+    ``genes.variant_frequency``, ``mismatch_windows`` and ``junction_proximity`` take them."""
+    from ..functions.udfs import mismatches
+
+    r = reads.withColumn("__end", S.reference_end(F.col("start"), S.cigar_ops(F.col("cigar"))))
+    r = r.join(genome.select("chrom", F.upper("seq").alias("__all")), "chrom").withColumn("__g", S.window(F.col("__all"), F.col("start").cast("int"), F.col("__end").cast("int")))
+    found = r.select("read_id", "chrom", "strand", F.explode(mismatches("cigar", "seq", "__g", "start")).alias("m"))
+    return found.select("read_id", "chrom", "strand", "m.*")

@@ -237,3 +237,16 @@ def read_trim(spark: SparkSession, path: str) -> DataFrame:
     columns = [f.split()[0] for f in TRIM.split(", ")]
     best = t.select(*columns).groupBy("read_id").agg(F.max_by(F.struct(*columns[1:]), F.struct("polya_len", "trimmed_seq")).alias("r"))
     return best.select("read_id", "r.*")
+
+
+def default_mask(features: DataFrame, gap: int = 10_000) -> DataFrame:
+    """chrom, start, end (half open), reason of what analyses leave out, from GFF rows (chrom,
+    feature, start, end): the mitochondrion, and rRNA genes, those at most gap apart as one
+    array of repeats."""
+    from ..operators.intervals import merge_intervals
+
+    names = [n for n, to in yeast_names().items() if to in ("chrMito", *MITO_NAMES)]
+    mito = features.where(F.col("chrom").isin(names)).groupBy("chrom").agg(F.lit(0).cast("long").alias("start"), F.max("end").alias("end")).withColumn("reason", F.lit("mito"))
+    repeats = features.where(F.lower("feature").isin("rrna", "rrna_gene") & ~F.col("chrom").isin(names)).select("chrom", "start", "end")
+    rdna = merge_intervals(repeats, ["chrom"], "start", "end", gap).select("chrom", "start", "end", F.lit("rdna").alias("reason"))
+    return mito.select("chrom", "start", "end", "reason").unionByName(rdna)

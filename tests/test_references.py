@@ -160,3 +160,23 @@ def test_known_introns_of_a_gff(spark, tmp_path):
     (tmp_path / "a.gff").write_text("c1\tx\texon\t11\t20\t.\t+\t.\tParent=t1\nc1\tx\texon\t31\t50\t.\t+\t.\tParent=t1\n")
     assert [tuple(r) for r in references.known_junctions(spark, str(tmp_path / "a.gff")).collect()] == [("c1", "+", 20, 30)]
     assert annotation.read_introns(spark, str(tmp_path / "a.gff")).count() == 1
+
+
+def test_mismatches_feed_the_variant_table(spark):
+    from endloom.operators import genes
+
+    text = "ACGTAAAACGTN"
+    g = spark.createDataFrame([("c", text)], "chrom string, seq string")
+    rows = [(f"r{i}", "c", "+", 2, "3M1D4M2S", "GTA" + "ACCG" + "TT") for i in range(4)] + [("q", "c", "-", 0, "12M", "ACGTAATACGTA")]
+    found = E.read_mismatches(spark.createDataFrame(rows, "read_id string, chrom string, strand string, start long, cigar string, seq string"), g)
+    got = {(r["read_id"], r["position"], r["base"], r["in_homopolymer"]) for r in found.collect()}
+    assert got == {(f"r{i}", 7, "C", True) for i in range(4)} | {("q", 6, "T", True)}
+    depth = spark.createDataFrame([("c", 7, 5), ("c", 6, 1)], "chrom string, position long, depth long")
+    out = genes.variant_frequency(found.select("chrom", "position", "base"), depth, ["chrom", "position"], 3, 0.5).collect()
+    assert [(r["position"], r["base"]) for r in out] == [(7, "C")]
+
+
+def test_default_mask(spark):
+    rows = [("chrMito", "gene", 10, 90), ("chrMito", "rRNA", 95, 99), ("chrXII", "rRNA", 100, 200), ("chrXII", "rRNA_gene", 5000, 5100), ("chrXII", "rRNA", 90_000, 90_100), ("chrI", "gene", 1, 2)]
+    out = {tuple(r) for r in references.default_mask(spark.createDataFrame(rows, "chrom string, feature string, start long, end long")).collect()}
+    assert out == {("chrMito", 0, 99, "mito"), ("chrXII", 100, 5100, "rdna"), ("chrXII", 90_000, 90_100, "rdna")}
