@@ -239,11 +239,11 @@ def release() -> None:
     buffers.release(_encoders)
 
 
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
+def encoder(path: str, special_as_text: bool = False, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """One encoder for each file and Python worker, kept from task to task."""
     key = path, special_as_text
     if key not in _encoders:
-        _encoders[key] = Encoder(path, special_as_text=special_as_text)
+        _encoders[key] = Encoder(path, cache_pieces, special_as_text)
     return _encoders[key]
 
 
@@ -265,9 +265,9 @@ def _long(enc: Encoder, text: pa.Scalar, size: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def encoded(path: str, texts: pa.Array, size: int = GROUP_BYTES, special_as_text: bool = False):
+def encoded(path: str, texts: pa.Array, size: int = GROUP_BYTES, special_as_text: bool = False, cache_pieces: int = CACHE_PIECES):
     """(row, ids) for each text, working on about so many bytes of text at a time."""
-    enc = encoder(path, special_as_text)
+    enc = encoder(path, special_as_text, cache_pieces)
     sizes = np.cumsum([0, *(pc.fill_null(pc.binary_length(texts), 0).to_pylist())])
     at = 0
     while at < len(texts):
