@@ -55,4 +55,6 @@ def map_groups(df: DataFrame, group: list[str], order: list[str], fn: Callable[[
             if rows:
                 yield table(rows)
 
-    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+    # A number of partitions keeps adaptive execution from gathering costly rows in few tasks.
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)

@@ -33,7 +33,8 @@ def deconvolve_regions(regions: DataFrame, psf: list[float], start: str, ridge:
     confidence: the cube root (0.33) of fraction, place (1 at the region's last position,
     else less by a tenth for each position from the nearer end, 0.3 at least) and r_squared
     (0.1 at least); strong from 0.3, weak from 0.1, else marginal."""
-    fit = regions.withColumn("__f", deconvolved_region("signal", F.array(*[F.lit(float(p)) for p in psf]), F.lit(float(ridge)), F.lit(float(least))))
+    spread = regions.repartition(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fit = spread.withColumn("__f", deconvolved_region("signal", F.array(*[F.lit(float(p)) for p in psf]), F.lit(float(ridge)), F.lit(float(least))))
     rows = fit.withColumn("__p", F.explode_outer("__f.peaks"))
     flag = F.when(F.col("__p.confidence") >= 0.3, "strong").when(F.col("__p.confidence") >= 0.1, "weak").when(F.col("__p").isNotNull(), "marginal")
     return rows.withColumns(

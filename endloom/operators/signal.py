@@ -38,7 +38,9 @@ def windows(sites: DataFrame, signal: DataFrame, keys: list[str], site: str, pos
 def refine(sites: DataFrame, keys: list[str], site: str, radius: int, psf: list[float]) -> DataFrame:
     """Rows of sites (with ``signal``) split over their deconvolved ends: refined, fraction
     (sums to 1 for each site) and confidence; a site without signal keeps its place."""
-    split = sites.withColumn("__d", nnls_deconvolve("signal", F.array(*[F.lit(float(p)) for p in psf])))
+    # Rows are few but costly: a number of partitions keeps them apart.
+    spread = sites.repartition(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    split = spread.withColumn("__d", nnls_deconvolve("signal", F.array(*[F.lit(float(p)) for p in psf])))
     none = F.array(F.struct(F.lit(radius).alias("offset"), F.lit(1.0).alias("share")))
     rows = split.withColumn("__e", F.explode(F.when(F.size("__d") > 0, F.col("__d")).otherwise(none)))
     confidence = F.when(F.size("__d") == 0, "none").when(F.col("__e.share") > 0.9, "high").when(F.col("__e.share") > 0.7, "medium").otherwise("split")
