@@ -54,7 +54,8 @@ def metagene(loci: DataFrame, signal: DataFrame, keys: list[str], center: str, p
     step = F.when(F.col("strand") == "+", F.col("offset")).otherwise(-F.col("offset"))
     hit = each.withColumn(pos, F.col(center) + step).join(signal.select(*keys, pos, value), [*keys, pos], "left").withColumn("v", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
     if cap is not None:
-        limit = hit.where("v > 0").agg(F.expr(f"percentile(v, {cap})").alias("__cap"))
+        # A filter on v would make the join an inner one, whose windows (taken for as small as loci) Spark may broadcast.
+        limit = hit.agg(F.expr(f"percentile(if(v > 0, v, null), {cap})").alias("__cap"))
         hit = hit.crossJoin(F.broadcast(limit)).withColumn("v", F.least("v", "__cap"))
     return hit.groupBy("offset").agg(F.avg("v").alias("mean"), (F.stddev_pop("v") / F.sqrt(F.count(F.lit(1)))).alias("sem"), F.count(F.lit(1)).alias("n"))
 

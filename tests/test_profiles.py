@@ -42,6 +42,23 @@ def test_scaled_profile_against_numpy(spark):
     assert (check["plus"], check["minus"], check["agree"]) == (3, 2, True)
 
 
+def test_windows_of_a_capped_profile_are_not_broadcast(spark):
+    """Spark takes exploded loci for as small as loci: the join must not become one that may broadcast them."""
+    loci = spark.range(2000).select(F.lit("c").alias("chrom"), F.lit("+").alias("strand"), (F.col("id") * 100).alias("center"))
+    large = spark.range(4_000_000).select(F.lit("c").alias("chrom"), F.lit("+").alias("strand"), F.col("id").alias("position"), (F.col("id") % 7).alias("value"))
+    plan = X.metagene(loci, large, KEYS, "center", "position", "value", 20, cap=0.9)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BuildLeft" not in plan
+
+    values = [0.0, 1.0, 2.0, 3.0, 100.0]
+    signal = spark.createDataFrame([("c", "+", 100 * k + 3, v) for k, v in enumerate(values)], "chrom string, strand string, position long, value double")
+    few = spark.createDataFrame([("c", "+", 100 * k) for k in range(6)], "chrom string, strand string, center long")
+    cut = np.minimum([*values, 0.0], np.quantile(values[1:], 0.5))
+    for out, at, want in ((signal, 3, cut), (signal.where("value = 0"), 3, np.zeros(6)), (signal.where("false"), -2, np.zeros(6))):
+        rows = {r["offset"]: r for r in X.metagene(few, out, KEYS, "center", "position", "value", 5, cap=0.5).collect()}
+        assert len(rows) == 11 and all(r["n"] == 6 for r in rows.values())
+        assert np.allclose([rows[at]["mean"], rows[at]["sem"]], [np.mean(want), np.std(want) / np.sqrt(6)])
+
+
 def test_set_enrichment(spark):
     genes = spark.createDataFrame([(f"g{i}",) for i in range(40)], "gene_id string")
     chosen = genes.where("int(substring(gene_id, 2)) < 10").union(spark.createDataFrame([("other",)], "gene_id string"))
