@@ -127,8 +127,10 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: i
     rows = carried(rows, keys, [F.max(end).alias("__e")], {"__reach": lambda w: F.max("__e").over(w.rowsBetween(*_BEFORE))})
     w = Window.partitionBy(*keys, "__wide").orderBy(start, end)
     seen = F.greatest(F.max(end).over(w.rowsBetween(*_BEFORE)), F.col("__reach"))
-    rows = rows.withColumn("__new", F.when(F.col(start) > seen + gap, 1).otherwise(0))
+    rows = rows.withColumn("__new", F.coalesce((F.col(start) > seen + gap).cast("int"), F.lit(1)))
     rows = carried(rows, keys, [F.sum("__new").alias("__n")], {"__base": lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(*_BEFORE)), F.lit(0))})
+    # Of equal intervals only the first may be new (all, if they end before they start); the join may have changed their order.
+    w = w.orderBy(start, end, F.col("__new").desc())
     marked = rows.withColumn("__g", F.col("__base") + F.sum("__new").over(w.rowsBetween(*_SO_FAR)))
     return marked.groupBy(*keys, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("__g")
 

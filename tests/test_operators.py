@@ -195,6 +195,27 @@ def test_stretches_are_stitched(spark, monkeypatch, wide):
     assert got == covered
 
 
+@pytest.mark.parametrize("wide", [64, 1 << 20])
+def test_equal_intervals_stay_together(spark, monkeypatch, wide):
+    """Merged intervals do not depend on the order in which a join gives equal rows."""
+    monkeypatch.setattr(I, "WIDE", wide)
+    carried = I.carried
+    monkeypatch.setattr(I, "carried", lambda *a: carried(*a).repartition(5, F.rand(3)))
+    rng = random.Random(17)
+    spans = [(k, s, s + rng.randint(-3, 6)) for k in ("a", None) for s in rng.choices(range(0, 3000, 7), k=300) for _ in range(rng.choice([1, 4, 9]))]
+    want = []
+    for k in ("a", None):
+        for s, e in sorted((s, e) for x, s, e in spans if x == k):
+            reach = max([x[4] for x in want if x[0] == k], default=s)
+            if want and want[-1][0] == k and s <= reach:
+                want[-1][2:] = [max(want[-1][2], e), want[-1][3] + 1, max(reach, e)]
+            else:
+                want.append([k, s, e, 1, max(reach, e) if want and want[-1][0] == k else e])
+    merged = I.merge_intervals(spark.createDataFrame(spans, "k string, s long, e long"), ["k"], "s", "e")
+    key = lambda r: (r[0] or "", *r[1:])
+    assert sorted((list(r) for r in merged.collect()), key=key) == sorted((x[:4] for x in want), key=key)
+
+
 def test_anchored_clusters_against_a_loop(spark):
     rng = random.Random(14)
     rows = [(rng.choice(["a", None]), rng.choice("+-"), rng.randint(0, 300)) for _ in range(400)]
